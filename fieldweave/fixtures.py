@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.functions import cells as C
 from fieldweave.functions import shapes as S
+from fieldweave.plans.matching import match_all_sources
 
 FIELD = """
 SELECT s.s_suppkey AS field_id, p.p_name AS name, n.n_name AS country,
@@ -50,6 +51,9 @@ SELECT o_custkey AS field_id, {ym} AS period, sum(o_totalprice) AS oil
 FROM {orders} GROUP BY o_custkey, {ym}
 """
 
+SOURCE_ORDER = ["a2024", "b2022", "c2021"]
+_matches: dict[tuple[str, str], DataFrame] = {}
+
 _TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -98,6 +102,14 @@ class Fixtures:
         cell = C.cell_of_point(F.col("lon"), F.col("lat"))
         return self.source.withColumn("cell", cell).withColumn("seq", F.col("field_id"))
 
+    @property
+    def matches(self) -> DataFrame:
+        """Match table of the three sources, computed once per session and folder and kept in the work folder."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _matches:
+            _matches[key] = match_all_sources(self.source_cell, SOURCE_ORDER)
+        return _matches[key]
+
     @cached_property
     def movement(self) -> DataFrame:
         return self._view(MOVEMENT, "orders")

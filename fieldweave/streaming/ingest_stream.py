@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldweave.functions import schema as G
@@ -16,6 +17,14 @@ from fieldweave.sources.files import latest_rows
 
 PENDING, PROCESSING, COMPLETED, FAILED = "PENDING", "PROCESSING", "COMPLETED", "FAILED"
 STATUS_SCHEMA = "path string, data_entry_id bigint, md5 string, status string, error_message string, n_rows bigint, attempt bigint"
+ROW_SCHEMA = T.StructType(
+    [
+        T.StructField("data_entry_id", T.LongType()),
+        T.StructField("field_code", T.StringType()),
+        T.StructField("effective_start_date", T.TimestampType()),
+        *G.target_schema().fields,
+    ]
+)
 IDENTITY_SCHEMA = "field_code string, name string, country string"
 
 
@@ -64,8 +73,7 @@ def process_upload(store: UploadStore, path: str, md5: str, config: Mapping[str,
         if not path.lower().endswith(".csv"):
             raise ValueError(f"Unsupported file extension: {path.rsplit('.', 1)[-1]}")
         created, data, _ = ingest_file(spark, path, config, as_of, entry, store.identities())
-        typed = align_types(data, G.target_schema()).schema
-        rows = data.select("data_entry_id", "field_code", *[c for c in data.columns if c in typed.fieldNames()])
+        rows = align_types(data, ROW_SCHEMA)
         rows.write.mode("overwrite").parquet(f"{store.folder}/fields/data_entry={entry}")
         created.write.mode("append").parquet(f"{store.folder}/identities")
         n_rows = spark.read.parquet(f"{store.folder}/fields/data_entry={entry}").count()
