@@ -125,11 +125,11 @@ def _(fx):
 
 @query(
     "AGG7_time_weighted_mean",
-    """SELECT field_id, round(sum(oil * d) / sum(d), 4) AS oil FROM (SELECT *, day(last_day(strptime(period || '-01', '%Y-%m-%d'))) AS d FROM fx_movement)
+    """SELECT field_id, round(sum(oil * d) / sum(d), 6) AS oil FROM (SELECT *, day(last_day(strptime(period || '-01', '%Y-%m-%d'))) AS d FROM fx_movement)
     GROUP BY field_id""",
 )
 def _(fx):
-    return G.time_weighted_means(fx.movement, "field_id", "period", ["oil"]).select("field_id", rounded("oil", 4).alias("oil"))
+    return G.time_weighted_means(fx.movement, "field_id", "period", ["oil"]).select("field_id", rounded("oil", 6).alias("oil"))
 
 
 @query(

@@ -58,7 +58,7 @@ def _(fx):
     depth AS (SELECT o_custkey, avg(o_totalprice) AS depth FROM orders GROUP BY 1),
     reg AS (SELECT o_custkey, min(o_orderkey) AS api, arg_min(year(o_orderdate), o_orderkey) AS start_year FROM orders GROUP BY 1),
     mov AS (SELECT field_id, sum(oil * d) / sum(d) AS oil FROM (SELECT *, day(last_day(strptime(period || '-01', '%Y-%m-%d'))) AS d FROM fx_movement) GROUP BY 1)
-    SELECT name, function_unit, round(depth, 4) AS depth, api, start_year, round(oil, 4) AS oil
+    SELECT name, function_unit, round(depth, 6) AS depth, api, start_year, round(oil, 6) AS oil
     FROM shapes LEFT JOIN depth d ON d.o_custkey = c_custkey LEFT JOIN reg r ON r.o_custkey = c_custkey LEFT JOIN mov ON field_id = c_custkey
     WHERE function_unit IS NOT NULL""",
 )
@@ -74,7 +74,7 @@ def _(fx):
     moved = fx.movement.join(c, F.col("field_id") == F.col("c_custkey")).select("name", "period", "oil")
     out = prepare_registry(shapes, wells, registered, moved, ["oil"])
     return out.select(
-        "name", "function_unit", rounded("depth", 4).alias("depth"), "api", F.col("start_year").cast("bigint").alias("start_year"), rounded("oil", 4).alias("oil")
+        "name", "function_unit", rounded("depth", 6).alias("depth"), "api", F.col("start_year").cast("bigint").alias("start_year"), rounded("oil", 6).alias("oil")
     )
 
 

@@ -110,13 +110,13 @@ def _(fx):
 
 @query(
     "JON7_inner_equi",
-    """SELECT n.n_name, a.n_customers, round(a.balance, 4) AS balance FROM nation n
+    """SELECT n.n_name, a.n_customers, round(a.balance, 6) AS balance FROM nation n
     JOIN (SELECT c_nationkey, count(*) AS n_customers, avg(c_acctbal) AS balance FROM customer GROUP BY c_nationkey) a ON a.c_nationkey = n.n_nationkey""",
 )
 def _(fx):
     means = fx.table("customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n_customers"), F.avg("c_acctbal").alias("balance"))
     rows = fx.table("nation").join(means, F.col("n_nationkey") == F.col("c_nationkey"))
-    return rows.select("n_name", "n_customers", rounded("balance", 4).alias("balance"))
+    return rows.select("n_name", "n_customers", rounded("balance", 6).alias("balance"))
 
 
 @query("JON8_semi", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")

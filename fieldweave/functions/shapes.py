@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ RING_TYPE = f"array<{VERTEX_TYPE}>"
 SHAPE_TYPE = f"array<array<{RING_TYPE}>>"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, not once per mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def vertex(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -73,11 +80,13 @@ def _crosses(edge: Column, x: Column, y: Column) -> Column:
 def point_in_shape(x: Column, y: Column, shape: Column) -> Column:
     """Strictly inside: even-odd over the rings of a part, any part; boundary points are outside."""
 
-    def in_part(part: Column) -> Column:
-        edges = _part_edges(part)
+    def in_edges(edges: Column) -> Column:
         odd = F.aggregate(edges, F.lit(False), lambda acc, e: acc != _crosses(e, x, y))
         return odd & ~F.exists(edges, lambda e: _on_edge(e, x, y))
 
+    def in_part(part: Column) -> Column:
+        return _let(_part_edges(part), in_edges)
+
     return F.coalesce(F.exists(shape, in_part), F.lit(False))
 
 
@@ -112,14 +121,16 @@ def _edges_meet(e: Column, f: Column) -> Column:
 
 def shape_in_shape(inner: Column, outer: Column) -> Column:
     """Every inner vertex inside the outer shape (its boundary allowed), and no edge crosses it."""
-    outer_edges = F.flatten(F.transform(outer, _part_edges))
-    inner_edges = F.flatten(F.transform(inner, _part_edges))
 
-    def covered(v: Column) -> Column:
-        return point_in_shape(v["x"], v["y"], outer) | F.exists(outer_edges, lambda e: _on_edge(e, v["x"], v["y"]))
+    def against(outer_edges: Column) -> Column:
+        def covered(v: Column) -> Column:
+            return point_in_shape(v["x"], v["y"], outer) | F.exists(outer_edges, lambda e: _on_edge(e, v["x"], v["y"]))
+
+        inner_edges = F.flatten(F.transform(inner, _part_edges))
+        crossing = F.exists(inner_edges, lambda e: F.exists(outer_edges, lambda f: _edges_meet(e, f)))
+        return F.forall(vertices(inner), covered) & ~crossing
 
-    crossing = F.exists(inner_edges, lambda e: F.exists(outer_edges, lambda f: _edges_meet(e, f)))
-    return F.coalesce(F.forall(vertices(inner), covered) & ~crossing, F.lit(False))
+    return F.coalesce(_let(F.flatten(F.transform(outer, _part_edges)), against), F.lit(False))
 
 
 def _ring_moments(ring: Column) -> Column:
@@ -135,13 +146,15 @@ def _ring_moments(ring: Column) -> Column:
             (acc["a"] + cross).alias("a"), (acc["mx"] + (ax + bx) * cross).alias("mx"), (acc["my"] + (ay + by) * cross).alias("my")
         )
 
-    m = F.aggregate(ring_edges(ring), zero, add)
-    sign = F.when(m["a"] < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    return F.struct(
-        (sign * m["a"]).alias("a"),
-        (sign * (m["mx"] + F.lit(3.0) * origin["x"] * m["a"])).alias("mx"),
-        (sign * (m["my"] + F.lit(3.0) * origin["y"] * m["a"])).alias("my"),
-    )
+    def shifted(m: Column) -> Column:
+        sign = F.when(m["a"] < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+        return F.struct(
+            (sign * m["a"]).alias("a"),
+            (sign * (m["mx"] + F.lit(3.0) * origin["x"] * m["a"])).alias("mx"),
+            (sign * (m["my"] + F.lit(3.0) * origin["y"] * m["a"])).alias("my"),
+        )
+
+    return _let(F.aggregate(ring_edges(ring), zero, add), shifted)
 
 
 def centroid(shape: Column) -> Column:
@@ -167,15 +180,15 @@ def centroid(shape: Column) -> Column:
         ),
     )
     n = F.size(vertices(shape))
-    mean_x = F.try_divide(F.aggregate(vertices(shape), F.lit(0.0), lambda s, v: s + v["x"]), n)
-    mean_y = F.try_divide(F.aggregate(vertices(shape), F.lit(0.0), lambda s, v: s + v["y"]), n)
-    return F.when(
-        shape.isNotNull() & (n > 0),
-        F.struct(
-            F.coalesce(F.try_divide(total["mx"], F.lit(3.0) * total["a"]), mean_x).alias("x"),
-            F.coalesce(F.try_divide(total["my"], F.lit(3.0) * total["a"]), mean_y).alias("y"),
-        ),
-    )
+    mean = lambda axis: F.try_divide(F.aggregate(vertices(shape), F.lit(0.0), lambda s, v: s + v[axis]), n)
+
+    def point(t: Column) -> Column:
+        return F.struct(
+            F.coalesce(F.try_divide(t["mx"], F.lit(3.0) * t["a"]), mean("x")).alias("x"),
+            F.coalesce(F.try_divide(t["my"], F.lit(3.0) * t["a"]), mean("y")).alias("y"),
+        )
+
+    return F.when(shape.isNotNull() & (n > 0), _let(total, point))
 
 
 def drop_z(shape_xyz: Column) -> Column:

@@ -78,9 +78,9 @@ def dissolved_centroids(df: DataFrame, key: str, shape_col: str, edge_deg: float
     a cell centre contribute the centre of the cell of their centroid.
     """
     members = df.where(F.col(shape_col).isNotNull()).select(key, F.col(shape_col).alias("_member"))
-    center = S.centroid(F.col("_member"))
     covered = cover(members, key, "_member", edge_deg)
-    own = members.select(key, C.cell_of_point(center["x"], center["y"], edge_deg).alias("cell"))
+    centers = members.select(key, S.centroid(F.col("_member")).alias("_c"))
+    own = centers.select(key, C.cell_of_point(F.col("_c.x"), F.col("_c.y"), edge_deg).alias("cell"))
     cells = covered.unionByName(own).distinct()
     means = cells.groupBy(key).agg(
         F.avg(C.cell_center_x(F.col("cell"), edge_deg)).alias("centroid_x"),

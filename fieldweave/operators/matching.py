@@ -249,7 +249,7 @@ def best_matches(
     steps = C.cell_distance(F.col("cell"), F.col("_cell"))
     name_score = N.name_ratio(F.col("name"), F.col("_name"))
     score = N.match_score(name_score, N.geo_decay_score(steps), weights)
-    good = (score >= threshold) & (score > 0)
+    good = score >= F.lit(max(float(threshold), 1e-9))
 
     # 1. near: every pair of neighbouring small buckets, cheap bounds first
     near_ok = (steps < min(NEAR_STEPS, max_steps)) & _lengths_ok(name_needed(0, threshold, weights)) & good

@@ -131,9 +131,8 @@ def standardize(
             raise ValueError("give either field_id or the order in which to number the rows")
         df, field_id = row_counter_id(df, order, "_field_id"), "_field_id"
     if "shape" in df.columns:
-        center = S.centroid(F.col("shape"))
-        cell = C.cell_of_point(center["x"], center["y"], edge_deg)
-        shape = F.col("shape")
+        df = df.withColumn("_center", S.centroid(F.col("shape")))
+        cell, shape = C.cell_of_point(F.col("_center.x"), F.col("_center.y"), edge_deg), F.col("shape")
     elif {"lon", "lat"} <= set(df.columns):
         cell, shape = C.cell_of_point(F.col("lon"), F.col("lat"), edge_deg), F.lit(None).cast(S.SHAPE_TYPE)
     else:
