@@ -86,9 +86,10 @@ def _(fx):
 )
 def _(fx):
     flares = freeze(_flares(fx), "flares")
-    inside = point_shape_join(flares, _targets(fx), "id").select("id")
+    n = flares.count()
+    inside = point_shape_join(flares, _targets(fx), "id", point_bound=n).select("id")
     rest = flares.join(inside, "id", "left_anti")
-    return point_shape_join(rest, _targets(fx), "id", "left", distance=0.05).select("id", "field_id")
+    return point_shape_join(rest, _targets(fx), "id", "left", distance=0.05, point_bound=n).select("id", "field_id")
 
 
 @query(

@@ -120,7 +120,7 @@ def _edges_meet(e: Column, f: Column) -> Column:
 
 
 def shape_in_shape(inner: Column, outer: Column) -> Column:
-    """Every inner vertex inside the outer shape (its boundary allowed), and no edge crosses it."""
+    """Every inner vertex inside the outer shape (its boundary allowed), no edge crossing, no outer hole within."""
 
     def against(outer_edges: Column) -> Column:
         def covered(v: Column) -> Column:
@@ -128,7 +128,9 @@ def shape_in_shape(inner: Column, outer: Column) -> Column:
 
         inner_edges = F.flatten(F.transform(inner, _part_edges))
         crossing = F.exists(inner_edges, lambda e: F.exists(outer_edges, lambda f: _edges_meet(e, f)))
-        return F.forall(vertices(inner), covered) & ~crossing
+        holes = F.flatten(F.flatten(F.transform(outer, lambda part: F.slice(part, F.lit(2), F.size(part)))))
+        hollow = F.exists(holes, lambda v: point_in_shape(v["x"], v["y"], inner))
+        return F.forall(vertices(inner), covered) & ~crossing & ~hollow
 
     return F.coalesce(_let(F.flatten(F.transform(outer, _part_edges)), against), F.lit(False))
 

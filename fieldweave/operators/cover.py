@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from fieldweave.functions import cells as C
 from fieldweave.functions import shapes as S
-from fieldweave.operators.skew import salted_join
+from fieldweave.operators.skew import salted_join, shuffle_partitions
 from fieldweave.session import freeze
 
 _ROWS_PER_CHUNK = 256  # cell rows of one shape handled together
@@ -39,7 +39,7 @@ def cover(df: DataFrame, id_col: str, shape_col: str, edge_deg: float = C.DEFAUL
         .withColumn("_r1", F.floor(box["ymax"] / F.lit(row_height)).cast("bigint"))
         .where("_r1 >= _r0")
         .withColumn("_from", F.explode(F.sequence(F.col("_r0"), F.col("_r1"), F.lit(_ROWS_PER_CHUNK))))
-        .repartition(id_col, "_from")
+        .repartition(shuffle_partitions(df), id_col, "_from")
     )
     rows = bands.withColumn("_r", F.explode(F.sequence("_from", F.least(F.col("_r1"), F.col("_from") + _ROWS_PER_CHUNK - 1))))
     half_row = F.col("_r") * F.lit(0.5)

@@ -6,13 +6,15 @@ Scores are ``0.7 * name + 0.3 * distance`` with a threshold of 60, which bounds
 * 20 or more steps apart the name score must be at least 80;
 * with a cell missing it must be at least 86.
 
-Three candidate joins follow, together complete: near pairs by bucket, far pairs by bucket and name piece,
+Candidate joins follow from that, together complete: where buckets hold few entities, all pairs of
+neighbouring buckets; in crowded buckets near pairs by a finer bucket and far pairs by bucket and name piece;
 pairs without a cell by name piece. Copies of a (name, cell) are scored once, identical ones not at all.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from fieldweave.operators.skew import ROWS_PER_SPLIT, salted_join
 from fieldweave.session import freeze
 
 NEAR_STEPS = 20
+# Entities in a bucket above which name pieces are cheaper than trying them all.
+CROWDED = 200
 # From this name score on, the pieces of a name are long enough to serve as join keys.
 PIECE_RATIO = 75
 # An exact pair cannot tie with a merely similar one below this length (rounding to integers).
@@ -95,17 +99,22 @@ def similar_name_pairs(
     rows_per_split: int = ROWS_PER_SPLIT,
     left_bound: int | None = None,
     right_bound: int | None = None,
+    left_spread: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """Pairs sharing a name piece (and ``keys``) that meet ``condition``; complete for name scores >= ``ratio``.
 
     ``left`` has ``name``, ``right`` has ``_name``. The longer name of a pair gives the pieces, so both
-    directions are joined.
+    directions are joined. ``left_spread`` multiplies the left rows (over neighbouring buckets) after their
+    pieces are cut.
     """
     on = [*keys, "_longest", "_piece_no", "_piece"]
 
     def opened(df: DataFrame, pieces: Column) -> DataFrame:
-        return df.select("*", F.explode(pieces).alias("_p")).select(
-            *df.columns, F.col("_p.longest").alias("_longest"), F.col("_p.piece_no").alias("_piece_no"), F.col("_p.piece").alias("_piece")
+        cut = df.withColumn("_pieces", pieces)
+        cut = left_spread(cut) if "name" in df.columns else cut
+        rest = [c for c in cut.columns if c != "_pieces"]
+        return cut.select(*rest, F.explode("_pieces").alias("_p")).select(
+            *rest, F.col("_p.longest").alias("_longest"), F.col("_p.piece_no").alias("_piece_no"), F.col("_p.piece").alias("_piece")
         )
 
     left_longer = salted_join(
@@ -192,12 +201,12 @@ def _best_by_name(names: DataFrame, known: DataFrame, ratio: int, similarity: st
         left = open_.withColumn("_len", F.explode(F.sequence(shortest, longest)))
         right = known.withColumn("_len", F.length("_name"))
         if similarity == "edit":
-            pairs = salted_join(left, right, ["_len"], ["name"], ["_name"], "inner", score >= ratio, rows_per_split, **bounds)
+            pairs = salted_join(left, right, ["_len"], ["name"], ["_name"], "inner", score >= ratio, rows_per_split, heavy=True, **bounds)
             pairs = pairs.withColumn("name_score", score)
         else:
             total = F.length("name") + F.length("_name")
             hopeful = common_letters(F.col("name"), F.col("_name")) * F.lit(200.0) >= total * F.lit(ratio - 0.5) - F.lit(1e-6)
-            pairs = salted_join(left, right, ["_len"], ["name"], ["_name"], "inner", hopeful, rows_per_split, **bounds)
+            pairs = salted_join(left, right, ["_len"], ["name"], ["_name"], "inner", hopeful, rows_per_split, heavy=True, **bounds)
             pairs = pairs.withColumn("name_score", N.matching_blocks_ratio("name", "_name")).where(F.col("name_score") >= ratio)
     every = exact.unionByName(pairs.select("name", "name_score", "_row", "_seq"))
     top = F.struct("name_score", "_row", "_seq")
@@ -221,6 +230,7 @@ def best_matches(
     max_steps: int = N.DECAY_STEPS,
     tie_break: str = "first",
     rows_per_split: int = ROWS_PER_SPLIT,
+    crowded_from: int = CROWDED,
 ) -> DataFrame:
     """Best entity for each distinct (name, cell) of ``new`` that reaches the threshold.
 
@@ -251,27 +261,39 @@ def best_matches(
     score = N.match_score(name_score, N.geo_decay_score(steps), weights)
     good = score >= F.lit(max(float(threshold), 1e-9))
 
-    # 1. near: every pair of neighbouring small buckets, cheap bounds first
-    near_ok = (steps < min(NEAR_STEPS, max_steps)) & _lengths_ok(name_needed(0, threshold, weights)) & good
-    near = salted_join(
-        _bucketed(placed, "cell", NEAR_STEPS, True),
-        _bucketed(placed_known, "_cell", NEAR_STEPS, False),
-        ["_bq", "_br"], ["name", "cell"], ["_name", "_cell"], "inner", near_ok, rows_per_split, **sizes,
-    )
-    # 2. far: also a common piece of the name
-    far_ratio = name_needed(NEAR_STEPS, threshold, weights)
-    far_ok = (steps >= NEAR_STEPS) & (steps < max_steps) & _lengths_ok(far_ratio) & good
-    far = similar_name_pairs(
-        _bucketed(placed, "cell", max_steps, True),
-        _bucketed(placed_known, "_cell", max_steps, False),
-        far_ratio, ["_bq", "_br"], far_ok, ["name", "cell"], ["_name", "_cell"], rows_per_split, **sizes,
-    )
+    lengths = _lengths_ok(name_needed(0, threshold, weights))
+    ids = (["name", "cell"], ["_name", "_cell"])
+    coarse = _bucketed(placed_known, "_cell", max_steps, False)
+    spread = lambda df: _bucketed(df, "cell", max_steps, True)
+    crowded = coarse.groupBy("_bq", "_br").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowded_from).select("_bq", "_br")
+    found = []
+    if crowded.isEmpty():
+        sparse = coarse
+    else:
+        crowded = freeze(crowded, "crowded")
+        sparse = coarse.join(crowded, ["_bq", "_br"], "left_anti")
+        dense = freeze(coarse.join(crowded, ["_bq", "_br"], "left_semi"), "dense")
+        # crowded buckets, near: pairs of neighbouring fine buckets
+        fine = _bucketed(dense.drop("_bq", "_br"), "_cell", NEAR_STEPS, False)
+        near_ok = (steps < min(NEAR_STEPS, max_steps)) & lengths & good
+        found.append(
+            salted_join(_bucketed(placed, "cell", NEAR_STEPS, True), fine, ["_bq", "_br"], *ids, "inner", near_ok, rows_per_split, heavy=True, **sizes)
+        )
+        # crowded buckets, far: the high name score needed there leaves a piece of the name in common
+        far_ratio = name_needed(NEAR_STEPS, threshold, weights)
+        far_ok = (steps >= NEAR_STEPS) & (steps < max_steps) & _lengths_ok(far_ratio) & good
+        found.append(
+            similar_name_pairs(placed, dense, far_ratio, ["_bq", "_br"], far_ok, *ids, rows_per_split, left_spread=spread, **sizes)
+        )
+    # other buckets: all pairs of neighbouring buckets
+    sparse_ok = (steps < max_steps) & lengths & good
+    found.append(salted_join(spread(placed), sparse, ["_bq", "_br"], *ids, "inner", sparse_ok, rows_per_split, heavy=True, **sizes))
     pairs = exact
-    for p in (near, far):
+    for p in found:
         pairs = pairs.unionByName(
             p.select("name", "cell", name_score.alias("name_score"), score.alias("score"), "_entity_id", "_seq")
         )
-    # 3. a cell is missing on one side or both: only the name counts, so names are compared once each
+    # a cell is missing on one side or both: only the name counts, so names are compared once each
     ratio = name_needed(None, threshold, weights)
     by_name = N.match_score(F.col("name_score"), F.lit(0.0), weights)
     branches = []

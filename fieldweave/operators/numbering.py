@@ -12,6 +12,11 @@ from fieldweave.session import scratch_path
 _PART_BITS = 33  # monotonically_increasing_id: partition number above, position in the partition below
 
 
+def _all(df: DataFrame) -> list[Column]:
+    """The columns by quoted name: source columns may carry dots."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def _ordered(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """Rows range-partitioned and sorted by ``order``, each with its partition ``_part`` and position ``_pos``.
 
@@ -19,14 +24,14 @@ def _ordered(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     before its partition sizes are used.
     """
     spark = df.sparkSession
-    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    order = [F.col(f"`{o}`") if isinstance(o, str) else o for o in order]
     mark = F.monotonically_increasing_id()
     frame = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mark", mark)
     path = scratch_path(spark, "ordered")
     frame.write.parquet(path)
     stored = spark.read.schema(frame.schema).parquet(path)
     return stored.select(
-        *df.columns,
+        *_all(df),
         F.shiftright("_mark", _PART_BITS).alias("_part"),
         F.col("_mark").bitwiseAND(F.lit((1 << _PART_BITS) - 1)).alias("_pos"),
     )
@@ -40,7 +45,7 @@ def number_rows(df: DataFrame, order: Sequence[str | Column], out: str = "n", st
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     numbered = rows.join(F.broadcast(offsets), "_part")
-    return numbered.select(*df.columns, (F.col("_offset") + F.col("_pos") + F.lit(start)).cast("bigint").alias(out))
+    return numbered.select(*_all(df), (F.col("_offset") + F.col("_pos") + F.lit(start)).cast("bigint").alias(out))
 
 
 def running_sum(df: DataFrame, order: Sequence[str | Column], value: str, out: str = "running") -> DataFrame:
@@ -53,7 +58,7 @@ def running_sum(df: DataFrame, order: Sequence[str | Column], value: str, out: s
     return (
         rows.join(F.broadcast(offsets), "_part")
         .withColumn(out, F.col("_offset") + F.coalesce(F.sum(value).over(inside), F.lit(0.0)))
-        .select(*df.columns, out)
+        .select(*_all(df), out)
     )
 
 

@@ -43,7 +43,7 @@ def identity_ops(columns: Sequence[str]) -> dict[str, tuple[list[str], ColumnFn]
 
 
 def reorder_front(df: DataFrame, front: Sequence[str]) -> DataFrame:
-    return df.select(*front, *[c for c in df.columns if c not in front])
+    return df.select(*[F.col(f"`{c}`") for c in [*front, *[c for c in df.columns if c not in front]]])
 
 
 def add_source_identity(df: DataFrame, name: str, time: str) -> DataFrame:

@@ -29,6 +29,10 @@ def _all_of(splits: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), splits - 1))
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _with_splits(df: DataFrame, counted: DataFrame, keys: list[str], limit: int, out: str, null_safe: bool) -> DataFrame:
     """``df`` with the number of splits its key needs, from the row counts of ``counted``.
 
@@ -52,11 +56,14 @@ def salted_join(
     null_safe: bool = False,
     left_bound: int | None = None,
     right_bound: int | None = None,
+    heavy: bool = False,
 ) -> DataFrame:
     """Equi-join on ``keys`` (plus ``condition``) in which hot keys are cut into blocks.
 
     ``left_bound`` / ``right_bound`` are known upper limits of the rows one key can have; where they already
-    rule out a hot key the counting pass is left out.
+    rule out a hot key the counting pass is left out. ``heavy`` marks a ``condition`` that costs far more than
+    the bytes joined: the left side keeps its full number of partitions, which adaptive execution would
+    otherwise merge by size.
 
     Hot left keys are split by ``left_ids`` and their right rows copied to each split; for inner joins hot
     right keys are split the same way, so a block is at most ``rows_per_split`` rows a side. The other
@@ -79,6 +86,8 @@ def salted_join(
         salts.append("_rsalt")
     if "_lsalt" in salts:
         right = right.withColumn("_lsalt", _all_of(F.col("_ls"))).drop("_ls")
+    if heavy:
+        left = left.repartition(shuffle_partitions(left), *keys, *salts)
     renamed = {k: f"_r_{k}" for k in [*keys, *salts]}
     right = right.withColumnsRenamed(renamed)
     on = [F.col(k).eqNullSafe(F.col(r)) if null_safe else F.col(k) == F.col(r) for k, r in renamed.items()]

@@ -55,7 +55,7 @@ def point_shape_join(
     px, py, s = F.col(x), F.col(y), F.col(shape)
     exact = S.point_in_shape(px, py, s) if distance == 0 else S.point_in_buffered_shape(px, py, s, distance)
     hit = _in_box(px, py, F.col("_box"), distance) & exact
-    joined = salted_join(left, right, ["_bx", "_by"], [point_id], None, how, hit, rows_per_split, left_bound=point_bound)
+    joined = salted_join(left, right, ["_bx", "_by"], [point_id], None, how, hit, rows_per_split, left_bound=point_bound, heavy=True)
     return joined.drop("_bx", "_by", "_box")
 
 
@@ -85,5 +85,5 @@ def shape_shape_join(
     i, o = F.col("_ibox"), F.col("_box")
     boxed = (i["xmin"] >= o["xmin"]) & (i["ymin"] >= o["ymin"]) & (i["xmax"] <= o["xmax"]) & (i["ymax"] <= o["ymax"])
     hit = boxed & S.shape_in_shape(F.col(inner_shape), F.col(outer_shape))
-    joined = salted_join(left, right, ["_bx", "_by"], [inner_id], None, how, hit, rows_per_split, left_bound=inner_bound)
+    joined = salted_join(left, right, ["_bx", "_by"], [inner_id], None, how, hit, rows_per_split, left_bound=inner_bound, heavy=True)
     return joined.drop("_bx", "_by", "_box", "_ibox")
