@@ -307,7 +307,7 @@ def _(fx):
     FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)""",
 )
 def _(fx):
-    out = L.share_of_group(fx.table("lineitem"), ["l_orderkey"], "l_quantity")
+    out = L.share_of_group(fx.table("lineitem"), ["l_orderkey"], "l_quantity", ["l_partkey", "l_linenumber"])
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", rounded("weight", 9).alias("weight"))
 
 
@@ -316,7 +316,7 @@ def _(fx):
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey), 9) AS weight FROM lineitem""",
 )
 def _(fx):
-    out = L.renormalize(fx.table("lineitem").withColumn("weight", F.col("l_quantity")), ["l_orderkey"])
+    out = L.renormalize(fx.table("lineitem").withColumn("weight", F.col("l_quantity")), ["l_orderkey"], ["l_partkey", "l_linenumber"])
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", rounded("weight", 9).alias("weight"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldweave.operators.skew import salted_join
+
 
 def visible_sources(users: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
     """``(user_id, source_id)`` pairs a user may read: edges to existing sources.
@@ -56,7 +58,8 @@ def get_or_create(rows: DataFrame, identities: DataFrame, row_id: Sequence[str],
         .agg(F.min("field_code").alias("_known"))
     )
     complete = F.col("name").isNotNull() & (F.col("name") != "") & F.col("country").isNotNull() & (F.col("country") != "")
-    joined = rows.join(known, ["name", "country"], "left")
+    # one name may hold very many rows: they are split by row id
+    joined = salted_join(rows, known, ["name", "country"], row_id, None, "left")
     shared = stable_uuid(F.lit(batch), F.col("name"), F.col("country"))
     own = stable_uuid(F.lit(batch), F.lit("row"), *[F.col(c) for c in row_id])
     code = F.when(complete, F.coalesce("_known", shared)).otherwise(own)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.operators.numbering import number_rows
+from fieldweave.operators.numbering import running_sum
 
 # Above this many rows a group's exact median is taken from a global sort instead of a per-group buffer.
 MEDIAN_BUFFER_ROWS = 1_000_000
@@ -61,8 +61,11 @@ def group_quantiles(
     marks = F.broadcast(hot.withColumnsRenamed({k: f"_h_{k}" for k in keys}))
     cold = df.join(marks, on, "left_anti").groupBy(*keys).agg(*plain)
     long = melt(df.join(marks, on, "left_semi"), keys, columns, "double")
-    ranked = number_rows(long, [*keys, "column", "value"], "_rank")
-    span = ranked.groupBy(*keys, "column").agg(F.min("_rank").alias("_first"), F.max("_rank").alias("_last"))
+    # one row per distinct value, with the ranks it covers: copies of a value cost nothing further on
+    counts = long.groupBy(*keys, "column", "value").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_sum(counts, [*keys, "column", "value"], "_n", "_upto")
+    ranked = ranked.withColumns({"_from": F.col("_upto") - F.col("_n"), "_to": F.col("_upto") - 1})
+    span = ranked.groupBy(*keys, "column").agg(F.min("_from").alias("_first"), F.max("_to").alias("_last"))
     span = span.withColumnsRenamed({k: f"_s_{k}" for k in [*keys, "column"]})
     back = [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in [*keys, "column"]]
     placed = ranked.join(F.broadcast(span), back)
@@ -71,9 +74,10 @@ def group_quantiles(
         at = F.col("_first") + F.lit(q) * (F.col("_last") - F.col("_first"))
         low, high = F.floor(at), F.ceil(at)
         share = at - low
-        part = F.when(F.col("_rank") == low, F.col("value") * (1 - share)).otherwise(F.lit(0.0))
-        part = part + F.when((F.col("_rank") == high) & (high > low), F.col("value") * share).otherwise(F.lit(0.0))
-        return F.sum(F.when((F.col("column") == column) & F.col("_rank").between(low, high), part))
+        covers = lambda rank: (F.col("_from") <= rank) & (rank <= F.col("_to"))
+        part = F.when(covers(low), F.col("value") * (1 - share)).otherwise(F.lit(0.0))
+        part = part + F.when(covers(high) & (high > low), F.col("value") * share).otherwise(F.lit(0.0))
+        return F.sum(F.when((F.col("column") == column) & (covers(low) | covers(high)), part))
 
     reads = [read_off(c, q).alias(f"{c}{suffix}") for c in columns for suffix, q in quantiles.items()]
     return cold.unionByName(placed.groupBy(*keys).agg(*reads))

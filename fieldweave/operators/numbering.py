@@ -53,11 +53,11 @@ def running_sum(df: DataFrame, order: Sequence[str | Column], value: str, out: s
     rows = _ordered(df, order)
     sums = rows.groupBy("_part").agg(F.sum(value).alias("_sum"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_offset"))
+    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.join(F.broadcast(offsets), "_part")
-        .withColumn(out, F.col("_offset") + F.coalesce(F.sum(value).over(inside), F.lit(0.0)))
+        .withColumn(out, F.col("_offset") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .select(*_all(df), out)
     )
 
@@ -70,6 +70,6 @@ def dense_renumber(df: DataFrame, id_col: str) -> DataFrame:
 
 def allocate_ids(unmatched: DataFrame, existing: DataFrame, id_col: str, seq: str) -> DataFrame:
     """``max(existing id) + 1, + 2, ...`` for the unmatched rows in row order."""
-    top = existing.agg(F.coalesce(F.max(id_col), F.lit(-1)).alias("_top"))
+    top = existing.agg(F.coalesce(F.max(id_col), F.lit(-1)))
     numbered = number_rows(unmatched, [seq], "_k", start=1)
-    return numbered.join(F.broadcast(top)).withColumn(id_col, F.col("_top") + F.col("_k")).drop("_top", "_k")
+    return numbered.withColumn(id_col, top.scalar() + F.col("_k")).drop("_k")

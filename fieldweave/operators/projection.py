@@ -98,8 +98,8 @@ def page(df: DataFrame, skip: int = 0, limit: int = 10, order_by: str | Sequence
 
 
 def page_with_total(df: DataFrame, skip: int = 0, limit: int = 100, order_by: str | Sequence[str] = "id") -> DataFrame:
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return page(df, skip, limit, order_by).join(F.broadcast(total))
+    total = df.agg(F.count(F.lit(1)))
+    return page(df, skip, limit, order_by).withColumn("total", total.scalar())
 
 
 def align_types(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -96,15 +96,23 @@ def salted_join(
     return left.join(right, on, how).drop(*renamed.values(), *salts)
 
 
-def with_group_totals(df: DataFrame, keys: Sequence[str], totals: Sequence[Column]) -> DataFrame:
+def with_group_totals(
+    df: DataFrame, keys: Sequence[str], totals: Sequence[Column], row_ids: Sequence[str], rows_per_split: int = ROWS_PER_SPLIT
+) -> DataFrame:
     """Each row with totals of its group.
 
     Totals are pre-aggregated on the map side and joined back, one row per group, so a group is never
-    gathered in one task as a window would do; adaptive execution splits or broadcasts the join.
+    gathered in one task as a window would do. The rows of a large group are split by ``row_ids`` and the
+    group's totals copied to each split; the counts that tell which groups are large come with the totals.
     """
     keys = list(keys)
-    per_group = df.groupBy(*keys).agg(*totals)
-    renamed = {k: f"_g_{k}" for k in keys}
-    per_group = per_group.withColumnsRenamed(renamed)
-    on = [F.col(k).eqNullSafe(F.col(g)) for k, g in renamed.items()]
-    return df.join(per_group, on, "left").drop(*renamed.values())
+    marks = {k: f"_g_{k}" for k in keys}
+    same = lambda names: [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    per_group = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *totals).withColumnsRenamed(marks)
+    splits = F.ceil(F.col("_rows") / F.lit(rows_per_split)).cast("int")
+    hot_marks = {k: f"_h_{k}" for k in keys}
+    hot = per_group.where(F.col("_rows") > rows_per_split).select(*[F.col(marks[k]).alias(h) for k, h in hot_marks.items()], splits.alias("_ls"))
+    left = df.join(F.broadcast(hot), same(hot_marks), "left").drop(*hot_marks.values())
+    left = left.withColumn("_lsalt", F.when(F.col("_ls") > 1, _split_of(row_ids, F.col("_ls"))).otherwise(0)).drop("_ls")
+    right = per_group.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), splits - 1))).drop("_rows")
+    return left.join(right, [*same(marks), F.col("_lsalt") == F.col("_rsalt")], "left").drop(*marks.values(), "_lsalt", "_rsalt")

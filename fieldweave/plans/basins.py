@@ -62,16 +62,17 @@ def impact_curve(rows: DataFrame, id_col: str = "entity_id") -> DataFrame:
 
     ``rows``: ``id, production, ci, gor, basin_name``.
     """
-    total = rows.agg(F.sum("production").alias("_total"), weighted_average(F.col("ci"), F.col("production")).alias("average_ci"))
-    shaped = rows.join(F.broadcast(total)).withColumns(
+    total = rows.agg(F.sum("production")).scalar()
+    shaped = rows.withColumns(
         {
+            "average_ci": rows.agg(weighted_average(F.col("ci"), F.col("production"))).scalar(),
             "impact": F.col("production") * F.col("ci"),
             "gor_class": gor_class(F.col("gor")),
             "basin_class": basin_class(F.col("basin_name")),
-            "width": F.try_divide("production", "_total"),
+            "width": F.try_divide(F.col("production"), total),
         }
     )
-    curve = running_sum(shaped.drop("_total"), ["ci", id_col], "width", "_upto")
+    curve = running_sum(shaped, ["ci", id_col], "width", "_upto")
     return curve.withColumn("start_x", F.col("_upto") - F.col("width")).drop("_upto")
 
 

@@ -22,8 +22,8 @@ def source_pairs(matches: DataFrame) -> DataFrame:
     sources; pairs are then read off that set.
     """
     sets = entity_sources(matches).groupBy("entity_id").agg(F.collect_set("source_name").alias("_set"))
-    names = matches.select("source_name").distinct().agg(F.collect_set("source_name").alias("_all"))
-    rows = sets.join(F.broadcast(names)).withColumn("source", F.explode("_set")).withColumn("other", F.explode("_all"))
+    names = matches.select("source_name").distinct().agg(F.collect_set("source_name")).scalar()
+    rows = sets.withColumn("_all", names).withColumn("source", F.explode("_set")).withColumn("other", F.explode("_all"))
     rows = rows.where("source <> other")
     both = F.array_contains(F.col("_set"), F.col("other")).cast("int")
     return rows.groupBy("source", "other").agg(F.sum(both).alias("matched"), F.sum(1 - both).alias("unmatched"))

@@ -28,16 +28,19 @@ def flare_rollup(flares: DataFrame, seq: str = "month") -> DataFrame:
     )
 
 
-def share_of_group(rows: DataFrame, keys: list[str], value: str, out: str = "weight") -> DataFrame:
-    """Share of ``value`` within groups of several rows, 1 in groups of one; null where the total is 0."""
+def share_of_group(rows: DataFrame, keys: list[str], value: str, row_ids: list[str], out: str = "weight") -> DataFrame:
+    """Share of ``value`` within groups of several rows, 1 in groups of one; null where the total is 0.
+
+    ``row_ids`` tell the rows of a group apart.
+    """
     totals = [F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_total")]
-    rows = with_group_totals(rows, keys, totals)
+    rows = with_group_totals(rows, keys, totals, row_ids)
     weight = F.when(F.col("_n") > 1, F.try_divide(F.col(value), F.col("_total"))).otherwise(F.lit(1.0))
     return rows.withColumn(out, weight).drop("_n", "_total")
 
 
-def renormalize(rows: DataFrame, keys: list[str], weight: str = "weight") -> DataFrame:
-    rows = with_group_totals(rows, keys, [F.sum(weight).alias("_total")])
+def renormalize(rows: DataFrame, keys: list[str], row_ids: list[str], weight: str = "weight") -> DataFrame:
+    rows = with_group_totals(rows, keys, [F.sum(weight).alias("_total")], row_ids)
     return rows.withColumn(weight, F.try_divide(F.col(weight), F.col("_total"))).drop("_total")
 
 
@@ -71,23 +74,21 @@ def attribute_flares(
     """
     flares = freeze(flares.select("id", "lon", "lat", "bcm"), "flares")
     pairs = located(flares, fields, buffer_deg, bucket_deg)
-    weighted = share_of_group(pairs, ["id"], "oil_prod").join(flares.select("id", "bcm"), "id")
+    weighted = share_of_group(pairs, ["id"], "oil_prod", ["field_id"]).join(flares.select("id", "bcm"), "id")
     volumes = weighted.groupBy("field_id").agg(F.coalesce(F.sum(F.col("bcm") * F.col("weight")), F.lit(0.0)).alias("flare_bcm"))
     old = F.col("for_value") if "for_value" in fields.columns else F.lit(None).cast("double")
     ratio = F.col("flare_bcm") * F.lit(SCF_PER_BCM) / (production_or_one(F.col("oil_prod")) * F.lit(DAYS))
     out = fields.withColumn("for_value", old).join(volumes, "field_id", "left")
     out = out.withColumn("for_value", F.coalesce(ratio, F.col("for_value")))
 
-    total = flares.agg(F.sum("bcm").alias("total"))
     ids = pairs.where("interior").select("id").distinct()
-    initial = flares.join(ids, "id", "left_semi").agg(F.coalesce(F.sum("bcm"), F.lit(0.0)).alias("initial"))
+    initial = flares.join(ids, "id", "left_semi").agg(F.sum("bcm")).scalar()
     back = F.sum(production_or_one(F.col("oil_prod")) * F.col("for_value")) * F.lit(DAYS) / F.lit(SCF_PER_BCM)
-    final = out.agg(F.coalesce(back, F.lit(0.0)).alias("final"))
-    rate = lambda c: F.when(F.col("total") != 0, F.col(c) / F.col("total")).otherwise(F.lit(0.0))
-    # three one-row tables
-    rates = total.join(F.broadcast(initial)).join(F.broadcast(final)).select(
-        rate("initial").alias("initial_rate"), rate("final").alias("final_rate"), (F.lit(1.0) - rate("final")).alias("unmatched_rate")
-    )
+    final = out.agg(back).scalar()
+    total = flares.agg(F.sum("bcm").alias("total"))
+    rate = lambda volume: F.when(F.col("total") != 0, F.coalesce(volume, F.lit(0.0)) / F.col("total")).otherwise(F.lit(0.0))
+    rates = total.select(rate(initial).alias("initial_rate"), rate(final).alias("final_rate"))
+    rates = rates.withColumn("unmatched_rate", F.lit(1.0) - F.col("final_rate"))
     return out, rates
 
 
@@ -105,8 +106,8 @@ def monthly_weights(flares: DataFrame, fields: DataFrame, buffer_deg: float = 0.
     monthly = flares.groupBy("id", month_number(F.col("month")).alias("month")).agg(F.sum("bcm").alias("bcm"))
     places = flares.groupBy("id").agg(F.min_by(F.struct("lon", "lat"), F.col("month")).alias("_at")).select("id", "_at.lon", "_at.lat")
     pairs = located(freeze(places, "places"), fields, buffer_deg, bucket_deg)
-    rows = share_of_group(monthly.join(pairs, "id"), ["id", "month"], "oil_prod")
-    return renormalize(rows, ["id", "month"])
+    rows = share_of_group(monthly.join(pairs, "id"), ["id", "month"], "oil_prod", ["field_id"])
+    return renormalize(rows, ["id", "month"], ["field_id"])
 
 
 def attribute_flares_monthly(flares: DataFrame, fields: DataFrame, buffer_deg: float = 0.05, bucket_deg: float = 1.0) -> DataFrame:

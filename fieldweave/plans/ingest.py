@@ -112,12 +112,19 @@ def converted_columns(config: EntryConfig, have: Sequence[str]) -> tuple[dict[st
 
 
 def ingest(
-    df: DataFrame, config: Mapping[str, Any] | EntryConfig, as_of: str, entry_id: int, identities: DataFrame, row_id: Sequence[str]
+    df: DataFrame,
+    config: Mapping[str, Any] | EntryConfig,
+    as_of: str,
+    entry_id: int | Column,
+    identities: DataFrame,
+    row_id: Sequence[str],
+    batch: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(new identities, field rows, rejects)`` of one upload read as text columns.
 
     ``row_id`` names the columns identifying an input row. Rows with a value that cannot be converted are
-    rejected with the columns at fault; a missing name stays missing.
+    rejected with the columns at fault; a missing name stays missing. Several uploads can go together: their
+    rows then carry the entry (``entry_id`` as a column of ``row_id``, prefixed ``_id_``) and share ``batch``.
     """
     parsed = config if isinstance(config, EntryConfig) else EntryConfig.parse(config)
     problems = check_mappings(parsed)
@@ -139,8 +146,8 @@ def ingest(
     ids = [f"_id_{c}" for c in row_id]
     rejects = marked.where(F.size("_faults") > 0).select(*ids, F.array_join("_faults", ", ").alias("faults"))
     good = marked.where(F.size("_faults") == 0).drop("_faults")
-    rows, created = get_or_create(good, identities, ids, f"entry-{entry_id}")
-    data = rows.withColumns({"data_entry_id": F.lit(entry_id), "effective_start_date": F.lit(as_of).cast("timestamp")})
+    rows, created = get_or_create(good, identities, ids, batch or f"entry-{entry_id}")
+    data = rows.withColumns({"data_entry_id": entry_id if isinstance(entry_id, Column) else F.lit(entry_id), "effective_start_date": F.lit(as_of).cast("timestamp")})
     return created, data, rejects
 
 

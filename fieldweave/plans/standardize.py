@@ -37,7 +37,7 @@ class SourceMeta:
 
 
 def metadata_table(spark: SparkSession, sources: Sequence[SourceMeta]) -> DataFrame:
-    rows = [(s.source_id, s.name, s.explain, s.url, s.kind, s.time, s.reliability, s.recency, s.coverage) for s in sources]
+    rows = [(s.source_id, s.name, s.explain, s.url, s.kind, s.time, float(s.reliability), float(s.recency), float(s.coverage)) for s in sources]
     schema = "source_id string, name string, name_explain string, url string, type string, time string, reliability double, recency double, coverage double"
     table = spark.createDataFrame(rows, schema)
     return table.withColumn("data_score", Q.source_score(F.col("reliability"), F.col("recency"), F.col("coverage")))

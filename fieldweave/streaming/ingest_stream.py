@@ -1,18 +1,24 @@
-"""Uploads picked up from a folder, each once, with a status per file."""
+"""Uploads picked up from a folder, each once, with a status per file.
+
+All new files of a trigger go through one Spark job: a file that cannot be used is a row with an error, not an
+exception, so it stops neither the others nor the driver.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldweave.functions import schema as G
+from fieldweave.functions.text import file_kind
 from fieldweave.operators.projection import align_types
-from fieldweave.plans.ingest import ingest_file
+from fieldweave.plans.ingest import EntryConfig, ingest
+from fieldweave.session import freeze
 from fieldweave.sources.files import latest_rows
 
 PENDING, PROCESSING, COMPLETED, FAILED = "PENDING", "PROCESSING", "COMPLETED", "FAILED"
@@ -26,6 +32,7 @@ ROW_SCHEMA = T.StructType(
     ]
 )
 IDENTITY_SCHEMA = "field_code string, name string, country string"
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 class UploadStore:
@@ -34,7 +41,7 @@ class UploadStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _read(self, name: str, schema: str | Any) -> DataFrame:
+    def _read(self, name: str, schema: str | T.StructType) -> DataFrame:
         path = f"{self.folder}/{name}"
         try:
             return self.spark.read.schema(schema).parquet(path)
@@ -43,67 +50,103 @@ class UploadStore:
                 return self.spark.createDataFrame([], schema)
             raise
 
+    def write(self, df: DataFrame, name: str, attempt: int) -> None:
+        """One folder per attempt: repeating an interrupted attempt replaces what it left."""
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/part={attempt}")
+
     def status(self) -> DataFrame:
         return latest_rows(self._read("status", STATUS_SCHEMA), ["path"], "attempt")
 
+    def next_attempt(self) -> int:
+        top = self._read("status", STATUS_SCHEMA).agg(F.max("attempt")).collect()[0][0]
+        return 0 if top is None else top + 1
+
     def identities(self) -> DataFrame:
         return self._read("identities", IDENTITY_SCHEMA)
 
     def fields(self) -> DataFrame:
-        """Rows of completed entries only: a failed attempt may have left some behind."""
-        folder = f"{self.folder}/fields"
+        """Rows of completed entries."""
         done = self.status().where(F.col("status") == COMPLETED).select("data_entry_id")
-        return self.spark.read.parquet(folder).join(done, "data_entry_id", "left_semi")
-
-    def record(self, path: str, entry: int, md5: str, status: str, error: str | None, n_rows: int | None, attempt: int) -> None:
-        row = [(path, entry, md5, status, error, n_rows, attempt)]
-        self.spark.createDataFrame(row, STATUS_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.folder}/status")
-
-
-def process_upload(store: UploadStore, path: str, md5: str, config: Mapping[str, Any], as_of: str) -> str:
-    """Ingest one file; any failure becomes its status and does not reach the caller."""
-    spark = store.spark
-    past = store.status().where(F.col("path") == path).collect()
-    if past and past[0]["status"] == COMPLETED:
-        return COMPLETED
-    attempt = (past[0]["attempt"] if past else 0) + 2
-    entry = int(md5[:15], 16)
-    store.record(path, entry, md5, PROCESSING, None, None, attempt - 1)
-    try:
-        if not path.lower().endswith(".csv"):
-            raise ValueError(f"Unsupported file extension: {path.rsplit('.', 1)[-1]}")
-        created, data, _ = ingest_file(spark, path, config, as_of, entry, store.identities())
-        rows = align_types(data, ROW_SCHEMA)
-        rows.write.mode("overwrite").parquet(f"{store.folder}/fields/data_entry={entry}")
-        created.write.mode("append").parquet(f"{store.folder}/identities")
-        n_rows = spark.read.parquet(f"{store.folder}/fields/data_entry={entry}").count()
-        store.record(path, entry, md5, COMPLETED, None, n_rows, attempt)
-        return COMPLETED
-    except Exception as error:  # noqa: BLE001 - the status table is where failures go
-        store.record(path, entry, md5, FAILED, f"Processing error: {error}"[:1000], None, attempt)
-        return FAILED
+        return self._read("fields", ROW_SCHEMA).join(done, "data_entry_id", "left_semi")
+
+
+def _cells(line: Column, width: int, delimiter: str) -> Column:
+    """Fields of one CSV line as an array."""
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    parsed = F.from_csv(line, F.lit(schema), {"sep": delimiter, "escape": '"', "quote": '"'})
+    return F.array(*[parsed[f"c{i}"] for i in range(width)])
+
+
+def process_files(store: UploadStore, files: DataFrame, config: Mapping[str, Any], as_of: str) -> None:
+    """Ingest the given files (``path, content``) together and record each one's status.
+
+    Only the widest header's number of columns and a counter come to the driver.
+    """
+    parsed = EntryConfig.parse(config)
+    attempt = store.next_attempt()
+    sources = [s for s, _ in parsed.mappings]
+    raw = F.col("content").cast("string") if parsed.encoding.lower() in ("utf-8", "utf8") else F.decode("content", parsed.encoding)
+    readable = F.is_valid_utf8(raw)
+    lines = F.split(F.when(readable, raw), r"\r?\n")
+    texts = files.select("path", F.md5("content").alias("md5"), readable.alias("readable"), lines.alias("lines"))
+    texts = texts.withColumn("line", F.get("lines", F.lit(parsed.header_row)))
+
+    n_columns = F.size(F.split(F.coalesce("line", F.lit("")), f"\\Q{parsed.delimiter}\\E"))
+    width = texts.agg(F.max(n_columns)).collect()[0][0]
+    width = max(1, width or 1)
+    missing = F.array_except(F.array(*[F.lit(s) for s in sources]), F.col("header"))
+    kind = file_kind(F.element_at(F.split("path", "/"), -1))
+    error = (
+        F.when(kind.isNull() | (kind != "csv"), F.concat(F.lit("Unsupported file extension: "), F.coalesce(kind, F.lit("none"))))
+        .when(~F.col("readable"), F.lit(f"Processing error: not {parsed.encoding}"))
+        .when(F.col("line").isNull(), F.lit("Processing error: no header line"))
+        .when(F.size(missing) > 0, F.concat(F.lit("Missing source attributes in data: "), F.array_join(missing, ", ")))
+    )
+    headed = texts.withColumn("header", F.transform(F.coalesce(_cells(F.col("line"), width, parsed.delimiter), F.array()), F.trim))
+    entry = F.conv(F.substring("md5", 1, 15), 16, 10).cast("bigint")
+    states = freeze(headed.select("path", "md5", entry.alias("data_entry_id"), error.alias("error_message")), "states")
+    started = states.select("path", "data_entry_id", "md5", F.lit(PROCESSING).alias("status"), F.lit(None).cast("string").alias("error_message"), F.lit(None).cast("bigint").alias("n_rows"), F.lit(attempt).cast("bigint").alias("attempt"))
+    store.write(started, "status", attempt)
+
+    good = states.where("error_message is null").select("path", "data_entry_id")
+    body = F.slice("lines", F.lit(parsed.header_row + 2), F.greatest(F.size("lines") - (parsed.header_row + 1), F.lit(0)))
+    rows = headed.join(good, "path").select("data_entry_id", "header", F.posexplode(body).alias("line_no", "text")).where(F.trim("text") != "")
+    cells = rows.withColumn("cells", _cells(F.col("text"), width, parsed.delimiter))
+    named = cells.select(
+        "data_entry_id", "line_no", *[F.get("cells", (F.array_position("header", s) - 1).cast("int")).alias(s) for s in sources]
+    )
+    named = freeze(named, "upload")
+    created, data, _ = ingest(named, parsed, as_of, F.col("_id_data_entry_id"), store.identities(), ["data_entry_id", "line_no"], "stream")
+    data = freeze(align_types(data, ROW_SCHEMA), "rows")
+    store.write(data, "fields", attempt)
+    store.write(created, "identities", attempt)
+    counts = data.groupBy("data_entry_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    finished = states.join(counts, "data_entry_id", "left").select(
+        "path", "data_entry_id", "md5",
+        F.when(F.col("error_message").isNull(), COMPLETED).otherwise(FAILED).alias("status"),
+        "error_message",
+        F.when(F.col("error_message").isNull(), F.coalesce("n_rows", F.lit(0))).alias("n_rows"),
+        F.lit(attempt + 1).cast("bigint").alias("attempt"),
+    )
+    store.write(finished, "status", attempt + 1)
 
 
 def ingest_stream(
     spark: SparkSession, inbox: str, store: UploadStore, config: Mapping[str, Any], as_of: str, checkpoint: str
 ) -> StreamingQuery:
-    """Watch a folder and ingest each new file once.
-
-    Only the list of new files passes the driver (paths and hashes); their rows are read by Spark. A file whose
-    content was seen before is skipped.
-    """
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(inbox)
+    """Watch a folder and ingest each new file once; content that was completed before is not taken again."""
+    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).load(inbox)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select("path", F.md5("content").alias("md5")).groupBy("md5").agg(F.min("path").alias("path"))
-        done = store.status().where(F.col("status") == COMPLETED).select("md5")
-        for row in new.join(done, "md5", "left_anti").orderBy("path").toLocalIterator():
-            process_upload(store, row["path"], row["md5"], config, as_of)
+        first = batch.withColumn("_md5", F.md5("content")).groupBy("_md5").agg(F.min("path").alias("path"))
+        done = store.status().where(F.col("status") == COMPLETED).select(F.col("md5").alias("_md5"))
+        process_files(store, batch.join(first.join(done, "_md5", "left_anti"), "path", "left_semi"), config, as_of)
 
     return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
 
 
-def retry_failed(store: UploadStore, config: Mapping[str, Any], as_of: str) -> None:
-    """Try the failed files again."""
-    for row in store.status().where(F.col("status") == FAILED).select("path", "md5").toLocalIterator():
-        process_upload(store, row["path"], row["md5"], config, as_of)
+def retry_failed(store: UploadStore, inbox: str, config: Mapping[str, Any], as_of: str) -> None:
+    """Try the failed files of the inbox again."""
+    failed = store.status().where(F.col("status") == FAILED).select("path")
+    files = store.spark.read.format("binaryFile").load(inbox)
+    process_files(store, files.join(failed, "path", "left_semi"), config, as_of)

@@ -65,7 +65,7 @@ def test_monthly_attribution(spark):
 
 def test_overlap_weights_add_up(spark):
     pairs = spark.createDataFrame([(1, 5.0), (1, 15.0), (2, 7.0), (3, 0.0), (3, 0.0), (4, None), (4, 2.0)], "id bigint, oil_prod double")
-    rows = flares.share_of_group(pairs, ["id"], "oil_prod").collect()
+    rows = flares.share_of_group(pairs, ["id"], "oil_prod", ["oil_prod"]).collect()
     got = sorted((r["id"], -1 if r["weight"] is None else r["weight"]) for r in rows)
     assert got == [(1, 0.25), (1, 0.75), (2, 1.0), (3, -1), (3, -1), (4, -1), (4, 1.0)]
 
@@ -213,6 +213,6 @@ def test_upload_stream(spark, tmp_path):
     run()
     assert store.fields().count() == 6 and store.identities().where("name = 'Tupi'").count() == 1
     write(inbox / "b.csv", GOOD.replace("Tupi", "Sapo"))
-    retry_failed(store, CONFIG, "2024-01-02")
+    retry_failed(store, str(inbox), CONFIG, "2024-01-02")
     status = {r["path"].rsplit("/", 1)[1]: r["status"] for r in store.status().collect()}
     assert status["b.csv"] == COMPLETED and status["c.txt"] == FAILED
