@@ -132,7 +132,7 @@ INTENSITY_FLAGS = (
 def target_columns(available: list[str], as_of_year: int) -> list[Column]:
     """The newer attributes that the available older columns determine, as one select list."""
     have = set(available)
-    col = lambda name: F.col(f"`{name}`") if name in have else F.lit(None)
+    col = lambda name: F.col(f"`{name}`") if name in have else F.lit(None).cast("int")
     out = [F.col(f"`{old}`").alias(new) for old, new in RENAMES.items() if old in have]
     for old, new, options in (
         (FLOOD_GAS, "flood_gas_type", FLOOD_GASES),

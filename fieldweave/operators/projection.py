@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldweave.functions import recode
+from fieldweave.functions.schema import target_schema
 from fieldweave.operators.numbering import number_rows
 
 ColumnFn = Callable[..., Column | dict[str, Column]]
@@ -16,6 +17,12 @@ ColumnFn = Callable[..., Column | dict[str, Column]]
 OpTable = Mapping[str, tuple[Sequence[str], ColumnFn]]
 
 
+def _missing(target: str) -> Column:
+    """Null in the type the target schema declares (text for a name it does not know)."""
+    kinds = {f.name: f.dataType for f in target_schema().fields}
+    return F.lit(None).cast(kinds.get(target, T.StringType()))
+
+
 def mapped_columns(df: DataFrame, ops: OpTable, targets: Sequence[str]) -> list[Column]:
     """One column per target: its function over the inputs, null where it is not configured or an input is absent.
 
@@ -28,9 +35,9 @@ def mapped_columns(df: DataFrame, ops: OpTable, targets: Sequence[str]) -> list[
             out = fn(*[F.col(f"`{c}`") for c in inputs])
             made.update(out if isinstance(out, dict) else {target: out})
         else:
-            made.setdefault(target, F.lit(None))
+            made.setdefault(target, _missing(target))
     names = list(dict.fromkeys([*targets, *made]))
-    return [made.get(n, F.lit(None)).alias(n) for n in names]
+    return [made.get(n, _missing(n)).alias(n) for n in names]
 
 
 def map_schema(df: DataFrame, ops: OpTable, targets: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldweave.session import freeze
+
 # Rows of one key that a single task may see; larger keys are split.
 ROWS_PER_SPLIT = 200_000
 
@@ -103,15 +105,19 @@ def with_group_totals(
 
     Totals are pre-aggregated on the map side and joined back, one row per group, so a group is never
     gathered in one task as a window would do. The rows of a large group are split by ``row_ids`` and the
-    group's totals copied to each split; the counts that tell which groups are large come with the totals.
+    group's totals copied to each split; the counts that tell which groups are large come with the totals,
+    which are stored once.
     """
     keys = list(keys)
     marks = {k: f"_g_{k}" for k in keys}
     same = lambda names: [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
-    per_group = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *totals).withColumnsRenamed(marks)
+    per_group = freeze(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *totals).withColumnsRenamed(marks), "totals")
+    hot = per_group.where(F.col("_rows") > rows_per_split)
+    if hot.isEmpty():
+        return df.join(per_group.drop("_rows"), same(marks), "left").drop(*marks.values())
     splits = F.ceil(F.col("_rows") / F.lit(rows_per_split)).cast("int")
     hot_marks = {k: f"_h_{k}" for k in keys}
-    hot = per_group.where(F.col("_rows") > rows_per_split).select(*[F.col(marks[k]).alias(h) for k, h in hot_marks.items()], splits.alias("_ls"))
+    hot = hot.select(*[F.col(marks[k]).alias(h) for k, h in hot_marks.items()], splits.alias("_ls"))
     left = df.join(F.broadcast(hot), same(hot_marks), "left").drop(*hot_marks.values())
     left = left.withColumn("_lsalt", F.when(F.col("_ls") > 1, _split_of(row_ids, F.col("_ls"))).otherwise(0)).drop("_ls")
     right = per_group.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), splits - 1))).drop("_rows")

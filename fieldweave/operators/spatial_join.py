@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def _in_box(x: Column, y: Column, box: Column, grow: float) -> Column:
 def point_shape_join(
     points: DataFrame,
     fields: DataFrame,
-    point_id: str,
+    point_id: str | Sequence[str],
     how: str = "inner",
     x: str = "lon",
     y: str = "lat",
@@ -50,12 +52,13 @@ def point_shape_join(
     number of points where it is known, saves looking for them. Columns of ``fields`` must not repeat names
     of ``points``.
     """
+    ids = [point_id] if isinstance(point_id, str) else list(point_id)
     left = points.withColumn("_bx", _bucket(F.col(x), bucket_deg)).withColumn("_by", _bucket(F.col(y), bucket_deg))
     right = _shape_buckets(fields, shape, bucket_deg, distance)
     px, py, s = F.col(x), F.col(y), F.col(shape)
     exact = S.point_in_shape(px, py, s) if distance == 0 else S.point_in_buffered_shape(px, py, s, distance)
     hit = _in_box(px, py, F.col("_box"), distance) & exact
-    joined = salted_join(left, right, ["_bx", "_by"], [point_id], None, how, hit, rows_per_split, left_bound=point_bound, heavy=True)
+    joined = salted_join(left, right, ["_bx", "_by"], ids, None, how, hit, rows_per_split, left_bound=point_bound, heavy=True)
     return joined.drop("_bx", "_by", "_box")
 
 

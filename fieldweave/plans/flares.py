@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.functions.quantities import SCF_PER_BCM
 from fieldweave.functions.text import month_number
-from fieldweave.operators.skew import with_group_totals
+from fieldweave.operators.skew import salted_join, with_group_totals
 from fieldweave.operators.spatial_join import point_shape_join
 from fieldweave.session import freeze
 
@@ -47,17 +47,22 @@ def renormalize(rows: DataFrame, keys: list[str], row_ids: list[str], weight: st
 def located(flares: DataFrame, fields: DataFrame, buffer_deg: float, bucket_deg: float) -> DataFrame:
     """``id, field_id, oil_prod, interior``: fields around each flare, the buffer only for flares inside none.
 
-    The two spatial joins run once each and leave a narrow table in the shared folder; everything after
-    reads that. ``flares`` should be stored, it is read more than once.
+    Shapes are tested once per distinct position, however many flares share it, and the two spatial joins
+    leave a narrow table in the shared folder; everything after reads that. ``flares`` should be stored, it is
+    read more than once.
     """
-    points = flares.select("id", "lon", "lat")
-    n_points = points.count()
-    targets = fields.select("field_id", "oil_prod", "shape")
-    keep = ["id", "field_id", "oil_prod"]
-    inside = freeze(point_shape_join(points, targets, "id", bucket_deg=bucket_deg, point_bound=n_points).select(*keep, F.lit(True).alias("interior")), "inside")
-    rest = points.join(inside.select("id"), "id", "left_anti")
-    near = point_shape_join(rest, targets, "id", distance=buffer_deg, bucket_deg=bucket_deg, point_bound=n_points).select(*keep, F.lit(False).alias("interior"))
-    return freeze(inside.unionByName(near), "located")
+    places = freeze(flares.select("lon", "lat").where("lon is not null and lat is not null").distinct(), "places")
+    n_places = places.count()
+    targets = freeze(fields.select("field_id", "oil_prod", "shape").where("shape is not null"), "targets")
+    keep = ["lon", "lat", "field_id", "oil_prod"]
+    inside = point_shape_join(places, targets, ["lon", "lat"], bucket_deg=bucket_deg, point_bound=n_places)
+    inside = freeze(inside.select(*keep, F.lit(True).alias("interior")), "inside")
+    rest = places.join(inside.select("lon", "lat"), ["lon", "lat"], "left_anti")
+    near = point_shape_join(rest, targets, ["lon", "lat"], distance=buffer_deg, bucket_deg=bucket_deg, point_bound=n_places)
+    near = near.select(*keep, F.lit(False).alias("interior"))
+    around = freeze(inside.unionByName(near), "around")
+    pairs = salted_join(flares.select("id", "lon", "lat"), around, ["lon", "lat"], ["id"], None, "inner", left_bound=flares.count())
+    return freeze(pairs.select("id", "field_id", "oil_prod", "interior"), "located")
 
 
 def production_or_one(oil: Column) -> Column:

@@ -40,8 +40,12 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared work folder; never reused, so a retry cannot read a half-written table."""
-    return f"{work_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared work folder, under this application's own folder.
+
+    Paths are never reused, so a retry cannot read a half-written table; the application's folder can be
+    removed as a whole once it has ended.
+    """
+    return f"{work_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def freeze(df: DataFrame, name: str = "stage") -> DataFrame:
