@@ -103,7 +103,15 @@ def _(fx):
     return M.lineage_rows(looked_up(fx), _LINEAGE_COLS)
 
 
-@query("SCL25_json_lineage")
+_ITEM = """'{"source_name":"' || source_name || '","field_id":' || field_id || '}'"""
+
+
+@query(
+    "SCL25_json_lineage",
+    f"""{SQL_LOOKUP}, long AS ({" UNION ALL ".join(f"SELECT entity_id, '{c}' AS col, source_name, field_id FROM looked WHERE {c} IS NOT NULL" for c in _LINEAGE_COLS)}),
+    per AS (SELECT entity_id, col, '"' || col || '":[' || string_agg({_ITEM}, ',' ORDER BY source_name, field_id) || ']' AS part FROM long GROUP BY entity_id, col)
+    SELECT entity_id, '{{' || string_agg(part, ',' ORDER BY col) || '}}' AS lineage FROM per GROUP BY entity_id""",
+)
 def _(fx):
     return M.lineage_map(looked_up(fx), _LINEAGE_COLS)
 

@@ -18,8 +18,10 @@ ORACLES: dict[str, str] = {}
 def with_views(sql: str) -> str:
     """``sql`` over the fixture views; its own leading WITH is folded into the list of views."""
     body = sql.strip()
-    joiner = ",\n" + body[len("WITH ") :] if body.startswith("WITH ") else "\n" + body
-    return f"WITH {sql_views()}{joiner}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(head):
+            return f"{head}{sql_views()},\n{body[len(head):]}"
+    return f"WITH {sql_views()}\n{body}"
 
 
 def query(key: str, sql: str | None = None):

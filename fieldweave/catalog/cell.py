@@ -128,7 +128,20 @@ def _(fx):
     return rows.select("field_id", F.size(S.vertices(F.col("hull"))).alias("n_vertices"), rounded(box["xmin"]).alias("x0"), rounded(box["ymax"]).alias("y1"))
 
 
-@query("GEO12_largest_cluster_of_parts")
+_KM = (
+    "2 * 6371.0088e0 * asin(least(1e0, sqrt(sin(radians(b.lat - a.lat) / 2) ** 2"
+    " + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)))"
+)
+
+
+@query(
+    "GEO12_largest_cluster_of_parts",
+    f"""WITH RECURSIVE p AS (SELECT country, lon, lat, row_number() OVER () AS k FROM (SELECT DISTINCT country, lon, lat, half FROM fx_field)),
+    e AS (SELECT a.country, a.k AS x, b.k AS y FROM p a JOIN p b ON a.country = b.country WHERE {_KM} <= 250),
+    reach AS (SELECT country, x, y FROM e UNION SELECT r.country, r.x, e.y FROM reach r JOIN e ON e.x = r.y),
+    size AS (SELECT country, x, count(*) AS n FROM reach GROUP BY country, x)
+    SELECT country, max(n) AS n_parts FROM size GROUP BY country""",
+)
 def _(fx):
     shapes = V.dissolve(fx.field_shape, "country", "shape")
     return V.largest_part_cluster(shapes, "country", "shape", eps_km=250.0).select("country", "n_parts")

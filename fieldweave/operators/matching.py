@@ -29,8 +29,8 @@ NEAR_STEPS = 20
 CROWDED = 200
 # From this name score on, the pieces of a name are long enough to serve as join keys.
 PIECE_RATIO = 75
-# An exact pair cannot tie with a merely similar one below this length (rounding to integers).
-EXACT_LENGTH = 198
+# An exact pair cannot tie with a merely similar one up to this length (rounding to integers).
+EXACT_LENGTH = {"edit": 198, "blocks": 98}
 
 
 def name_needed(steps: int | None, threshold: float, weights: tuple[float, float]) -> int:
@@ -172,6 +172,12 @@ def common_letters(a: Column, b: Column) -> Column:
     return F.aggregate(shared, F.lit(0), lambda acc, n: acc + n)
 
 
+def blocks_bound(a: Column, b: Column) -> Column:
+    """Highest matching-blocks score two names can have, from their common letters."""
+    share = F.try_divide(common_letters(a, b) * F.lit(200.0), F.length(a) + F.length(b))
+    return F.coalesce(F.floor(share + F.lit(0.5)), F.lit(0))
+
+
 def _best_by_name(names: DataFrame, known: DataFrame, ratio: int, similarity: str, rows_per_split: int) -> DataFrame:
     """Best known row per distinct name with ``name_score >= ratio``: ``name, name_score, _row, _seq``.
 
@@ -180,11 +186,12 @@ def _best_by_name(names: DataFrame, known: DataFrame, ratio: int, similarity: st
     with the names of every length that can still reach the ratio, crowded lengths cut into blocks.
     """
     same = F.col("name") == F.col("_name")
-    short = F.length("name") <= EXACT_LENGTH
+    limit = EXACT_LENGTH[similarity]
+    short = F.length("name") <= limit
     known = freeze(known, "known")
     bounds = {"right_bound": known.count()}
     exact = names.where(short).join(known, same).select("name", F.lit(100).alias("name_score"), "_row", "_seq")
-    settled = known.where(F.length("_name") <= EXACT_LENGTH).select("_name")
+    settled = known.where(F.length("_name") <= limit).select("_name")
     open_ = freeze(names.join(settled, same, "left_anti").where(F.length("name") > 0), "open")
     bounds["left_bound"] = open_.count()
     score = N.name_ratio(F.col("name"), F.col("_name"))
@@ -204,8 +211,7 @@ def _best_by_name(names: DataFrame, known: DataFrame, ratio: int, similarity: st
             pairs = salted_join(left, right, ["_len"], ["name"], ["_name"], "inner", score >= ratio, rows_per_split, heavy=True, **bounds)
             pairs = pairs.withColumn("name_score", score)
         else:
-            total = F.length("name") + F.length("_name")
-            hopeful = common_letters(F.col("name"), F.col("_name")) * F.lit(200.0) >= total * F.lit(ratio - 0.5) - F.lit(1e-6)
+            hopeful = blocks_bound(F.col("name"), F.col("_name")) >= ratio
             pairs = salted_join(left, right, ["_len"], ["name"], ["_name"], "inner", hopeful, rows_per_split, heavy=True, **bounds)
             pairs = pairs.withColumn("name_score", N.matching_blocks_ratio("name", "_name")).where(F.col("name_score") >= ratio)
     every = exact.unionByName(pairs.select("name", "name_score", "_row", "_seq"))
@@ -229,13 +235,15 @@ def best_matches(
     weights: tuple[float, float] = N.WEIGHTS,
     max_steps: int = N.DECAY_STEPS,
     tie_break: str = "first",
+    similarity: str = "edit",
     rows_per_split: int = ROWS_PER_SPLIT,
     crowded_from: int = CROWDED,
 ) -> DataFrame:
     """Best entity for each distinct (name, cell) of ``new`` that reaches the threshold.
 
     ``entities``: ``entity_id, name, cell, seq``; ``new``: ``name, cell``. Output: ``name, cell,
-    matched_entity_id, score``.
+    matched_entity_id, score``. ``similarity="edit"`` stays in the JVM; ``"blocks"`` scores names by matching
+    blocks, in Arrow batches over the pairs whose position and common letters allow the threshold.
     """
     if weights[0] * 100 + weights[1] * N.FAR_SCORE >= threshold:
         raise ValueError("with these weights far pairs could match; blocking by distance would lose them")
@@ -247,10 +255,10 @@ def best_matches(
 
     same = (F.col("name") == F.col("_name")) & (F.col("cell") == F.col("_cell"))
     full = F.lit(weights[0] * 100.0 + weights[1] * 100.0)
-    exact = wanted.where(F.length("name") <= EXACT_LENGTH).join(placed_known, same).select(
+    exact = wanted.where(F.length("name") <= EXACT_LENGTH[similarity]).join(placed_known, same).select(
         "name", "cell", F.lit(100).alias("name_score"), full.alias("score"), "_entity_id", "_seq"
     )
-    settled = placed_known.where(F.length("_name") <= EXACT_LENGTH).select("_name", "_cell")
+    settled = placed_known.where(F.length("_name") <= EXACT_LENGTH[similarity]).select("_name", "_cell")
     open_ = freeze(wanted.join(settled, same, "left_anti"), "open")
     placed, unplaced = open_.where("cell is not null"), open_.where("cell is null")
     # a bucket cannot hold more rows than there are
@@ -267,7 +275,7 @@ def best_matches(
     spread = lambda df: _bucketed(df, "cell", max_steps, True)
     crowded = coarse.groupBy("_bq", "_br").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowded_from).select("_bq", "_br")
     found = []
-    if crowded.isEmpty():
+    if similarity == "blocks" or crowded.isEmpty():
         sparse = coarse
     else:
         crowded = freeze(crowded, "crowded")
@@ -286,13 +294,19 @@ def best_matches(
             similar_name_pairs(placed, dense, far_ratio, ["_bq", "_br"], far_ok, *ids, rows_per_split, left_spread=spread, **sizes)
         )
     # other buckets: all pairs of neighbouring buckets
-    sparse_ok = (steps < max_steps) & lengths & good
+    if similarity == "edit":
+        sparse_ok = (steps < max_steps) & lengths & good
+    else:
+        hopeful = N.match_score(blocks_bound(F.col("name"), F.col("_name")), N.geo_decay_score(steps), weights)
+        sparse_ok = (steps < max_steps) & (hopeful >= F.lit(max(float(threshold), 1e-9)))
+        name_score = N.matching_blocks_ratio("name", "_name")
     found.append(salted_join(spread(placed), sparse, ["_bq", "_br"], *ids, "inner", sparse_ok, rows_per_split, heavy=True, **sizes))
     pairs = exact
     for p in found:
-        pairs = pairs.unionByName(
-            p.select("name", "cell", name_score.alias("name_score"), score.alias("score"), "_entity_id", "_seq")
-        )
+        scored = p.withColumn("name_score", name_score)
+        scored = scored.withColumn("score", N.match_score(F.col("name_score"), N.geo_decay_score(steps), weights))
+        scored = scored.where(F.col("score") >= F.lit(max(float(threshold), 1e-9)))
+        pairs = pairs.unionByName(scored.select("name", "cell", "name_score", "score", "_entity_id", "_seq"))
     # a cell is missing on one side or both: only the name counts, so names are compared once each
     ratio = name_needed(None, threshold, weights)
     by_name = N.match_score(F.col("name_score"), F.lit(0.0), weights)
@@ -302,7 +316,7 @@ def best_matches(
     if not known.where("_cell is null").isEmpty():
         branches.append((placed, _known_names(entities.where("cell is null"), ["entity_id"])))
     for rows, names in branches:
-        best = _best_by_name(rows.select("name").distinct(), names, ratio, "edit", rows_per_split)
+        best = _best_by_name(rows.select("name").distinct(), names, ratio, similarity, rows_per_split)
         pairs = pairs.unionByName(
             best.join(rows, "name").select("name", "cell", "name_score", by_name.alias("score"), F.col("_row.entity_id").alias("_entity_id"), "_seq")
         )

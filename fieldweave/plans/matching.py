@@ -45,13 +45,14 @@ def match_sources(
     max_steps: int = 50,
     rank: int = 1,
     tie_break: str = "first",
+    similarity: str = "edit",
 ) -> DataFrame:
     """Rows of ``new`` with the entity each belongs to; rows without a match become new entities.
 
     ``entities`` is the match table so far and should be stored (see :func:`fieldweave.session.freeze`).
     """
     rows = _prepare(new, rank)
-    best = best_matches(entities, rows, threshold, weights, max_steps, tie_break)
+    best = best_matches(entities, rows, threshold, weights, max_steps, tie_break, similarity)
     best = freeze(best.withColumnsRenamed({"name": "_bname", "cell": "_bcell"}), "best")
     keyed = rows.withColumns({"_bname": F.col("name"), "_bcell": F.col("cell")})
     found = salted_join(keyed, best, ["_bname", "_bcell"], ["seq"], None, "left", None, ROWS_PER_SPLIT, null_safe=True, left_bound=rows.count())
@@ -76,7 +77,9 @@ def match_by_name(entities: DataFrame, new: DataFrame, threshold: float = 60, we
     return _settle(entities, freeze(found, "matched"))
 
 
-def match_all_sources(sources: DataFrame, order: Sequence[str], threshold: float = 60, tie_break: str = "first") -> DataFrame:
+def match_all_sources(
+    sources: DataFrame, order: Sequence[str], threshold: float = 60, tie_break: str = "first", similarity: str = "edit"
+) -> DataFrame:
     """Match table of all sources in ``order``: parallel within a source, one source after the other.
 
     ``sources`` holds the rows of every source: ``source_id, source_name, field_id, seq, name, cell``.
@@ -84,7 +87,7 @@ def match_all_sources(sources: DataFrame, order: Sequence[str], threshold: float
     table = freeze(seed_matches(sources.where(F.col("source_id") == order[0])), "matches")
     for rank, source_id in enumerate(order[1:], start=1):
         new = sources.where(F.col("source_id") == source_id)
-        rows = match_sources(table, new, threshold, rank=rank, tie_break=tie_break)
+        rows = match_sources(table, new, threshold, rank=rank, tie_break=tie_break, similarity=similarity)
         table = freeze(table.unionByName(rows), "matches")
     return table
 

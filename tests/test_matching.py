@@ -34,12 +34,12 @@ def steps(a, b):
     return (abs(dq) + abs(dr) + abs(dq + dr)) // 2
 
 
-def score(n1, c1, n2, c2):
+def score(n1, c1, n2, c2, rate=ratio):
     geo = 0.0
     if c1 and c2:
         d = steps(c1, c2)
         geo = 100 * math.exp(-0.5 * (d * 0.1) * (d * 0.1)) if d < 50 else -40.0
-    return 0.7 * ratio(n1, n2) + 0.3 * geo
+    return 0.7 * rate(n1, n2) + 0.3 * geo
 
 
 def noisy(rng, name):
@@ -70,7 +70,7 @@ def frames(spark, known, new):
 
 @pytest.mark.parametrize(
     "null_cells,options",
-    [(0.0, {}), (0.15, {}), (0.15, {"crowded_from": 0}), (0.1, {"crowded_from": 0, "rows_per_split": 7}), (0.1, {"rows_per_split": 5})],
+    [(0.0, {}), (0.15, {}), (0.15, {"crowded_from": 0}), (0.1, {"crowded_from": 0, "rows_per_split": 7}), (0.1, {"rows_per_split": 5}), (0.1, {"similarity": "blocks"})],
 )
 def test_blocked_equals_brute_force(spark, null_cells, options):
     known, new = records(1, 120, null_cells), records(2, 150, null_cells)
@@ -80,7 +80,7 @@ def test_blocked_equals_brute_force(spark, null_cells, options):
     for _, name, cell in new:
         best, best_score = None, 0
         for i, other, other_cell in known:
-            s = score(name, cell, other, other_cell)
+            s = score(name, cell, other, other_cell, blocks if "similarity" in options else ratio)
             if s > best_score:
                 best, best_score = i, s
         if best is not None and best_score >= 60:

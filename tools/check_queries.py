@@ -6,7 +6,9 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import datetime as dt
+import io
 import math
 import os
 import sys
@@ -63,14 +65,18 @@ def main() -> int:
     args.add_argument("--sf", default="0.01")
     args.add_argument("--only", default="")
     args.add_argument("--data", default="/root/testdata")
+    args.add_argument("--no-broadcast", action="store_true", help="shuffle all joins and name nested-loop plans")
     opts = args.parse_args()
     folder = f"{opts.data}/sf{opts.sf}"
     spark = build_session("check", cores=8)
     spark.sparkContext.setLogLevel("ERROR")
+    if opts.no_broadcast:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     con = duckdb.connect()
     for t in _TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     bad = 0
+    nested = ("CartesianProduct", "BroadcastNestedLoopJoin")
     wanted = [w for w in opts.only.split(",") if w]
     for key in QUERIES:
         if wanted and not any(key.startswith(w) for w in wanted):
@@ -78,6 +84,12 @@ def main() -> int:
         start = time.time()
         try:
             note, n = compare(spark, con, key, folder)
+            if opts.no_broadcast:
+                shown = io.StringIO()
+                with contextlib.redirect_stdout(shown):
+                    QUERIES[key](spark, folder).explain()
+                plan = shown.getvalue()
+                note += "".join(f"  {name}!" for name in nested if name in plan)
         except Exception as error:  # noqa: BLE001 - reported per query
             note, n = "ERROR " + str(error)[:700] + "".join(traceback.format_tb(error.__traceback__)[-1:]), 0
         bad += not note.startswith(("ok", "rows only"))
