@@ -140,7 +140,7 @@ def convert(value: Column, from_unit: str | None, to_unit: str | None, source_ty
     typed = cast_typed(value, source_type)
     if from_unit and to_unit:
         factor, shift = unit_step(from_unit, to_unit)
-        typed = typed.cast("double") * F.lit(factor) + F.lit(shift)
+        typed = typed.try_cast("double") * F.lit(factor) + F.lit(shift)
         return cast_typed(typed, target_type, from_text=False)
     return cast_typed(typed, target_type, from_text=source_type in ("string", "geometry"))
 

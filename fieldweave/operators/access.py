@@ -29,9 +29,9 @@ def has_access(requests: DataFrame, users: DataFrame, edges: DataFrame) -> DataF
 
 def sources_of_user(user_id: int, users: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Sources one user may list: all for a superuser, the linked ones otherwise."""
-    me = users.where(F.col("user_id") == user_id).select(F.coalesce("is_superuser", F.lit(False)).alias("_super"))
+    me = users.where(F.col("user_id") == user_id).agg(F.bool_or("is_superuser"))
     linked = edges.where(F.col("user_id") == user_id).select("source_id")
-    all_if_super = sources.join(me.where("_super").limit(1), how="left_semi")
+    all_if_super = sources.where(F.coalesce(me.scalar(), F.lit(False)))
     return all_if_super.unionByName(sources.join(linked, "source_id", "left_semi")).distinct()
 
 

@@ -25,22 +25,34 @@ def scan_csv_config(
     dropped per file by line number, which needs whole files in one read task each; files with the header on
     top are read in splits.
     """
-    reader = spark.read.option("sep", delimiter).option("encoding", encoding).option("escape", '"').option("quote", '"')
+    reader = spark.read.option("sep", delimiter).option("encoding", charset(encoding)).option("escape", '"').option("quote", '"')
     if header_row == 0:
         if columns is None:
             return reader.csv(path, header=True)
         return reader.schema(", ".join(f"`{c}` string" for c in columns)).csv(path, header=True)
     names = list(columns) if columns is not None else _header_names(spark, path, delimiter, encoding, header_row)
-    lines = spark.read.option("encoding", encoding).text(path, wholetext=True)
+    lines = _whole_texts(spark, path, encoding)
     body = F.slice(F.split("value", r"\r?\n"), F.lit(header_row + 2), F.greatest(F.size(F.split("value", r"\r?\n")) - (header_row + 1), F.lit(0)))
     rows = lines.select(F.explode(body).alias("_line")).where(F.trim("_line") != "")
     parsed = F.from_csv("_line", F.lit(", ".join(f"`{c}` string" for c in names)), {"sep": delimiter, "escape": '"', "quote": '"'})
     return rows.select(parsed.alias("_r")).select("_r.*")
 
 
+# Charset names as configurations spell them and as Spark knows them (fixed values).
+CHARSETS = {"utf8": "UTF-8", "latin1": "ISO-8859-1", "latin-1": "ISO-8859-1", "iso8859-1": "ISO-8859-1", "ascii": "US-ASCII"}
+
+
+def charset(encoding: str) -> str:
+    return CHARSETS.get(encoding.lower(), encoding.upper())
+
+
+def _whole_texts(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select(F.decode("content", charset(encoding)).alias("value"))
+
+
 def _header_names(spark: SparkSession, path: str, delimiter: str, encoding: str, header_row: int) -> list[str]:
     """Column names in the header line: one short line comes to the driver."""
-    text = spark.read.option("encoding", encoding).text(path, wholetext=True)
+    text = _whole_texts(spark, path, encoding)
     line = text.select(F.get(F.split("value", r"\r?\n"), F.lit(header_row)).alias("h")).limit(1).collect()[0]["h"]
     return [c.strip().strip('"') for c in line.split(delimiter)]
 

@@ -19,7 +19,7 @@ from fieldweave.functions.text import file_kind
 from fieldweave.operators.projection import align_types
 from fieldweave.plans.ingest import EntryConfig, ingest
 from fieldweave.session import freeze
-from fieldweave.sources.files import latest_rows
+from fieldweave.sources.files import charset, latest_rows
 
 PENDING, PROCESSING, COMPLETED, FAILED = "PENDING", "PROCESSING", "COMPLETED", "FAILED"
 STATUS_SCHEMA = "path string, data_entry_id bigint, md5 string, status string, error_message string, n_rows bigint, attempt bigint"
@@ -85,7 +85,7 @@ def process_files(store: UploadStore, files: DataFrame, config: Mapping[str, Any
     parsed = EntryConfig.parse(config)
     attempt = store.next_attempt()
     sources = [s for s, _ in parsed.mappings]
-    raw = F.col("content").cast("string") if parsed.encoding.lower() in ("utf-8", "utf8") else F.decode("content", parsed.encoding)
+    raw = F.col("content").cast("string") if charset(parsed.encoding) == "UTF-8" else F.decode("content", charset(parsed.encoding))
     readable = F.is_valid_utf8(raw)
     lines = F.split(F.when(readable, raw), r"\r?\n")
     texts = files.select("path", F.md5("content").alias("md5"), readable.alias("readable"), lines.alias("lines"))

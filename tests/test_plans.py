@@ -184,6 +184,14 @@ def test_csv_config(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("Tupi", "BR", "100"), ("Lula; Norte", "BR", "200"), ("Tupi", "BR", "x"), (None, "BR", "10")]
 
 
+def test_csv_encodings(spark, tmp_path):
+    for header_row, head in ((0, ""), (1, "title\n")):
+        path = tmp_path / f"latin{header_row}.csv"
+        path.write_bytes((head + "nome|área\nGarça|3\n").encode("latin-1"))
+        out = scan_csv_config(spark, str(path), None, "|", "latin-1", header_row)
+        assert out.columns == ["nome", "área"] and [tuple(r) for r in out.collect()] == [("Garça", "3")]
+
+
 def test_ingest(spark, tmp_path):
     write(tmp_path / "a.csv", GOOD)
     nobody = spark.createDataFrame([("k", "Tupi", "BR")], "field_code string, name string, country string")
