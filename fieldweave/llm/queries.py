@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import byte_bpe, decontaminate, language_mixture, license_join, lm_interpolation, simhash, token_counts
+from fieldweave.llm import byte_bpe, decontaminate, language_mixture, license_join, lm_interpolation, simhash, token_counts, vector_packing
 from fieldweave.llm.common import held_out, share_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ def op9_simhash(spark, folder):
 @_query
 def op1_interpolated_lm(spark, folder):
     return lm_interpolation.score_texts(_table(spark, folder, "documents"), test=held_out(F.col("doc_id"), 7, 2))
+
+
+@_query
+def op10_vector_packing(spark, folder):
+    return vector_packing.assign_shards(_table(spark, folder, "documents"))
