@@ -256,14 +256,31 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[(path, pattern)]
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` and the token ``ids`` of every whole text."""
+def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: Sequence[str] = ("doc_id",), ids: bool = True, digests: bool = False) -> DataFrame:
+    """``keep`` and, of every whole text, ``n_tokens``, the token ``ids``, and with ``digests`` the SHA-256 of the decimal
+    ids joined by spaces and of the bytes decoded from the ids."""
+    fields = [("n_tokens", T.LongType())]
+    fields += [("ids", T.ArrayType(T.IntegerType()))] * ids + [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] * digests
 
     def make():
         e = encoder(path, pattern)
-        return lambda texts, _: {"ids": [e.encode(t.decode()) if t else [] for t in texts]}
+        names = {r: str(r) for r in e.vocabulary.bytes} if digests else {}
 
-    return scan_texts(docs, text, keep, make, [("ids", T.ArrayType(T.IntegerType()))])
+        def turn(texts, _):
+            out: dict[str, list] = {name: [] for name, _ in fields}
+            for t in texts:
+                tokens = e.encode(t.decode()) if t else []
+                out["n_tokens"].append(len(tokens))
+                if ids:
+                    out["ids"].append(tokens)
+                if digests:
+                    out["ids_sha256"].append(hashlib.sha256(" ".join(map(names.__getitem__, tokens)).encode()).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(e.decode(tokens)).hexdigest())
+            return out
+
+        return turn
+
+    return scan_texts(docs, text, keep, make, fields)
 
 
 def decode_ids(docs: DataFrame, path: str, ids: str = "ids", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -284,27 +301,6 @@ def decode_ids(docs: DataFrame, path: str, ids: str = "ids", keep: Sequence[str]
     return source.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep``, ``n_tokens``, SHA-256 of the decimal ids joined by spaces, SHA-256 of the bytes decoded from the ids."""
-
-    def make():
-        e = encoder(path, pattern)
-        names = {r: str(r) for r in e.vocabulary.bytes}
-
-        def turn(texts, _):
-            n, a, b = [], [], []
-            for t in texts:
-                ids = e.encode(t.decode()) if t else []
-                n.append(len(ids))
-                a.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                b.append(hashlib.sha256(e.decode(ids)).hexdigest())
-            return {"n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
-
-        return turn
-
-    return scan_texts(docs, text, keep, make, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())])
-
-
 def edited_ids(docs: DataFrame, path: str, text: str, start: str, stop: str, new: str, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Tokens of pieces after replacing bytes ``start``..``stop`` by ``new``: ``ids`` and ``n_computed``, the number of
     prefix entries that had to be computed anew. The text is one piece (no pattern); null texts and edits are empty."""

@@ -151,3 +151,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
         return turn
 
     return scan_texts(docs, text, keep, make, [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("languages", kind)])
+
+
+def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+    """``docs`` with its own columns, without the rows predicted ``und``."""
+    names = docs.columns
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    found = predict(plain, model, f"_c{names.index(text)}", plain.columns).where(F.col("lang_pred") != "und")
+    return found.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])

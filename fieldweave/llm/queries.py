@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import byte_bpe, decontaminate, language_mixture, license_join, lm_interpolation, simhash, token_counts, vector_packing
+from fieldweave.llm import (
+    byte_bpe,
+    decontaminate,
+    language_mixture,
+    learned_partitions,
+    license_join,
+    lm_interpolation,
+    merkle_audit,
+    simhash,
+    token_counts,
+    vector_packing,
+)
 from fieldweave.llm.common import held_out, share_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,7 +94,7 @@ FROM d LEFT JOIN p ON d.uid = p.uid LEFT JOIN t ON d.uid = t.uid
 
 @_query
 def op7_byte_bpe(spark, folder):
-    return byte_bpe.digests(_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), _pattern())
+    return byte_bpe.encode_texts(_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), _pattern(), ids=False, digests=True)
 
 
 @_query
@@ -104,3 +115,40 @@ def op1_interpolated_lm(spark, folder):
 @_query
 def op10_vector_packing(spark, folder):
     return vector_packing.assign_shards(_table(spark, folder, "documents"))
+
+
+@_query
+def op2_learned_partitions(spark, folder):
+    return learned_partitions.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@_query
+def op6_merkle_audit(spark, folder):
+    """Pages as archive records against a replica in which some were altered, lost or cut short."""
+    kind = F.col("page_id") % 97
+    head = F.length("record") - 5
+    damaged = (
+        F.when(kind == 17, F.lit(None))
+        .when(kind == 5, F.regexp_replace("record", "Content-Length", "content-length"))
+        .when(kind == 41, F.concat(F.substring(F.col("record"), F.lit(1), head), F.lit("\r\n\r\n")))
+        .otherwise(F.col("record"))
+    )
+    records, left, right = merkle_audit.page_manifests(_table(spark, folder, "pages"), damaged)
+    found = merkle_audit.audit(left, right)
+    return found.join(records, ["archive", "offset"]).select("page_id", "archive", F.col("offset").alias("start_offset"), "length", "kind")
+
+
+ORACLES["op6_merkle_audit"] = """
+WITH r AS (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' ||
+    coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) ||
+    'Content-Length: ' || CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) ||
+    coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
+p AS (SELECT *, CASE page_id % 97 WHEN 17 THEN NULL WHEN 5 THEN replace(record, 'Content-Length', 'content-length')
+    WHEN 41 THEN substr(record, 1, length(record) - 5) || chr(13) || chr(10) || chr(13) || chr(10) ELSE record END AS replica,
+    CAST(octet_length(encode(record)) AS BIGINT) AS len, row_number() OVER (ORDER BY page_id, sha256(record)) - 1 AS n FROM r),
+o AS (SELECT *, CAST(n // 1024 AS BIGINT) AS archive,
+    CAST(coalesce(sum(len) OVER (PARTITION BY n // 1024 ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_offset FROM p)
+SELECT page_id, archive, start_offset, len AS length,
+    CASE WHEN replica IS NULL THEN 'missing' WHEN octet_length(encode(replica)) <> len THEN 'length' ELSE 'content' END AS kind
+FROM o WHERE replica IS NULL OR replica <> record
+"""
