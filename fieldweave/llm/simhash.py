@@ -146,7 +146,9 @@ def links(distinct: DataFrame, bits: int = BITS, limit: int = LIST_LIMIT) -> Dat
         sizes = lists.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sizes = freeze(sizes, "sizes")
         short = lists.join(sizes.where(F.col("n") <= limit).drop("n"), ["mask", "key"], "left_semi")
-        found.append(short.groupBy("mask", "key").applyInArrow(_iter_arrow(within), schema))
+        # lists are few bytes and much work: a fixed number of partitions keeps them from being merged by size
+        spread = int(short.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        found.append(short.repartition(spread, "mask", "key").groupBy("mask", "key").applyInArrow(_iter_arrow(within), schema))
         long = sizes.where(F.col("n") > limit)
         # the distinct masks of one depth are few: 8 * 4 ** depth at most
         open_masks = [r["mask"] for r in long.select("mask").distinct().collect()]
