@@ -30,8 +30,8 @@ from fieldweave.llm.common import col, slices, spaced_words
 from fieldweave.session import freeze
 
 ORDER = 2
-CHUNK_BYTES = 8 << 20
-TOKENS_PER_RANGE = 2_000_000
+CHUNK_BYTES = 6 << 20
+TOKENS_PER_RANGE = 1_000_000
 HELD_SHARE = 10  # one training text in so many is held out
 STEPS = 12
 FIT, HELD, TEST = 0, 1, 2
