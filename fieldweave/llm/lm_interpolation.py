@@ -301,6 +301,8 @@ def score_texts(
     totals = {**row.asDict(), "fit_texts": texts.get(FIT, 0), "all_texts": texts.get(FIT, 0) + texts.get(HELD, 0)}
     uniform = 1.0 / (totals["n_words"] + 1)
     weights = learn_weights(_evidence(parts, counts, order, totals), order, uniform, steps)
+    if not totals["n_all"]:
+        weights[:] = np.eye(order + 1)[0]
     id_type = parts.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType())]
         + [T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(x, T.DoubleType()) for x in ("base_score", "score")])
