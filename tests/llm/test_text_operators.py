@@ -41,7 +41,7 @@ def test_cut_joins_back(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(text=st.text(alphabet=st.sampled_from(list("abcTHE  \n\t \x1c.,'s<|>é漢🙂09") + ["'re", " the", "ing", "  ", "<|endoftext|>"]), max_size=30))
+@given(text=st.lists(st.sampled_from(list("abcTHE  \n\t \x1c.,'s<|>é漢🙂09") + ["'re", " the", "ing", "  ", "<|endoftext|>"]), max_size=30).map("".join))
 def test_bpe_equals_library(text, library, mine):
     ids = mine.encode(text)
     assert ids == library.encode_ordinary(text) and mine.decode(ids) == text.encode()
