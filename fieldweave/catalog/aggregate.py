@@ -189,7 +189,8 @@ def _(fx):
 
 @query(
     "AGG13_distribution_summary",
-    """WITH r AS (SELECT l_returnflag, l_quantity, CAST(least(floor(l_quantity / 4e0), 9) AS INTEGER) AS bin FROM lineitem WHERE l_quantity BETWEEN 0 AND 40),
+    """WITH r AS (SELECT l_returnflag, l_quantity, CAST(CASE WHEN l_quantity < 0 THEN -1 WHEN l_quantity > 40 THEN 10
+      ELSE least(floor(l_quantity / 4e0), 9) END AS INTEGER) AS bin FROM lineitem WHERE l_quantity IS NOT NULL),
     t AS (SELECT l_returnflag, count(*) AS n_rows, min(l_quantity) AS low, max(l_quantity) AS high, quantile_cont(l_quantity, 0.25) AS q1,
       quantile_cont(l_quantity, 0.5) AS q2, quantile_cont(l_quantity, 0.75) AS q3 FROM r GROUP BY l_returnflag)
     SELECT r.l_returnflag, r.bin, count(*) AS n, any_value(n_rows) AS n_rows, any_value(low) AS low, any_value(high) AS high,

@@ -101,7 +101,8 @@ def cast_typed(value: Column, kind: str, from_text: bool = True) -> Column:
     if kind in ("string", "geometry"):
         return value.cast("string")
     if kind == "number":
-        return value.try_cast("double")
+        number = value.try_cast("double")
+        return F.when(~F.isnan(number), number)
     if kind == "integer":
         number = value.try_cast("double")
         return F.when(~F.isnan(number), number.try_cast("bigint"))
@@ -117,7 +118,9 @@ def cast_typed(value: Column, kind: str, from_text: bool = True) -> Column:
 
 
 def cast_failed(value: Column, typed: Column) -> Column:
-    return value.isNotNull() & typed.isNull()
+    """A value that is there but cannot be read; not-a-number is a missing value."""
+    missing = F.coalesce(F.isnan(value.try_cast("double")), F.lit(False))
+    return value.isNotNull() & typed.isNull() & ~missing
 
 
 def unit_step(from_unit: str, to_unit: str) -> tuple[float, float]:

@@ -10,15 +10,6 @@ from pyspark.sql import functions as F
 from fieldweave.operators.skew import salted_join
 
 
-def visible_sources(users: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """``(user_id, source_id)`` pairs a user may read: edges to existing sources.
-
-    Superusers see everything; see :func:`has_access` for the test of given requests without listing that.
-    """
-    ordinary = users.where(~F.coalesce("is_superuser", F.lit(False))).select("user_id")
-    return edges.join(ordinary, "user_id", "left_semi").join(sources.select("source_id"), "source_id", "left_semi").select("user_id", "source_id")
-
-
 def has_access(requests: DataFrame, users: DataFrame, edges: DataFrame) -> DataFrame:
     """Requests ``(user_id, source_id)`` that are allowed: the user is a superuser or an edge exists."""
     rows = requests.join(users.select("user_id", F.coalesce("is_superuser", F.lit(False)).alias("_super")), "user_id")

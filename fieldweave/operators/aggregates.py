@@ -58,7 +58,7 @@ def group_quantiles(
     if hot.isEmpty():
         return df.groupBy(*keys).agg(*plain)
     on = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    marks = F.broadcast(hot.withColumnsRenamed({k: f"_h_{k}" for k in keys}))
+    marks = hot.withColumnsRenamed({k: f"_h_{k}" for k in keys})
     cold = df.join(marks, on, "left_anti").groupBy(*keys).agg(*plain)
     long = melt(df.join(marks, on, "left_semi"), keys, columns, "double")
     # one row per distinct value, with the ranks it covers: copies of a value cost nothing further on
@@ -68,7 +68,7 @@ def group_quantiles(
     span = ranked.groupBy(*keys, "column").agg(F.min("_from").alias("_first"), F.max("_to").alias("_last"))
     span = span.withColumnsRenamed({k: f"_s_{k}" for k in [*keys, "column"]})
     back = [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in [*keys, "column"]]
-    placed = ranked.join(F.broadcast(span), back)
+    placed = ranked.join(span, back)
 
     def read_off(column: str, q: float) -> Column:
         at = F.col("_first") + F.lit(q) * (F.col("_last") - F.col("_first"))
@@ -138,10 +138,15 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def distribution_summary(df: DataFrame, category: str, number: str, limit: float, bins: int = 10) -> DataFrame:
-    """Box-plot figures and a fixed-width histogram of ``number`` by category, both over [0, limit]."""
+    """Box-plot figures of ``number`` by category over all its values, and a histogram of ``bins`` bins over [0, limit].
+
+    ``limit`` is the axis of the picture only: values below it count in bin -1, values above in bin ``bins``, and the
+    figures are over all of them. Rows without a number have nothing to show.
+    """
     width = limit / bins
-    rows = df.where(F.col(number).between(0, limit))
-    bin_no = F.least(F.floor(F.col(number) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    rows = df.where(F.col(number).isNotNull())
+    inside = F.least(F.floor(F.col(number) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    bin_no = F.when(F.col(number) < 0, -1).when(F.col(number) > limit, bins).otherwise(inside)
     counts = rows.groupBy(category, bin_no.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.min(number).alias("bin_min"), F.max(number).alias("bin_max")
     )

@@ -38,10 +38,10 @@ def shuffle_partitions(df: DataFrame) -> int:
 def _with_splits(df: DataFrame, counted: DataFrame, keys: list[str], limit: int, out: str, null_safe: bool) -> DataFrame:
     """``df`` with the number of splits its key needs, from the row counts of ``counted``.
 
-    The hot keys are few by construction (see :func:`hot_splits`), hence the broadcast.
+    The hot keys are few (see :func:`hot_splits`); whether they are broadcast is left to their measured size.
     """
     marks = {k: f"_k_{k}" for k in keys}
-    hot = F.broadcast(hot_splits(counted, keys, limit, out).withColumnsRenamed(marks))
+    hot = hot_splits(counted, keys, limit, out).withColumnsRenamed(marks)
     on = [F.col(k).eqNullSafe(F.col(m)) if null_safe else F.col(k) == F.col(m) for k, m in marks.items()]
     return df.join(hot, on, "left").drop(*marks.values()).withColumn(out, F.coalesce(out, F.lit(1)))
 
@@ -118,7 +118,7 @@ def with_group_totals(
     splits = F.ceil(F.col("_rows") / F.lit(rows_per_split)).cast("int")
     hot_marks = {k: f"_h_{k}" for k in keys}
     hot = hot.select(*[F.col(marks[k]).alias(h) for k, h in hot_marks.items()], splits.alias("_ls"))
-    left = df.join(F.broadcast(hot), same(hot_marks), "left").drop(*hot_marks.values())
+    left = df.join(hot, same(hot_marks), "left").drop(*hot_marks.values())
     left = left.withColumn("_lsalt", F.when(F.col("_ls") > 1, _split_of(row_ids, F.col("_ls"))).otherwise(0)).drop("_ls")
     right = per_group.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), splits - 1))).drop("_rows")
     return left.join(right, [*same(marks), F.col("_lsalt") == F.col("_rsalt")], "left").drop(*marks.values(), "_lsalt", "_rsalt")

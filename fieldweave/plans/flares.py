@@ -105,14 +105,18 @@ def months_of(fields: DataFrame) -> DataFrame:
 def monthly_weights(flares: DataFrame, fields: DataFrame, buffer_deg: float = 0.05, bucket_deg: float = 1.0) -> DataFrame:
     """``id, month, field_id, bcm, weight`` with weights adding up to one per flare and month.
 
-    Positions are joined to shapes once per flare, not once per month; the months follow by id.
+    A flare counts where it was in the month; each distinct position is joined to shapes once. A flare that was inside
+    a field in any month is not looked for around fields in the others.
     """
-    flares = freeze(flares.select("id", "month", "lon", "lat", "bcm"), "flares")
-    monthly = flares.groupBy("id", month_number(F.col("month")).alias("month")).agg(F.sum("bcm").alias("bcm"))
-    places = flares.groupBy("id").agg(F.min_by(F.struct("lon", "lat"), F.col("month")).alias("_at")).select("id", "_at.lon", "_at.lat")
-    pairs = located(freeze(places, "places"), fields, buffer_deg, bucket_deg)
-    rows = share_of_group(monthly.join(pairs, "id"), ["id", "month"], "oil_prod", ["field_id"])
-    return renormalize(rows, ["id", "month"], ["field_id"])
+    at = ["id", "month", "lon", "lat"]
+    monthly = flares.groupBy("id", month_number(F.col("month")).alias("month"), "lon", "lat").agg(F.sum("bcm").alias("bcm"))
+    monthly = freeze(monthly, "flares")
+    pairs = located(monthly.select(F.struct(*at).alias("id"), "lon", "lat"), fields, buffer_deg, bucket_deg)
+    pairs = pairs.select("id.*", "field_id", "oil_prod", "interior")
+    inside = pairs.where("interior")
+    pairs = inside.unionByName(pairs.where("not interior").join(inside.select("id").distinct(), "id", "left_anti"))
+    rows = share_of_group(monthly.join(pairs, at), at, "oil_prod", ["field_id"])
+    return renormalize(rows, at, ["field_id"])
 
 
 def attribute_flares_monthly(flares: DataFrame, fields: DataFrame, buffer_deg: float = 0.05, bucket_deg: float = 1.0) -> DataFrame:

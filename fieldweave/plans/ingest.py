@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldweave.functions import schema as G
 from fieldweave.functions import units as U
@@ -111,6 +112,18 @@ def converted_columns(config: EntryConfig, have: Sequence[str]) -> tuple[dict[st
     return values, failed
 
 
+# The words that a field of an uploaded text file may hold for a missing value.
+MISSING_WORDS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+]
+
+
+def present(value: Column) -> Column:
+    """The text, null where it is a word for a missing value."""
+    return F.when(~value.isin(*MISSING_WORDS), value)
+
+
 def ingest(
     df: DataFrame,
     config: Mapping[str, Any] | EntryConfig,
@@ -135,6 +148,8 @@ def ingest(
         problems.append("No mappings found in config")
     if problems:
         raise ConfigError(", ".join(problems))
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)} - set(row_id)
+    df = df.withColumns({s: present(F.col(f"`{s}`")) for s in parsed.attributes if s in text})
     values, failed = converted_columns(parsed, df.columns)
     faults = F.array_compact(F.array(*[F.when(flag, F.lit(t)) for t, flag in failed.items()]))
     marked = df.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.functions.similarity import WEIGHTS
@@ -14,8 +14,8 @@ from fieldweave.operators.numbering import allocate_ids, dense_renumber, number_
 from fieldweave.operators.skew import ROWS_PER_SPLIT, salted_join
 from fieldweave.session import freeze
 
-# Rows of one source are numbered below this; the source's rank sits above, so ``seq`` is the table order.
-SOURCE_STRIDE = 1 << 40
+# The source's rank sits above all row numbers (bigint), so ``seq``, a decimal, is the order of the whole table.
+SOURCE_STRIDE = 10**19
 
 COLUMNS = ["entity_id", "name", "cell", "source_id", "source_name", "field_id", "score", "seq"]
 
@@ -26,9 +26,13 @@ def order_sources(metadata: DataFrame) -> list[str]:
     return [r["source_id"] for r in rows]
 
 
+def _table_order(rank: int, seq: Column) -> Column:
+    return (F.lit(rank * SOURCE_STRIDE).cast("decimal(37,0)") + seq.cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
 def _prepare(source: DataFrame, rank: int) -> DataFrame:
     named = source.where(F.col("name").isNotNull())
-    return named.select("name", "cell", "source_id", "source_name", "field_id", (F.col("seq") + F.lit(rank * SOURCE_STRIDE)).alias("seq"))
+    return named.select("name", "cell", "source_id", "source_name", "field_id", _table_order(rank, F.col("seq")).alias("seq"))
 
 
 def seed_matches(source: DataFrame) -> DataFrame:
@@ -94,7 +98,7 @@ def match_all_sources(
 
 def match_version(matches: DataFrame, n_sources: int) -> DataFrame:
     """The table after the first ``n_sources`` sources. Later sources only append, so it is a prefix."""
-    return matches.where(F.col("seq") < F.lit(n_sources * SOURCE_STRIDE))
+    return matches.where(F.col("seq") < F.lit(n_sources * SOURCE_STRIDE).cast("decimal(38,0)"))
 
 
 def filter_authoritative(matches: DataFrame, authority_id: str, other_ids: Sequence[str]) -> DataFrame:

@@ -30,10 +30,16 @@ def build_session(app: str = "fieldweave", cores: int | str = "*", shuffle_parti
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of the cluster: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Without either a temporary folder serves a ``local`` master; a cluster's executors could not see it, so there it
+    is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "folder" not in _local:
         _local["folder"] = tempfile.mkdtemp(prefix="fieldweave-")
     return _local["folder"]

@@ -22,7 +22,7 @@ from fieldweave.session import freeze
 from fieldweave.sources.files import charset, latest_rows
 
 PENDING, PROCESSING, COMPLETED, FAILED = "PENDING", "PROCESSING", "COMPLETED", "FAILED"
-STATUS_SCHEMA = "path string, data_entry_id bigint, md5 string, status string, error_message string, n_rows bigint, attempt bigint"
+STATUS_SCHEMA = "path string, data_entry_id bigint, md5 string, status string, error_message string, n_rows bigint, n_rejected bigint, attempt bigint"
 ROW_SCHEMA = T.StructType(
     [
         T.StructField("data_entry_id", T.LongType()),
@@ -31,6 +31,7 @@ ROW_SCHEMA = T.StructType(
         *G.target_schema().fields,
     ]
 )
+REJECT_SCHEMA = "data_entry_id bigint, line_no bigint, faults string"
 IDENTITY_SCHEMA = "field_code string, name string, country string"
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -50,9 +51,9 @@ class UploadStore:
                 return self.spark.createDataFrame([], schema)
             raise
 
-    def write(self, df: DataFrame, name: str, attempt: int) -> None:
-        """One folder per attempt: repeating an interrupted attempt replaces what it left."""
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/part={attempt}")
+    def write(self, df: DataFrame, name: str, part: str) -> None:
+        """One folder per batch: repeating an interrupted batch replaces what it left."""
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/part={part}")
 
     def status(self) -> DataFrame:
         return latest_rows(self._read("status", STATUS_SCHEMA), ["path"], "attempt")
@@ -61,14 +62,23 @@ class UploadStore:
         top = self._read("status", STATUS_SCHEMA).agg(F.max("attempt")).collect()[0][0]
         return 0 if top is None else top + 1
 
-    def identities(self) -> DataFrame:
-        return self._read("identities", IDENTITY_SCHEMA)
+    def identities(self, without: str | None = None) -> DataFrame:
+        """Known identities, leaving out what the batch ``without`` wrote before it was interrupted."""
+        known = self._read("identities", IDENTITY_SCHEMA)
+        if without is not None and "part" in known.columns:
+            known = known.where(F.col("part") != without)
+        return known.drop("part")
 
     def fields(self) -> DataFrame:
         """Rows of completed entries."""
         done = self.status().where(F.col("status") == COMPLETED).select("data_entry_id")
         return self._read("fields", ROW_SCHEMA).join(done, "data_entry_id", "left_semi")
 
+    def rejects(self) -> DataFrame:
+        """Rows of completed entries that could not be converted, with the columns at fault."""
+        done = self.status().where(F.col("status") == COMPLETED).select("data_entry_id")
+        return self._read("rejects", REJECT_SCHEMA).join(done, "data_entry_id", "left_semi")
+
 
 def _cells(line: Column, width: int, delimiter: str) -> Column:
     """Fields of one CSV line as an array."""
@@ -77,13 +87,16 @@ def _cells(line: Column, width: int, delimiter: str) -> Column:
     return F.array(*[parsed[f"c{i}"] for i in range(width)])
 
 
-def process_files(store: UploadStore, files: DataFrame, config: Mapping[str, Any], as_of: str) -> None:
-    """Ingest the given files (``path, content``) together and record each one's status.
+def process_files(store: UploadStore, files: DataFrame, config: Mapping[str, Any], as_of: str, part: str | None = None) -> None:
+    """Ingest the given files (``path, content``) together and record each one's status and number of rejected rows.
 
+    All tables are written below the name ``part`` (default: a new one), so a batch that is repeated under its name
+    after a failure leaves nothing twice.
     Only the widest header's number of columns and a counter come to the driver.
     """
     parsed = EntryConfig.parse(config)
     attempt = store.next_attempt()
+    part = f"once-{attempt}" if part is None else part
     sources = [s for s, _ in parsed.mappings]
     raw = F.col("content").cast("string") if charset(parsed.encoding) == "UTF-8" else F.decode("content", charset(parsed.encoding))
     readable = F.is_valid_utf8(raw)
@@ -105,8 +118,8 @@ def process_files(store: UploadStore, files: DataFrame, config: Mapping[str, Any
     headed = texts.withColumn("header", F.transform(F.coalesce(_cells(F.col("line"), width, parsed.delimiter), F.array()), F.trim))
     entry = F.conv(F.substring("md5", 1, 15), 16, 10).cast("bigint")
     states = freeze(headed.select("path", "md5", entry.alias("data_entry_id"), error.alias("error_message")), "states")
-    started = states.select("path", "data_entry_id", "md5", F.lit(PROCESSING).alias("status"), F.lit(None).cast("string").alias("error_message"), F.lit(None).cast("bigint").alias("n_rows"), F.lit(attempt).cast("bigint").alias("attempt"))
-    store.write(started, "status", attempt)
+    started = states.select("path", "data_entry_id", "md5", F.lit(PROCESSING).alias("status"), F.lit(None).cast("string").alias("error_message"), F.lit(None).cast("bigint").alias("n_rows"), F.lit(None).cast("bigint").alias("n_rejected"), F.lit(attempt).cast("bigint").alias("attempt"))
+    store.write(started, "status", f"{part}-started")
 
     good = states.where("error_message is null").select("path", "data_entry_id")
     body = F.slice("lines", F.lit(parsed.header_row + 2), F.greatest(F.size("lines") - (parsed.header_row + 1), F.lit(0)))
@@ -116,19 +129,24 @@ def process_files(store: UploadStore, files: DataFrame, config: Mapping[str, Any
         "data_entry_id", "line_no", *[F.get("cells", (F.array_position("header", s) - 1).cast("int")).alias(s) for s in sources]
     )
     named = freeze(named, "upload")
-    created, data, _ = ingest(named, parsed, as_of, F.col("_id_data_entry_id"), store.identities(), ["data_entry_id", "line_no"], "stream")
+    created, data, rejects = ingest(named, parsed, as_of, F.col("_id_data_entry_id"), store.identities(part), ["data_entry_id", "line_no"], "stream")
     data = freeze(align_types(data, ROW_SCHEMA), "rows")
-    store.write(data, "fields", attempt)
-    store.write(created, "identities", attempt)
+    rejects = rejects.select(F.col("_id_data_entry_id").alias("data_entry_id"), F.col("_id_line_no").cast("bigint").alias("line_no"), "faults")
+    rejects = freeze(rejects, "rejects")
+    store.write(data, "fields", part)
+    store.write(rejects, "rejects", part)
+    store.write(created, "identities", part)
     counts = data.groupBy("data_entry_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    finished = states.join(counts, "data_entry_id", "left").select(
+    refused = rejects.groupBy("data_entry_id").agg(F.count(F.lit(1)).alias("n_rejected"))
+    finished = states.join(counts, "data_entry_id", "left").join(refused, "data_entry_id", "left").select(
         "path", "data_entry_id", "md5",
         F.when(F.col("error_message").isNull(), COMPLETED).otherwise(FAILED).alias("status"),
         "error_message",
         F.when(F.col("error_message").isNull(), F.coalesce("n_rows", F.lit(0))).alias("n_rows"),
+        F.when(F.col("error_message").isNull(), F.coalesce("n_rejected", F.lit(0))).alias("n_rejected"),
         F.lit(attempt + 1).cast("bigint").alias("attempt"),
     )
-    store.write(finished, "status", attempt + 1)
+    store.write(finished, "status", f"{part}-finished")
 
 
 def ingest_stream(
@@ -139,8 +157,9 @@ def ingest_stream(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         first = batch.withColumn("_md5", F.md5("content")).groupBy("_md5").agg(F.min("path").alias("path"))
-        done = store.status().where(F.col("status") == COMPLETED).select(F.col("md5").alias("_md5"))
-        process_files(store, batch.join(first.join(done, "_md5", "left_anti"), "path", "left_semi"), config, as_of)
+        # stored first: a repeated batch replaces the status rows it left
+        done = freeze(store.status().where(F.col("status") == COMPLETED).select(F.col("md5").alias("_md5")), "done")
+        process_files(store, batch.join(first.join(done, "_md5", "left_anti"), "path", "left_semi"), config, as_of, f"batch-{batch_id}")
 
     return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
 
@@ -149,4 +168,6 @@ def retry_failed(store: UploadStore, inbox: str, config: Mapping[str, Any], as_o
     """Try the failed files of the inbox again."""
     failed = store.status().where(F.col("status") == FAILED).select("path")
     files = store.spark.read.format("binaryFile").load(inbox)
-    process_files(store, files.join(failed, "path", "left_semi"), config, as_of)
+    files = files.join(failed, "path", "left_semi")
+    first = files.groupBy(F.md5("content").alias("_md5")).agg(F.min("path").alias("path"))
+    process_files(store, files.join(first, "path", "left_semi"), config, as_of)

