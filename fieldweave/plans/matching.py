@@ -27,7 +27,7 @@ def order_sources(metadata: DataFrame) -> list[str]:
 
 
 def _table_order(rank: int, seq: Column) -> Column:
-    return (F.lit(rank * SOURCE_STRIDE).cast("decimal(37,0)") + seq.cast("decimal(20,0)")).cast("decimal(38,0)")
+    return (F.lit(str(rank * SOURCE_STRIDE)).cast("decimal(37,0)") + seq.cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
 def _prepare(source: DataFrame, rank: int) -> DataFrame:
@@ -98,7 +98,7 @@ def match_all_sources(
 
 def match_version(matches: DataFrame, n_sources: int) -> DataFrame:
     """The table after the first ``n_sources`` sources. Later sources only append, so it is a prefix."""
-    return matches.where(F.col("seq") < F.lit(n_sources * SOURCE_STRIDE).cast("decimal(38,0)"))
+    return matches.where(F.col("seq") < F.lit(str(n_sources * SOURCE_STRIDE)).cast("decimal(38,0)"))
 
 
 def filter_authoritative(matches: DataFrame, authority_id: str, other_ids: Sequence[str]) -> DataFrame:
