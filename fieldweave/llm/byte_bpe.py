@@ -6,8 +6,8 @@ by walking back, grows byte by byte without redoing anything, and after an edit
 old table again.
 
 Null and empty texts have no tokens. Repeated pieces are encoded once per task and looked up afterwards; the lookup
-table holds at most ``CACHE`` pieces of at most ``CACHED_CHARS`` characters, which bounds memory, and longer ones are
-encoded each time they occur. Extra columns of the documents pass only where named in ``keep``.
+table holds two generations of at most ``CACHE`` pieces of at most ``CACHED_CHARS`` characters, which bounds memory, and
+longer ones are encoded each time they occur. Extra columns of the documents pass only where named in ``keep``.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 from fieldweave.llm.common import scan_texts
 from fieldweave.llm.segments import cut, peel
 
-CACHE = 900_000
+CACHE = 180_000
+CHECKED_PAIRS = 600_000
 CACHED_CHARS = 48
 _NEVER = 1 << 62
 
@@ -92,7 +93,7 @@ class Vocabulary:
         """Whether the two tokens can be neighbours in an encoding."""
         known = self.checked[first].get(second)
         if known is None:
-            if self._n_checked >= 4 * CACHE:
+            if self._n_checked >= CHECKED_PAIRS:
                 self.checked.clear()
                 self._n_checked = 0
             known = self.checked[first][second] = self._fits_now(first, second)
@@ -181,6 +182,7 @@ class Encoder:
         self.peels = pattern == _CUT_PATTERN
         self.cut = cut if self.peels else lambda text: [text]
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """One match of the pattern: a token as it is, else by the prefix table."""
@@ -219,7 +221,7 @@ class Encoder:
     def _keep(self, segment: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(segment) <= CACHED_CHARS:
             if len(self.seen) >= CACHE:
-                self.seen.clear()
+                self.before, self.seen = self.seen, {}
             self.seen[segment] = ids
         return ids
 
@@ -227,6 +229,11 @@ class Encoder:
         seen, out = self.seen, []
         for segment in self.cut(text):
             ids = seen.get(segment)
+            if ids is None:
+                ids = self.before.get(segment)
+                if ids is not None:
+                    self._keep(segment, ids)
+                    seen = self.seen
             if ids is None:
                 base, tail = peel(segment) if self.peels else (segment, "")
                 ids = seen.get(base) if tail else None
@@ -235,6 +242,7 @@ class Encoder:
                 if tail:
                     more = seen.get(tail)
                     ids = self._keep(segment, ids + (self._keep(tail, self._encode(tail)) if more is None else more))
+                seen = self.seen
             out += ids
         return out
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from fieldweave.llm.common import scan_texts
 from fieldweave.llm.segments import cut, peel
 
-CACHE = 900_000
+CACHE = 500_000
 CACHED_CHARS = 48
 BATCH_BYTES = 256 << 10
 
