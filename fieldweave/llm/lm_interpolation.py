@@ -9,7 +9,7 @@ How it runs. Texts are tokenized once into chunks, written to the shared folder:
 each distinct word. A chunk sends each distinct n-gram once, with its count, to the range of key space it falls in;
 that range adds up all chunks and answers each with totals in the order asked, so an n-gram in every text costs one
 entry per chunk, not one per text, and counts are looked up without sending tokens. Ranges are as many as the tokens
-ask for. N-grams are told apart by 64-bit hashes.
+ask for (a power of two), and a chunk writes only to ranges it has n-grams for. N-grams are told apart by 64-bit hashes.
 
 Tokens: words between ASCII white space with A-Z lowered, then one end token. Null and empty texts have the end token
 only. A null id trains. Rows are independent and repeats count as often as they occur. No training rows: every
@@ -18,7 +18,7 @@ probability is the uniform one. Extra columns are not carried.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -150,12 +150,15 @@ class Chunk:
 
 # ------------------------------------------------------------------ counts
 
-def _bounds(ranges: int) -> np.ndarray:
-    return np.array([(i << 64) // ranges for i in range(1, ranges)], _U)
+def _cuts(keys: Sequence[np.ndarray], bits: int) -> tuple[list[int], list[np.ndarray]]:
+    """The ranges (leading ``bits`` bits) that hold any of the ascending keys, and where each begins and ends in every list."""
+    of = [(k >> _U(64 - bits)).astype(np.int64) for k in keys]
+    used = np.unique(np.concatenate([r[np.flatnonzero(np.diff(r, prepend=-1))] for r in of]))
+    return used.tolist(), [np.stack([np.searchsorted(r, used), np.searchsorted(r, used, "right")], axis=1) for r in of]
 
 
-def exchange(parts: DataFrame, order: int, ranges: int) -> DataFrame:
-    """Answers to every chunk: per range of keys and order the counts in the training parts (``all<k>``) and, for held-out
+def exchange(parts: DataFrame, order: int, bits: int) -> DataFrame:
+    """Answers to every chunk: per range of keys (their leading ``bits`` bits) and order the counts in the training parts (``all<k>``) and, for held-out
     chunks, in the counting part (``fit<k>``). Rows with a null chunk carry the range's distinct words and tokens."""
     ask_schema = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("group", T.IntegerType())]
         + [T.StructField(f"{x}{k}", T.BinaryType()) for k in range(order) for x in ("key", "n")])
@@ -166,16 +169,16 @@ def exchange(parts: DataFrame, order: int, ranges: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        target, bounds = to_arrow_schema(ask_schema), _bounds(ranges)
+        target = to_arrow_schema(ask_schema)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 c = Chunk(row, order)
-                cuts = [np.concatenate([[0], np.searchsorted(k, bounds), [len(k)]]) for k in c.keys]
-                columns: list[list] = [list(range(ranges)), [row["chunk"]] * ranges, [row["group"]] * ranges]
+                used, cuts = _cuts(c.keys, bits)
+                columns: list[list] = [used, [row["chunk"]] * len(used), [row["group"]] * len(used)]
                 for keys, counts, cut in zip(c.keys, c.counts, cuts):
-                    columns.append([pack_sorted(keys[a:b]) for a, b in zip(cut, cut[1:])])
-                    columns.append([pack(counts[a:b].astype(np.int64)) for a, b in zip(cut, cut[1:])])
+                    columns.append([pack_sorted(keys[a:b]) for a, b in cut])
+                    columns.append([pack(counts[a:b].astype(np.int64)) for a, b in cut])
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, target)], schema=target)
 
     def tell(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,8 +298,8 @@ def score_texts(
     parts = chunks(docs, doc_id, text, F.when(test, TEST).when(held, HELD).otherwise(FIT), chunk_bytes)
     sums = parts.groupBy("group").agg(F.sum("n_tokens").alias("n"), F.sum(F.size("ids")).alias("texts")).collect()
     texts = {r["group"]: int(r["texts"]) for r in sums}
-    ranges = max(8, -(-sum(int(r["n"]) for r in sums) // tokens_per_range))
-    counts = exchange(parts, order, ranges)
+    bits = max(3, (sum(int(r["n"]) for r in sums) // tokens_per_range).bit_length())
+    counts = exchange(parts, order, bits)
     row = counts.where("chunk IS NULL").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n_words", "n_all", "n_fit")]).first()
     totals = {**row.asDict(), "fit_texts": texts.get(FIT, 0), "all_texts": texts.get(FIT, 0) + texts.get(HELD, 0)}
     uniform = 1.0 / (totals["n_words"] + 1)
