@@ -117,6 +117,8 @@ def _slots(rows: DataFrame, shards: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str, doc_id: str = "doc_id") -> None:
-    """Writes ``docs`` (unique ids) in one folder per shard, in slot order within each file."""
+    """Writes ``docs`` (unique ids) in one folder per shard: files of at most ``ROWS_PER_SLOT_BLOCK`` consecutive slots, in
+    slot order, so that no task holds a whole shard."""
     tagged = docs.join(assigned.select(col("doc_id").alias("_id"), "shard", "slot"), col(doc_id) == F.col("_id")).drop("_id")
-    tagged.repartition("shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    block = F.floor(F.col("slot") / ROWS_PER_SLOT_BLOCK)
+    tagged.repartition("shard", block).sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
