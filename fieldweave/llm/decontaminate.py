@@ -144,21 +144,21 @@ def find_hits(
     part = lambda i: [(r["item"], r["body"].encode()) for r in named.where(F.pmod(F.xxhash64("item", "body"), F.lit(cuts)) == i).collect()]
     if cuts == 1:
         return _scan(docs, part(0), text, keep, window, clean)
-    return _sliced(docs, [part(i) for i in range(cuts)], text, keep, window, clean)
+    return _sliced(docs, map(part, range(cuts)), text, keep, window, clean)
 
 
 def _sliced(docs, parts, text, keep, window, clean):
-    """Several scans whose hits are joined: each slice hits some runs, their union counts."""
+    """Several scans whose hits are joined: each slice hits some runs, their union counts. One slice is held at a time;
+    its hits are written before the next one is read."""
     from fieldweave.session import freeze
 
-    spark = docs.sparkSession
     rows = freeze(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     hits = None
     for items in parts:
-        one = _scan(rows, items, text, ["_row"], window, False).where("n_hit > 0").select("_row", "items", "hit_words")
+        one = freeze(_scan(rows, items, text, ["_row"], window, False).where("n_hit > 0").select("_row", "items", "hit_words"), "hits")
         hits = one if hits is None else hits.unionByName(one)
     # at most one row per slice and document
-    merged = freeze(hits, "hits").groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"), F.collect_list("hit_words").alias("_runs"))
+    merged = hits.groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"), F.collect_list("hit_words").alias("_runs"))
     joined = rows.join(merged, "_row", "left")
     carried = [c for c in dict.fromkeys(keep) if c not in {n for n, _ in _FIELDS}]
 
