@@ -213,14 +213,20 @@ def _results(fx):
     return results, fields, ratios
 
 
-_RESULTS = f"""res AS (SELECT field_id AS entity_id, name || '-' || field_id AS name, coalesce(abs(oil_prod), 1e0) AS production, 2 + gor / 40 AS ci, gor, offshore,
+# whole basins: both halves of a region's band
+_WHOLE = "SELECT r_name AS name, -30e0 + r_regionkey * 2e0 AS south, -60e0 AS west, 10 AS width FROM region"
+_HALVES = f"SELECT *, 5 AS width FROM ({_BANDS})"
+
+
+def _results_sql(bands: str) -> str:
+    return f"""res AS (SELECT field_id AS entity_id, name || '-' || field_id AS name, coalesce(abs(oil_prod), 1e0) AS production, 2 + gor / 40 AS ci, gor, offshore,
   CASE WHEN field_id % 4 <> 0 THEN gor / 7 END AS for_value, lon, lat, half FROM fx_field),
-bands AS ({_BANDS}),
-placed AS (SELECT res.*, b.name AS band FROM res LEFT JOIN bands b ON lon - half >= west AND lon + half <= west + 5 AND lat - half >= south AND lat + half <= south + 2)"""
+bands AS ({bands}),
+placed AS (SELECT res.*, b.name AS band FROM res LEFT JOIN bands b ON lon - half >= west AND lon + half <= west + width AND lat - half >= south AND lat + half <= south + 2)"""
 
 
-def _sql_basins(name: str) -> str:
-    return f"""WITH {_RESULTS}, n AS (SELECT *, {name} AS basin_name FROM placed WHERE band IS NOT NULL),
+def _sql_basins(bands: str, name: str) -> str:
+    return f"""WITH {_results_sql(bands)}, n AS (SELECT *, {name} AS basin_name FROM placed WHERE band IS NOT NULL),
     o AS (SELECT basin_name, offshore FROM (SELECT basin_name, offshore, row_number() OVER (PARTITION BY basin_name ORDER BY count(*) DESC, offshore) AS rn
       FROM n GROUP BY 1, 2) WHERE rn = 1)
     SELECT basin_name, round(sum(ci * production) / sum(production), 6) AS weighted_ci, round(coalesce(avg(for_value), 0), 6) AS average_for,
@@ -234,19 +240,19 @@ def _basin_out(report):
     )
 
 
-@query("PIP12_basin_report", _sql_basins("regexp_replace(band, '(_Mar|_Terra)$', '')"))
+@query("PIP12_basin_report", _sql_basins(_WHOLE, "band"))
 def _(fx):
     results, fields, ratios = _results(fx)
     return _basin_out(B.basin_report(results, fields, fx.basin.select("name", "outer_shape"), ratios, "strip"))
 
 
-@query("PIP12_basin_report_by_shore", _sql_basins("replace(replace(band, '_Mar', '_Offshore'), '_Terra', '_Onshore')"))
+@query("PIP12_basin_report_by_shore", _sql_basins(_HALVES, "replace(replace(band, '_Mar', '_Offshore'), '_Terra', '_Onshore')"))
 def _(fx):
     results, fields, ratios = _results(fx)
     return _basin_out(B.basin_report(results, fields, fx.basin.select("name", "outer_shape"), ratios, "rename"))
 
 
-_CURVE = f"""WITH {_RESULTS}, curve AS (SELECT entity_id, name, production * ci AS impact, production / sum(production) OVER () AS width,
+_CURVE = f"""WITH {_results_sql(_WHOLE)}, curve AS (SELECT entity_id, name, production * ci AS impact, production / sum(production) OVER () AS width,
   (sum(production) OVER (ORDER BY ci, entity_id ROWS UNBOUNDED PRECEDING) - production) / sum(production) OVER () AS start_x,
   sum(ci * production) OVER () / sum(production) OVER () AS average_ci,
   CASE WHEN gor <= 100 THEN 'red' WHEN gor <= 500 THEN 'orange' WHEN gor <= 1000 THEN 'yellow' ELSE 'lightgreen' END AS gor_class, 'Others' AS basin_class FROM placed)"""

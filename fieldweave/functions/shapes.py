@@ -110,29 +110,72 @@ def point_in_buffered_shape(x: Column, y: Column, shape: Column, distance: float
     return point_in_shape(x, y, shape) | F.coalesce(edge_distance(x, y, shape) < F.lit(distance), F.lit(False))
 
 
-def _edges_meet(e: Column, f: Column) -> Column:
-    """Proper crossing of two edges."""
-    s1 = _side(e, f["a"]["x"], f["a"]["y"])
-    s2 = _side(e, f["b"]["x"], f["b"]["y"])
-    s3 = _side(f, e["a"]["x"], e["a"]["y"])
-    s4 = _side(f, e["b"]["x"], e["b"]["y"])
-    return (s1 * s2 < 0) & (s3 * s4 < 0)
+# How far from an edge, in degrees, a computed point still counts as on it: the rounding of a division.
+_ON = 1e-11
 
 
-def shape_in_shape(inner: Column, outer: Column) -> Column:
-    """Every inner vertex inside the outer shape (its boundary allowed), no edge crossing, no outer hole within."""
+def _covered(x: Column, y: Column, shape: Column) -> Column:
+    """In the shape or on its boundary, edges between parts included."""
+    return point_in_shape(x, y, shape) | F.coalesce(edge_distance(x, y, shape) <= F.lit(_ON), F.lit(False))
+
+
+def _piece_middles(edge: Column, others: Column) -> Column:
+    """Middles of the pieces into which the other edges cut an edge, with the edge's direction."""
+    a, b = edge["a"], edge["b"]
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+
+    def along(x: Column, y: Column) -> Column:
+        return F.try_divide((x - a["x"]) * dx + (y - a["y"]) * dy, dx * dx + dy * dy)
+
+    def cuts(f: Column) -> Column:
+        c, d = f["a"], f["b"]
+        fx, fy = d["x"] - c["x"], d["y"] - c["y"]
+        cross = dx * fy - dy * fx
+        t = F.try_divide((c["x"] - a["x"]) * fy - (c["y"] - a["y"]) * fx, cross)
+        u = F.try_divide((c["x"] - a["x"]) * dy - (c["y"] - a["y"]) * dx, cross)
+        ends = [F.when(_on_edge(edge, v["x"], v["y"]), along(v["x"], v["y"])) for v in (c, d)]
+        return F.array(F.when(u.between(-_ON, 1 + _ON), t), *ends)
 
-    def against(outer_edges: Column) -> Column:
-        def covered(v: Column) -> Column:
-            return point_in_shape(v["x"], v["y"], outer) | F.exists(outer_edges, lambda e: _on_edge(e, v["x"], v["y"]))
+    inside = F.filter(F.flatten(F.transform(others, cuts)), lambda t: (t > 0) & (t < 1))
 
-        inner_edges = F.flatten(F.transform(inner, _part_edges))
-        crossing = F.exists(inner_edges, lambda e: F.exists(outer_edges, lambda f: _edges_meet(e, f)))
-        holes = F.flatten(F.flatten(F.transform(outer, lambda part: F.slice(part, F.lit(2), F.size(part)))))
-        hollow = F.exists(holes, lambda v: point_in_shape(v["x"], v["y"], inner))
-        return F.forall(vertices(inner), covered) & ~crossing & ~hollow
+    def middles(ts: Column) -> Column:
+        n = F.size(ts)
 
-    return F.coalesce(_let(F.flatten(F.transform(outer, _part_edges)), against), F.lit(False))
+        def middle(s: Column, t: Column) -> Column:
+            m = (s + t) / 2
+            return F.struct((a["x"] + m * dx).alias("x"), (a["y"] + m * dy).alias("y"), dx.alias("dx"), dy.alias("dy"))
+
+        return F.zip_with(F.slice(ts, F.lit(1), n - 1), F.slice(ts, F.lit(2), n - 1), middle)
+
+    return _let(F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), inside))), middles)
+
+
+def shape_in_shape(inner: Column, outer: Column) -> Column:
+    """The inner shape lies in the union of the outer parts, boundary allowed; parts may touch or overlap.
+
+    Inner edges are cut where they meet outer ones, and every piece must be covered. Outer edges that run inside the
+    inner shape must be covered on both sides: an edge that two parts share is, the rim of a hole is not.
+    """
+    inner_edges = F.flatten(F.transform(inner, _part_edges))
+    outer_edges = F.flatten(F.transform(outer, _part_edges))
+    corners = F.forall(vertices(inner), lambda v: _covered(v["x"], v["y"], outer))
+
+    def pieces(mine: Column, theirs: Column) -> Column:
+        rim = F.flatten(F.transform(mine, lambda e: _piece_middles(e, theirs)))
+        return F.forall(rim, lambda m: _covered(m["x"], m["y"], outer))
+
+    def both_sides(m: Column) -> Column:
+        length = F.sqrt(m["dx"] * m["dx"] + m["dy"] * m["dy"])
+        nx, ny = F.try_divide(-m["dy"], length) * 1e-8, F.try_divide(m["dx"], length) * 1e-8
+        return _covered(m["x"] + nx, m["y"] + ny, outer) & _covered(m["x"] - nx, m["y"] - ny, outer)
+
+    def no_hole(mine: Column, theirs: Column) -> Column:
+        seams = F.flatten(F.transform(theirs, lambda f: _piece_middles(f, F.concat(mine, theirs))))
+        within = F.filter(seams, lambda m: point_in_shape(m["x"], m["y"], inner) & (edge_distance(m["x"], m["y"], inner) > _ON))
+        return F.forall(within, lambda m: F.coalesce(both_sides(m), F.lit(True)))
+
+    exact = _let(F.struct(inner_edges.alias("i"), outer_edges.alias("o")), lambda e: pieces(e["i"], e["o"]) & no_hole(e["i"], e["o"]))
+    return F.coalesce(F.when(corners, exact), F.lit(False))
 
 
 def _ring_moments(ring: Column) -> Column:

@@ -90,3 +90,28 @@ def shape_shape_join(
     hit = boxed & S.shape_in_shape(F.col(inner_shape), F.col(outer_shape))
     joined = salted_join(left, right, ["_bx", "_by"], [inner_id], None, how, hit, rows_per_split, left_bound=inner_bound, heavy=True)
     return joined.drop("_bx", "_by", "_box", "_ibox")
+
+
+def shape_union_join(
+    inner: DataFrame,
+    parts: DataFrame,
+    inner_id: str,
+    key: str,
+    inner_shape: str = "shape",
+    part: str = "part",
+    bucket_deg: float = 1.0,
+    rows_per_split: int = ROWS_PER_SPLIT,
+) -> DataFrame:
+    """Pairs ``inner_id``, ``key`` where the union of all parts of the key contains the shape.
+
+    Only the parts whose box meets the shape's box come together for a pair, so an outline of very many parts
+    never stands in one row. A pair meets in the bucket of the lower left corner that their boxes share, once.
+    """
+    left = _shape_buckets(inner.select(inner_id, inner_shape), inner_shape, bucket_deg, 0.0).withColumnRenamed("_box", "_ibox")
+    right = _shape_buckets(parts.select(key, F.array(part).alias("_part")), "_part", bucket_deg, 0.0)
+    i, o = F.col("_ibox"), F.col("_box")
+    meet = (i["xmin"] <= o["xmax"]) & (o["xmin"] <= i["xmax"]) & (i["ymin"] <= o["ymax"]) & (o["ymin"] <= i["ymax"])
+    here = (_bucket(F.greatest(i["xmin"], o["xmin"]), bucket_deg) == F.col("_bx")) & (_bucket(F.greatest(i["ymin"], o["ymin"]), bucket_deg) == F.col("_by"))
+    met = salted_join(left, right, ["_bx", "_by"], [inner_id], None, "inner", meet & here, rows_per_split, heavy=True)
+    gathered = met.groupBy(inner_id, key).agg(F.first(inner_shape).alias("_inner"), F.flatten(F.collect_set("_part")).alias("_outer"))
+    return gathered.where(S.shape_in_shape(F.col("_inner"), F.col("_outer"))).select(inner_id, key)

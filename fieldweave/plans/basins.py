@@ -10,7 +10,7 @@ from fieldweave.functions.text import rename_suffix, strip_suffix
 from fieldweave.operators.aggregates import group_modes, weighted_average
 from fieldweave.operators.cover import dissolve_parts
 from fieldweave.operators.numbering import running_sum
-from fieldweave.operators.spatial_join import shape_shape_join
+from fieldweave.operators.spatial_join import shape_union_join
 from fieldweave.session import freeze
 
 SHORES = ("_Mar", "_Terra")
@@ -18,27 +18,26 @@ SHORE_NAMES = {"_Mar": "_Offshore", "_Terra": "_Onshore"}
 
 
 def named_basins(basins: DataFrame, suffix_mode: str) -> DataFrame:
-    """Basin shapes by plain name (``strip``, halves dissolved) or by renamed half (``rename``)."""
+    """Parts of the basin shapes by plain name (``strip``: both halves together) or by renamed half (``rename``)."""
     if suffix_mode == "strip":
-        named = basins.select(strip_suffix(F.col("name"), SHORES).alias("basin_name"), "outer_shape")
-        return dissolve_parts(named, "basin_name", "outer_shape").select("basin_name", F.array("part").alias("outer_shape"))
-    if suffix_mode == "rename":
-        return basins.select(rename_suffix(F.col("name"), SHORE_NAMES).alias("basin_name"), "outer_shape")
-    raise ValueError("suffix_mode is 'strip' or 'rename'")
+        name = strip_suffix(F.col("name"), SHORES)
+    elif suffix_mode == "rename":
+        name = rename_suffix(F.col("name"), SHORE_NAMES)
+    else:
+        raise ValueError("suffix_mode is 'strip' or 'rename'")
+    return dissolve_parts(basins.select(name.alias("basin_name"), "outer_shape"), "basin_name", "outer_shape")
 
 
 def fields_in_basins(results: DataFrame, fields: DataFrame, basins: DataFrame, flares: DataFrame, suffix_mode: str, bucket_deg: float = 1.0) -> DataFrame:
     """Model results with their field's attributes, basin and flaring ratio.
 
+    A field belongs to a basin if the union of the basin's parts contains it, wherever the parts meet.
     ``results``: ``name, production, ci``; ``fields``: ``entity_id, name, gor, offshore, shape``;
     ``flares``: ``entity_id, for_value``.
     """
-    merged = results.join(fields.select("entity_id", "name", "gor", "offshore", "shape"), "name", "left")
-    placed = shape_shape_join(merged.where("shape is not null"), named_basins(basins, suffix_mode), "entity_id", "left", bucket_deg=bucket_deg)
-    placed = placed.drop("outer_shape", "shape").unionByName(
-        merged.where("shape is null").drop("shape"), allowMissingColumns=True
-    )
-    return placed.join(flares.select("entity_id", "for_value"), "entity_id", "left")
+    merged = results.join(fields.select("entity_id", "name", "gor", "offshore"), "name", "left")
+    placed = shape_union_join(fields, named_basins(basins, suffix_mode), "entity_id", "basin_name", bucket_deg=bucket_deg)
+    return merged.join(placed, "entity_id", "left").join(flares.select("entity_id", "for_value"), "entity_id", "left")
 
 
 def basin_averages(placed: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldweave.functions import cells as C
 from fieldweave.functions import shapes as S
 from fieldweave.operators import cover as V
-from fieldweave.operators.spatial_join import point_shape_join, shape_shape_join
+from fieldweave.operators.spatial_join import point_shape_join, shape_shape_join, shape_union_join
 from fieldweave.sources.files import scan_geojson
 
 SHAPE = f"id bigint, shape {S.SHAPE_TYPE}"
@@ -94,6 +94,24 @@ def test_shape_in_shape(spark):
     assert got == {(1, 0), (2, None), (3, None), (4, 0), (5, None)}
 
 
+def test_shape_in_union_of_parts(spark):
+    """Halves with a straight and with a slanted common line, a hole across it, a hole that another part fills."""
+    left, right = box(0, 0, 5, 10), box(5, 0, 10, 10)
+    slant = [[ring((0, 0), (4.3, 0), (6.1, 10), (0, 10))], [ring((4.3, 0), (10, 0), (10, 10), (6.1, 10))]]
+    pierced = [[ring((0, 0), (5, 0), (5, 4), (4, 4), (4, 6), (5, 6), (5, 10), (0, 10))], [ring((5, 0), (10, 0), (10, 10), (5, 10), (5, 6), (6, 6), (6, 4), (5, 4))]]
+    filled = [[box(0, 0, 10, 10), box(4, 4, 6, 6)], [box(4, 4, 6, 6)]]
+    apart = [[box(0, 0, 4.9, 10)], [right]]
+    outer = [(0, [[left], [right]]), (1, slant), (2, pierced), (3, filled), (4, apart)]
+    inner = [(1, [[box(3, 3, 7, 7)]]), (2, [[box(4.5, 1, 5.5, 2)]]), (3, [[box(8, 8, 11, 9)]]), (4, [[ring((3, 3), (7.3, 3.1), (5.2, 8.8))]])]
+    o = spark.createDataFrame(outer, f"oid bigint, outer_shape {S.SHAPE_TYPE}")
+    i = spark.createDataFrame(inner, SHAPE)
+    expected = {(a, b) for a in (1, 2, 4) for b in (0, 1, 3)} | {(2, 2)}
+    assert {(r["id"], r["oid"]) for r in shape_shape_join(i, o, "id", "inner").collect()} == expected
+    parts = o.select("oid", F.explode("outer_shape").alias("part"))
+    for bucket in (1.0, 3.0):
+        assert {(r["id"], r["oid"]) for r in shape_union_join(i, parts, "id", "oid", bucket_deg=bucket).collect()} == expected
+
+
 def test_centroids(spark):
     rows = [(0, [[box(0, 0, 2, 2)]]), (1, [[box(0, 0, 4, 4), box(0, 0, 2, 4)]]), (2, [[box(0, 0, 1, 1)], [box(3, 0, 4, 1)]]), (3, [[ring((1, 1))]]), (4, None)]
     got = {r["id"]: r["c"] for r in spark.createDataFrame(rows, SHAPE).select("id", S.centroid(F.col("shape")).alias("c")).collect()}
