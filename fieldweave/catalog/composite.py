@@ -15,7 +15,7 @@ from fieldweave.operators.projection import map_schema
 from fieldweave.plans import basins as B
 from fieldweave.plans import coverage as K
 from fieldweave.plans import estimate, flares, golden, ingest, matching, model_inputs, papers
-from fieldweave.plans.standardize import OP_TABLES, SourceMeta, prepare_registry, standardize
+from fieldweave.plans.standardize import OP_TABLES, SourceMeta, prepare_registry, standardize, standardize_all
 from fieldweave.session import freeze, scratch_path
 
 _RAW = """SELECT field_id, name AS "Field name", CASE WHEN kind LIKE '%E%' THEN 'Oil' ELSE 'Gas' END AS "Function u", wells - 5 AS "Water In 2",
@@ -23,16 +23,8 @@ _RAW = """SELECT field_id, name AS "Field name", CASE WHEN kind LIKE '%E%' THEN
   wells * 100e0 AS "Field dept", oil_prod AS "Oil (bbl/d", wells * 2e0 AS "Natural Ga", lon, lat FROM fx_source WHERE source_id = 'a2024'"""
 
 
-@query(
-    "PIP1_standardize_source",
-    f"""WITH raw AS ({_RAW}), {sql_cells("c", "raw")}
-    SELECT field_id, lower("Field name") AS name, q, r, 'registry2024' AS source_id, lower("Function u") AS functional_unit,
-      CASE WHEN "Water In 2" > 0 THEN 1 ELSE 0 END AS water_reinjection, CASE "Offshore" WHEN 'Sea' THEN 1 ELSE 0 END AS offshore,
-      CAST(ceil("no. Produc") AS BIGINT) AS num_prod_wells, round("Field dept" * 3.28084e0, 4) AS depth,
-      round("Natural Ga" * 6000 / "Oil (bbl/d", 6) AS gor, round("Water In 2" * 6.28981e0 / "Oil (bbl/d", 9) AS wir FROM c""",
-)
-def _(fx):
-    raw = fx.source.where("source_id = 'a2024'").select(
+def _registry_rows(fx):
+    return fx.source.where("source_id = 'a2024'").select(
         "field_id", "lon", "lat",
         F.col("name").alias("Field name"),
         F.when(F.col("kind").contains("E"), "Oil").otherwise("Gas").alias("Function u"),
@@ -44,6 +36,18 @@ def _(fx):
         F.col("oil_prod").alias("Oil (bbl/d"),
         (F.col("wells") * 2.0).alias("Natural Ga"),
     )
+
+
+@query(
+    "PIP1_standardize_source",
+    f"""WITH raw AS ({_RAW}), {sql_cells("c", "raw")}
+    SELECT field_id, lower("Field name") AS name, q, r, 'registry2024' AS source_id, lower("Function u") AS functional_unit,
+      "Water In 2" > 0 AS water_reinjection, "Offshore" = 'Sea' AS offshore,
+      CAST(ceil("no. Produc") AS BIGINT) AS num_prod_wells, round("Field dept" * 3.28084e0, 4) AS depth,
+      round("Natural Ga" * 6000 / "Oil (bbl/d", 6) AS gor, round("Water In 2" * 6.28981e0 / "Oil (bbl/d", 9) AS wir FROM c""",
+)
+def _(fx):
+    raw = _registry_rows(fx)
     targets = ["name", "functional_unit", "water_reinjection", "offshore", "num_prod_wells", "depth", "gor", "wir", "api"]
     out = standardize(raw, SourceMeta("registry", "2024"), OP_TABLES["registry"], targets, field_id="field_id")
     return out.select(
@@ -52,6 +56,45 @@ def _(fx):
     )
 
 
+_ALL_TARGETS = ["name", "functional_unit", "offshore", "oil_prod", "gor", "depth", "age", "num_prod_wells", "water_reinjection", "downhole_pump"]
+
+
+@query(
+    "PIP1_standardize_all",
+    f"""WITH raw AS ({_RAW})
+    SELECT 'registry2024' AS source_id, field_id, lower("Field name") AS name, lower("Function u") AS functional_unit, "Offshore" = 'Sea' AS offshore,
+      round("Oil (bbl/d", 4) AS oil_prod, round("Natural Ga" * 6000 / "Oil (bbl/d", 6) AS gor, round("Field dept" * 3.28084e0, 4) AS depth,
+      CAST(NULL AS DOUBLE) AS age, CAST(ceil("no. Produc") AS BIGINT) AS num_prod_wells, "Water In 2" > 0 AS water_reinjection, CAST(NULL AS BOOLEAN) AS downhole_pump FROM raw
+    UNION ALL SELECT 'commercial2022', field_id, lower(name), CASE WHEN wells % 2 = 0 THEN 'oil' ELSE 'gas' END, wells % 3 = 0, round(oil_prod, 4), round(wells * 20e0, 6),
+      round(wells * 100 * 3.28084e0, 4), 1950e0 + wells, CAST(wells AS BIGINT), wells % 5 = 0, wells % 5 <> 0 FROM fx_source WHERE source_id = 'b2022'
+    UNION ALL SELECT 'paper2021', field_id, lower(name), CASE WHEN wells % 2 = 0 THEN 'oil' ELSE 'gas' END, NULL, round(oil_prod, 4), round(wells * 10e0, 6), NULL, NULL, NULL, NULL, NULL
+      FROM fx_source WHERE source_id = 'c2021'
+    UNION ALL SELECT 'features2020', field_id, lower(name), CASE WHEN offshore = 1 THEN 'oil' ELSE 'gas' END, offshore = 1, NULL, NULL, NULL, 1950e0 + field_id % 50, NULL, NULL, NULL FROM fx_field""",
+)
+def _(fx):
+    unit = F.when(F.col("wells") % 2 == 0, "Oil").otherwise("Gas")
+    commercial = fx.source.where("source_id = 'b2022'").select(
+        "field_id", F.col("name").alias("field_name"), unit.alias("field_oil_"), F.when(F.col("wells") % 5 == 0, "Water injection").otherwise("Artificial Lift").alias("field_dr_1"),
+        F.lit("Other").alias("field_dr_2"), F.lit(None).cast("string").alias("field_dr_3"), F.col("wells").cast("double").alias("prodw_cnt"), (F.col("wells") * 100.0).alias("f_depth_mt"),
+        (F.col("wells") + 1950).alias("field_year"), (F.col("oil_prod") / 1000).alias("f_produc_2"), F.when(F.col("wells") % 3 == 0, "Offshore").otherwise("Onshore").alias("onshore_of"),
+        (F.col("wells") * 20.0).cast("string").alias("f_gas_oil_"),
+    )
+    paper = fx.source.where("source_id = 'c2021'").select(
+        "field_id", F.col("field_id").alias("Number"), F.col("name").alias("N_Fldname"), unit.alias("Product_Ty"), (F.col("wells") * 10).alias("SUM_GOR"), F.col("oil_prod").alias("SUM_OIL_PR")
+    )
+    at_sea = F.col("offshore") == 1
+    features = fx.field.select(
+        "field_id", F.concat(F.lit("F"), F.col("field_id")).alias("MD_Fkey"), F.col("name").alias("Facility_N"), F.when(at_sea, "Óleo").otherwise("Gás").alias("Commodity"),
+        F.concat(F.lit("01/02/"), F.col("field_id") % 50 + 1950).alias("Installati"), F.when(at_sea, "Offshore").otherwise("Onshore").alias("Onshore_Of"),
+    )
+    inputs = [
+        (_registry_rows(fx), SourceMeta("registry", "2024"), "registry"), (commercial, SourceMeta("commercial", "2022"), "commercial"),
+        (paper, SourceMeta("paper", "2021"), "paper_inventory"), (features, SourceMeta("features", "2020"), "features"),
+    ]
+    out = standardize_all(inputs, _ALL_TARGETS, "field_id").withColumns({c: rounded(c, d) for c, d in (("oil_prod", 4), ("gor", 6), ("depth", 4))})
+    return out.select("source_id", "field_id", *_ALL_TARGETS)
+
+
 @query(
     "PIP2_prepare_registry",
     """WITH shapes AS (SELECT c_name AS name, CASE c_mktsegment WHEN 'BUILDING' THEN 'oil' WHEN 'MACHINERY' THEN 'gas' END AS function_unit, c_custkey FROM customer),

@@ -14,6 +14,8 @@ from fieldweave.functions import cells as C
 from fieldweave.functions import quantities as Q
 from fieldweave.functions import shapes as S
 from fieldweave.functions import text as X
+from fieldweave.functions.recode import FLOOD_GASES, option
+from fieldweave.functions.schema import target_schema
 from fieldweave.operators.aggregates import first_rows, time_weighted_means
 from fieldweave.operators.projection import OpTable, filter_recode, mapped_columns, row_counter_id
 
@@ -60,7 +62,8 @@ LAYOUT_FUNCTIONS = {
     "location_flag": lambda c: X.offshore_flag(c, X.LOCATION_WORDS),
     "unit_from_portuguese": lambda c: X.unit_from_text(c, X.UNIT_WORDS_PT),
     "gas_flood_ratio": _gas_flood_ratio,
-    "dominant_gas_code": lambda natural, carbon, nitrogen: Q.dominant_gas_code(natural, nitrogen, carbon),
+    "as_text": lambda value: value.cast("string"),
+    "dominant_gas": lambda natural, carbon, nitrogen: option(Q.dominant_gas_code(natural, nitrogen, carbon), FLOOD_GASES),
     **{f.__name__: f for f in (X.unit_from_text, X.offshore_flag, X.year_from_text)},
     **{f.__name__: f for f in (Q.feet_from_metres, Q.barrels_from_thousands, Q.percent_from_ppm, Q.ceil_count)},
     **{f.__name__: f for f in (Q.positive_flag, Q.positive_flag2, Q.remaining_gas_fraction, Q.reinjected_water_fraction)},
@@ -87,8 +90,9 @@ def standardize(
     order: Sequence[str] | None = None,
     field_id: str | None = None,
 ) -> DataFrame:
-    """Map one raw source; identity columns first, then the targets.
+    """Map one raw source; identity columns first, then the targets, in the types of the target schema.
 
+    A value that the declared type cannot hold is missing; names the schema does not know keep their type.
     ``field_id`` names a ready key of the input; without one, rows are numbered from 0 in ``order``. The cell
     comes from ``shape`` (its centroid) or from ``lon`` / ``lat`` where the input has them.
     """
@@ -114,6 +118,8 @@ def standardize(
         shape.alias("shape"),
         *columns,
     )
+    kinds = {f.name: f.dataType for f in target_schema().fields if f.name in frame.columns}
+    frame = frame.withColumns({n: F.col(n).try_cast(t) for n, t in kinds.items()})
     raw = F.col("name")
     name = F.when(raw == "", F.lit(None)).otherwise(X.normalize_name(raw))
     front = ["field_id", "name", "cell", "source_id", "source_name"]
@@ -121,6 +127,18 @@ def standardize(
     return frame.select(*front, *[c for c in frame.columns if c not in front])
 
 
+def standardize_all(
+    inputs: Sequence[tuple[DataFrame, SourceMeta, str]], targets: Sequence[str], field_id: str, layouts: Mapping[str, OpTable] | None = None, edge_deg: float = C.DEFAULT_EDGE
+) -> DataFrame:
+    """All sources in one table: each ``(rows, source, layout)`` standardized, targets a layout lacks null."""
+    layouts = OP_TABLES if layouts is None else layouts
+    tables = [standardize(rows, source, layouts[layout], targets, edge_deg, field_id=field_id) for rows, source, layout in inputs]
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table, allowMissingColumns=True)
+    return out
+
+
 # Fluid words of the shape registry (fixed values).
 FLUID_WORDS = {"ÓLEO": "oil", "GÁS": "gas"}
 
