@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,21 +22,70 @@ def scan_csv_config(
 ) -> DataFrame:
     """CSV as text columns by configured delimiter, encoding and header line.
 
-    Without ``columns`` the names come from the header line of the first file. Lines above the header are
-    dropped per file by line number, which needs whole files in one read task each; files with the header on
-    top are read in splits.
+    Without ``columns`` every file is read by its own header line and columns meet by name: files may order them
+    differently, and a column that a file lacks is null there. Lines above the header are dropped per file by line
+    number, which needs whole files in one read task each; files with the header on top are read in splits.
     """
-    reader = spark.read.option("sep", delimiter).option("encoding", charset(encoding)).option("escape", '"').option("quote", '"')
+
+    def reader():
+        return spark.read.option("sep", delimiter).option("encoding", charset(encoding)).option("escape", '"').option("quote", '"')
+
+    def declared(names: Sequence[str]) -> str:
+        return ", ".join("`" + c.replace("`", "``") + "` string" for c in names)
+
     if header_row == 0:
-        if columns is None:
-            return reader.csv(path, header=True)
-        return reader.schema(", ".join(f"`{c}` string" for c in columns)).csv(path, header=True)
-    names = list(columns) if columns is not None else _header_names(spark, path, delimiter, encoding, header_row)
-    lines = _whole_texts(spark, path, encoding)
-    body = F.slice(F.split("value", r"\r?\n"), F.lit(header_row + 2), F.greatest(F.size(F.split("value", r"\r?\n")) - (header_row + 1), F.lit(0)))
-    rows = lines.select(F.explode(body).alias("_line")).where(F.trim("_line") != "")
-    parsed = F.from_csv("_line", F.lit(", ".join(f"`{c}` string" for c in names)), {"sep": delimiter, "escape": '"', "quote": '"'})
-    return rows.select(parsed.alias("_r")).select("_r.*")
+        if columns is not None:
+            return reader().schema(declared(columns)).csv(path, header=True)
+        headers = _top_lines(spark, path, encoding)
+        lines = _distinct_headers(headers)
+        if len(lines) < 2:
+            return reader().csv(path, header=True)
+
+        def part(line: str) -> DataFrame:
+            rows = reader().schema(declared(_names(line, delimiter))).csv(path, header=True)
+            mine = headers.where(F.col("_header") == line).select("_file")
+            return rows.withColumn("_file", F.col("_metadata.file_path")).join(mine, "_file", "left_semi").drop("_file")
+    else:
+        split = F.split("value", r"\r?\n")
+        files = _whole_texts(spark, path, encoding).select(split.alias("_lines"), F.get(split, F.lit(header_row)).alias("_header"))
+        lines = [None] if columns is not None else _distinct_headers(files)
+
+        def part(line: str | None) -> DataFrame:
+            names = columns if line is None else _names(line, delimiter)
+            mine = files if line is None else files.where(F.col("_header") == line)
+            body = F.slice("_lines", F.lit(header_row + 2), F.greatest(F.size("_lines") - (header_row + 1), F.lit(0)))
+            rows = mine.select(F.explode(body).alias("_line")).where(F.trim("_line") != "")
+            parsed = F.from_csv("_line", F.lit(declared(names)), {"sep": delimiter, "escape": '"', "quote": '"'})
+            return rows.select(parsed.alias("_r")).select("_r.*")
+
+    if not lines:
+        raise ValueError(f"no header line in {path}")
+    out = part(lines[0])
+    for line in lines[1:]:
+        out = out.unionByName(part(line), allowMissingColumns=True)
+    return out
+
+
+#: Files of one input may have this many different header lines; each costs one more pass over the files.
+MAX_HEADERS = 100
+
+
+def _distinct_headers(headers: DataFrame) -> list[str]:
+    found = [r["_header"] for r in headers.where(F.col("_header").isNotNull()).select("_header").distinct().orderBy("_header").limit(MAX_HEADERS + 1).collect()]
+    if len(found) > MAX_HEADERS:
+        raise ValueError(f"more than {MAX_HEADERS} different header lines")
+    return found
+
+
+def _top_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """First line of every file: ``_file``, ``_header``. Lines of a file's first block are numbered in order."""
+    lines = spark.read.option("sep", "\u0001").option("quote", "").option("encoding", charset(encoding)).schema("value string").csv(path)
+    numbered = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_n"))
+    return numbered.where("_start = 0").groupBy("_file").agg(F.min_by("value", "_n").alias("_header"))
+
+
+def _names(line: str, delimiter: str) -> list[str]:
+    return [c.strip() for c in next(csv.reader([line], delimiter=delimiter))]
 
 
 # Charset names as configurations spell them and as Spark knows them (fixed values).
@@ -50,13 +100,6 @@ def _whole_texts(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.decode("content", charset(encoding)).alias("value"))
 
 
-def _header_names(spark: SparkSession, path: str, delimiter: str, encoding: str, header_row: int) -> list[str]:
-    """Column names in the header line: one short line comes to the driver."""
-    text = _whole_texts(spark, path, encoding)
-    line = text.select(F.get(F.split("value", r"\r?\n"), F.lit(header_row)).alias("h")).limit(1).collect()[0]["h"]
-    return [c.strip().strip('"') for c in line.split(delimiter)]
-
-
 def scan_projected(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     return spark.read.parquet(path).select(*columns)
 
@@ -146,18 +189,22 @@ def write_lines(features: DataFrame, path: str) -> None:
 
 
 def write_keyed(df: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str] = ()) -> None:
-    """Each key once. Without partition columns the files are clustered by key, so key ranges prune."""
+    """Each key once. Without partition columns every file holds a range of keys, so key ranges prune."""
     unique = df.dropDuplicates(list(keys))
     if partition_by:
         unique.write.partitionBy(*partition_by).parquet(path)
     else:
-        unique.sortWithinPartitions(*keys).write.parquet(path)
+        unique.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(path)
 
 
-def append_ignore_existing(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str]) -> None:
-    """Append the rows whose key the table at ``path`` does not hold."""
+def append_ignore_existing(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], order: str | None = None) -> None:
+    """Append the rows whose key the table at ``path`` does not hold; of rows with one key the first by ``order``
+    (without one the smallest by contents)."""
     target = spark.read.schema(incoming.schema).parquet(path)
-    incoming.dropDuplicates(list(keys)).join(target.select(*keys), list(keys), "left_anti").write.mode("append").parquet(path)
+    others = [c for c in incoming.columns if c not in keys]
+    rank = F.struct(*([order] if order else []), *others) if others else F.lit(0)
+    first = incoming.groupBy(*keys).agg(F.min_by(F.struct(*incoming.columns), rank).alias("_row")).select("_row.*")
+    first.join(target.select(*keys), list(keys), "left_anti").write.mode("append").parquet(path)
 
 
 def quality_gate_split(df: DataFrame, score_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from fieldweave.functions import shapes as S
 from fieldweave.functions.quantities import SCF_PER_BCM
 from fieldweave.plans import basins, coverage, estimate, flares, golden, ingest, model_inputs, papers
 from fieldweave.plans.standardize import OP_TABLES, SourceMeta, metadata_table, prepare_registry, standardize
-from fieldweave.sources.files import scan_csv_config, scan_transposed
+from fieldweave.sources.files import append_ignore_existing, scan_csv_config, scan_transposed
 from fieldweave.streaming.ingest_stream import COMPLETED, FAILED, UploadStore, ingest_stream, retry_failed
 
 FIELD = "field_id bigint, name string, oil_prod double, for_value double, lon double, lat double, half double"
@@ -139,7 +139,7 @@ def test_papers(spark):
     sheet = spark.createDataFrame([("name", "Tupi", "Lula"), ("oil_prod", "5", None), ("note", "x", "y")], "attribute string, col1 string, col2 string")
     assert {tuple(r) for r in scan_transposed(sheet, "attribute", ["name", "oil_prod"]).collect()} == {("col1", "Tupi", "5"), ("col2", "Lula", None)}
     table = papers.read_paper(sheet, "attribute", SourceMeta("paper", "2020"), ["name", "oil_prod"])
-    assert [(r["field_id"], r["name"], r["oil_prod"]) for r in table.orderBy("field_id").collect()] == [(0, "tupi", "5"), (1, "lula", None)]
+    assert [(r["field_id"], r["name"], r["oil_prod"]) for r in table.orderBy("field_id").collect()] == [(0, "tupi", 5.0), (1, "lula", None)]
 
 
 CONFIG = {
@@ -184,6 +184,23 @@ def test_csv_config(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("Tupi", "BR", "100"), ("Lula; Norte", "BR", "200"), ("Tupi", "BR", "x"), (None, "BR", "10")]
 
 
+@pytest.mark.parametrize("header_row", [0, 1])
+def test_csv_files_with_other_headers(spark, tmp_path, header_row):
+    """Columns meet by name whatever their order; what a file lacks is null; an equal header is one pass."""
+    top = "title\n" * header_row
+    for name, body in {"x": 'a;b\n1;2\n', "y": 'b;a\n4;3\n"6;";5\n', "z": "a\n7\n", "w": "a;b\n8;9\n"}.items():
+        (tmp_path / f"{name}.csv").write_text(top + body)
+    got = scan_csv_config(spark, str(tmp_path), None, ";", "utf-8", header_row).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [("1", "2"), ("3", "4"), ("5", "6;"), ("7", None), ("8", "9")]
+
+
+def test_append_keeps_the_first_row_of_a_key(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "old", 0)], "k int, v string, seq int").write.parquet(path)
+    append_ignore_existing(spark, path, spark.createDataFrame([(1, "x", 1), (2, "late", 3), (2, "first", 2)], "k int, v string, seq int"), ["k"], "seq")
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "old", 0), (2, "first", 2)]
+
+
 def test_csv_encodings(spark, tmp_path):
     for header_row, head in ((0, ""), (1, "title\n")):
         path = tmp_path / f"latin{header_row}.csv"
