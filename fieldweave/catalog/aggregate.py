@@ -118,12 +118,12 @@ def _(fx):
 
 @query(
     "AGG5_flare_rollup",
-    """SELECT id, arg_min(lon, month) AS lon, arg_min(lat, month) AS lat, round(avg(t_mean), 6) AS avg_temp, round(sum(bcm), 9) AS bcm
-    FROM fx_flare WHERE year = 2000 GROUP BY id""",
+    """SELECT id, year, arg_min(lon, month) AS lon, arg_min(lat, month) AS lat, round(avg(t_mean), 6) AS avg_temp, round(sum(bcm), 9) AS bcm
+    FROM fx_flare GROUP BY id, year""",
 )
 def _(fx):
-    out = L.flare_rollup(fx.flare.where("year = 2000"))
-    return out.select("id", "lon", "lat", rounded("avg_temp").alias("avg_temp"), rounded("bcm", 9).alias("bcm"))
+    out = L.flare_rollup(fx.flare, keys=["id", "year"])
+    return out.select("id", "year", "lon", "lat", rounded("avg_temp").alias("avg_temp"), rounded("bcm", 9).alias("bcm"))
 
 
 @query("AGG6_group_mean", "SELECT l_suppkey, round(avg(l_quantity), 6) AS depth FROM lineitem GROUP BY l_suppkey")

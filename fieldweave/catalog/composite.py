@@ -432,7 +432,7 @@ def _(fx):
 
 @query(
     "PIP17_estimate_missing",
-    f"""WITH {sql_cells("c", "(SELECT * FROM fx_source WHERE source_id = 'c2021')", edge=0.2)}, s AS (SELECT unnest(generate_series(-2, 2)) AS i),
+    f"""WITH {sql_cells("c", "(SELECT * EXCLUDE (field_id), source_id || '-' || field_id AS field_id FROM fx_source)", edge=0.2)}, s AS (SELECT unnest(generate_series(-2, 2)) AS i),
     per AS (SELECT q, r, sum(oil_prod) AS t, count(oil_prod) AS n FROM c GROUP BY q, r),
     near AS (SELECT c.field_id, sum(t) / nullif(sum(n), 0) AS v FROM c, s a, s b, per WHERE abs(a.i + b.i) <= 2 AND per.q = c.q + a.i AND per.r = c.r + b.i AND c.oil_prod IS NULL
       GROUP BY c.field_id),
@@ -444,7 +444,7 @@ def _(fx):
 def _(fx):
     from fieldweave.functions.cells import cell_of_point
 
-    rows = fx.source.where("source_id = 'c2021'").withColumn("cell", cell_of_point(F.col("lon"), F.col("lat"), 0.2))
+    rows = fx.source.withColumn("field_id", F.concat_ws("-", "source_id", F.col("field_id").cast("string"))).withColumn("cell", cell_of_point(F.col("lon"), F.col("lat"), 0.2))
     out = estimate.estimate_missing(rows.select("field_id", "cell", "kind", "oil_prod"), "field_id", "cell", "kind", ["oil_prod"], 2)
     return out.select("field_id", rounded("oil_prod", 4).alias("oil_prod"), "oil_prod_origin")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +20,9 @@ def filter_country_year(flares: DataFrame, country: str, year: int) -> DataFrame
     return flares.where((F.col("country") == country) & (F.col("year") == year))
 
 
-def flare_rollup(flares: DataFrame, seq: str = "month") -> DataFrame:
-    """One row per flare: first position, mean temperature, total volume."""
-    return flares.groupBy("id").agg(
+def flare_rollup(flares: DataFrame, seq: str = "month", keys: Sequence[str] = ("id",)) -> DataFrame:
+    """One row per flare, or per flare and year: first position, mean temperature, total volume."""
+    return flares.groupBy(*keys).agg(
         F.min_by("lon", F.col(seq)).alias("lon"),
         F.min_by("lat", F.col(seq)).alias("lat"),
         F.avg("t_mean").alias("avg_temp"),
