@@ -154,8 +154,17 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
 
 
 def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """``docs`` with its own columns, without the rows predicted ``und``."""
+    """``docs`` with its own columns, without the rows whose text is null or holds no letter: those that ``predict`` calls
+    ``und``, or where the model has no language to tell them by, those without a letter."""
     names = docs.columns
     plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    found = predict(plain, model, f"_c{names.index(text)}", plain.columns).where(F.col("lang_pred") != "und")
+    body = f"_c{names.index(text)}"
+
+    def lettered():
+        return lambda texts, _: {"_lettered": [trigram_counts(t) is not None for t in texts]}
+
+    if model[0]:
+        found = predict(plain, model, body, plain.columns).where(F.col("lang_pred") != "und")
+    else:
+        found = scan_texts(plain, body, plain.columns, lettered, [("_lettered", T.BooleanType())]).where("_lettered")
     return found.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
