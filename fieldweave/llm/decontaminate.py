@@ -5,8 +5,9 @@ an occurrence of any window is hit. The windows travel as one broadcast while th
 ``max_bytes`` of text; beyond it, it is cut into slices of that size by a hash of the item and each slice scans the
 documents, so memory stays bounded and no window is left out.
 
-Null and empty texts have no words: they are never hit, and such items have no window. Items with a null id take
-no part. Repeated items count once. Rows of ``docs`` are never merged: equal rows give equal results.
+Null and empty texts have no words: they are never hit, and such items have no window. :func:`find_hits` leaves items
+with a null id out unless ``unnamed`` is set; then their windows mark words too, and only the list of items lacks them.
+:func:`decontaminate` removes their passages as any other. Repeated items count once. Rows of ``docs`` are never merged: equal rows give equal results.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 class WindowIndex:
     """Benchmark windows, found by a rolling hash over word numbers and verified word by word."""
 
-    def __init__(self, items: Sequence[tuple[str, bytes]], window: int):
+    def __init__(self, items: Sequence[tuple[str | None, bytes]], window: int):
         self.words: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        found: dict[tuple[int, ...], set[str | None]] = defaultdict(set)
         for item, text in items:
             ids = [self.words.setdefault(w, len(self.words)) for w in plain_words(text)]
             size = min(window, len(ids))
@@ -44,11 +45,11 @@ class WindowIndex:
             by_size[len(ids)].append(ids)
         self.hashes = {n: np.unique(_window_hashes(np.array(rows, np.int64).reshape(len(rows), n).ravel(), n)[::n]) for n, rows in by_size.items()}
 
-    def hits(self, texts: Sequence[bytes | None]) -> tuple[np.ndarray, np.ndarray, dict[int, set[str]]]:
+    def hits(self, texts: Sequence[bytes | None]) -> tuple[np.ndarray, np.ndarray, dict[int, set[str | None]]]:
         """Per text its number of words; for all words whether they are hit; per hit text the items."""
         ids, counts, starts = numbered(texts, plain_words, self.words)
         mark = np.zeros(len(ids) + 1, np.int64)
-        items: dict[int, set[str]] = defaultdict(set)
+        items: dict[int, set[str | None]] = defaultdict(set)
         # length of the run of benchmark words that begins at each place
         stops = np.flatnonzero(ids < 0)
         room = np.repeat(stops, np.diff(np.concatenate([[-1], stops]))) - np.arange(len(ids)) if len(ids) else ids
@@ -119,7 +120,7 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes]], text: str, keep: Sequ
         def turn(texts, _):
             counts, hit, items = index.hits(texts)
             parts = np.split(hit, np.cumsum(counts)[:-1]) if len(counts) else []
-            out = {"n_words": counts, "n_hit": [int(p.sum()) for p in parts], "items": [sorted(items.get(i, ())) for i in range(len(texts))]}
+            out = {"n_words": counts, "n_hit": [int(p.sum()) for p in parts], "items": [sorted(x for x in items.get(i, ()) if x is not None) for i in range(len(texts))]}
             # boundaries of hit runs as word numbers: start, end, start, end, ...
             out["hit_words"] = [np.flatnonzero(np.diff(np.concatenate([[0], p.view(np.int8), [0]]))).tolist() if i in items else [] for i, p in enumerate(parts)]
             if clean:
@@ -134,11 +135,12 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes]], text: str, keep: Sequ
 
 def find_hits(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",),
-    item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_bytes: int = MAX_BYTES, clean: bool = False,
+    item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_bytes: int = MAX_BYTES, clean: bool = False, unnamed: bool = False,
 ) -> DataFrame:
     """Rows of ``docs`` (columns ``keep``) with ``n_words``, ``n_hit``, ``items`` (sorted ids as text) and
-    ``hit_words`` (start and end word of each hit run); ``clean`` also cuts the hit runs out of the text."""
-    named = benchmark.select(col(item_id).cast("string").alias("item"), col(item_text).cast("string").alias("body")).where("item IS NOT NULL AND body IS NOT NULL").distinct()
+    ``hit_words`` (start and end word of each hit run); ``clean`` also cuts the hit runs out of the text. ``unnamed``: items with
+    a null id hit words as well."""
+    named = benchmark.select(col(item_id).cast("string").alias("item"), col(item_text).cast("string").alias("body")).where("body IS NOT NULL" if unnamed else "item IS NOT NULL AND body IS NOT NULL").distinct()
     _, size = text_bytes(named, "body")
     cuts = max(1, -(-size // max_bytes))
     part = lambda i: [(r["item"], r["body"].encode()) for r in named.where(F.pmod(F.xxhash64("item", "body"), F.lit(cuts)) == i).collect()]
@@ -196,7 +198,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", rem
     names = docs.columns
     renamed = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     inner = f"_c{names.index(text)}"
-    found = find_hits(renamed, benchmark, inner, renamed.columns, clean=remove == "spans", **options)
+    found = find_hits(renamed, benchmark, inner, renamed.columns, clean=remove == "spans", unnamed=True, **options)
     if remove == "documents":
         found = found.where(F.col("n_hit") <= max_hit)
     elif remove != "spans":
