@@ -187,10 +187,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
             parts = pa.array(list(order), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, parts], names=["id", "v", "q", "parts"])
 
-    routed = freeze(good.mapInArrow(route, "id bigint, v array<double>, q boolean, parts array<int>"), "routed")
+    # repeats would take several of a query's k places
+    once = good.groupBy("id", "v").agg(F.max("q").alias("q"))
+    routed = freeze(once.mapInArrow(route, "id bigint, v array<double>, q boolean, parts array<int>"), "routed")
     # at most MAX_PARTS counts
     sizes = {r["part"]: r["n"] for r in routed.groupBy(F.col("parts")[0].alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    queries = routed.where("q").dropDuplicates(["id", "v"])
+    queries = routed.where("q")
     query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     blocks = F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(p, 0) // BLOCK))) for p in range(max([0, *sizes]) + 1)]), F.col("part") + 1)
     in_use = [p for p in sizes]
