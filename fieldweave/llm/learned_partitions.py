@@ -4,7 +4,8 @@ A bounded sample is joined to its nearest neighbours in a graph; the graph is cu
 balanced reassignment towards the part most neighbours are in; a small network learns, for a vector, the share of its
 neighbours in each part. Every vector of the table is indexed under its most probable part, every query is sent to its
 most probable ones and reranked there by exact cosine. How many parts a query visits is learned too: as many as it
-takes to find ``TARGET`` of the neighbours of sample vectors the network has not seen.
+takes to find ``TARGET`` of the neighbours of sample vectors the network has not seen, and more where these hold too few
+rows for ``k`` results.
 
 ``SAMPLE`` vectors (those with the smallest id hashes) are all that is fitted on the driver; whatever is not learned
 covers all rows. A part is searched in blocks of ``BLOCK`` vectors and ``QUERY_BLOCK`` queries, so copies of one vector
@@ -183,8 +184,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
         for batch in batches:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             p = router.probabilities(flat / np.linalg.norm(flat, axis=1, keepdims=True))
-            order = np.argsort(-p, axis=1, kind="stable")[:, :visits].astype(np.int32)
-            parts = pa.array(list(order), pa.list_(pa.int32()))
+            order = np.argsort(-p, axis=1, kind="stable").astype(np.int32)
+            asks = batch.column(2).to_pylist()
+            parts = pa.array([o if q else o[:1] for o, q in zip(order, asks)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, parts], names=["id", "v", "q", "parts"])
 
     # repeats would take several of a query's k places
@@ -196,7 +198,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
     query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     blocks = F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(p, 0) // BLOCK))) for p in range(max([0, *sizes]) + 1)]), F.col("part") + 1)
     in_use = [p for p in sizes]
-    asked = queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.explode("parts").alias("part")).where(F.col("part").isin(in_use))
+    # the learned number of parts, and further ones until they hold k rows besides those of the query's id
+    own = routed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    held_by = F.array(*[F.lit(sizes.get(p, 0)).cast("bigint") for p in range(max([0, *sizes]) + 1)])
+    rows_before = lambda i: F.aggregate(F.slice("parts", 1, i), F.lit(0).cast("bigint"), lambda n, p: n + F.coalesce(F.get(held_by, p), F.lit(0).cast("bigint")))
+    visited = F.filter("parts", lambda p, i: (i < visits) | (rows_before(i) < k + own))
+    asked = queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.explode(visited).alias("part")).where(F.col("part").isin(in_use))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
     held = routed.select("id", "v", F.col("parts")[0].alias("part")).withColumn("block", F.pmod(F.xxhash64("id", "v"), blocks.cast("bigint")).cast("int"))
     held = held.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
