@@ -26,13 +26,13 @@ from fieldweave.operators.numbering import number_rows
 from fieldweave.operators.skew import salted_join
 from fieldweave.session import freeze
 
-STRIDE = 8
+STRIDE = 12
 LEAVES_PER_COPY = 1 << 16
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
-# entries: (p, hash, ...) of one run in order; up: levels to climb in it
+# entries: (p, hash, ...) of one run in order; up: levels to climb in it. Digests are stored as bytes and hashed as hex text
 _LEVELS = """
-aggregate(if(up > 0, sequence(1, up), cast(array() AS array<int>)), array(transform(entries, e -> e.hash)),
+aggregate(if(up > 0, sequence(1, up), cast(array() AS array<int>)), array(transform(entries, e -> lower(hex(e.hash)))),
   (done, _) -> concat(done, array(transform(sequence(0, (size(element_at(done, -1)) - 1) div 2),
     j -> sha2(concat(element_at(done, -1)[2 * j], coalesce(get(element_at(done, -1), 2 * j + 1), '')), 256)))))
 """
@@ -46,14 +46,14 @@ _SIBLINGS = "array_join(transform({path}, s -> concat(s.l, s.r)), '')"
 
 _CLIMB = f"""
 WITH RECURSIVE climb AS (
-  SELECT n, key, leaf, unhex({_FOLD.format(path="path", start="start")}) AS folded, unhex({_SIBLINGS.format(path="path")}) AS proof,
-    CAST(NULL AS STRING) AS subroot, up_t, up_g, up_p, n % up_copies AS up_c FROM {{leaves}}
+  SELECT n, key, leaf, unhex({_FOLD.format(path="path", start="lower(hex(coalesce(start, leaf)))")}) AS folded, unhex({_SIBLINGS.format(path="path")}) AS proof,
+    CAST(NULL AS BINARY) AS subroot, up_t, up_g, up_p, n % up_copies AS up_c FROM {{leaves}}
   UNION ALL
   SELECT c.n, c.key, c.leaf, unhex({_FOLD.format(path="x.path", start="lower(hex(c.folded))")}), concat(c.proof, unhex({_SIBLINGS.format(path="x.path")})),
     if(x.t = 0 AND x.g = 0, x.hash, c.subroot), x.up_t, x.up_g, x.up_p, c.n % x.up_copies
   FROM climb c JOIN {{nodes}} x ON c.up_t = x.t AND c.up_g = x.g AND c.up_p = x.p AND c.up_c = x.copy
 )
-SELECT key, lower(hex(leaf)) AS leaf, subroot, lower(hex(proof)) AS proof, lower(hex(folded)) AS folded FROM climb WHERE up_t IS NULL
+SELECT key, leaf, subroot, proof, folded FROM climb WHERE up_t IS NULL
 """
 
 
@@ -64,7 +64,7 @@ def row_hash(columns: Sequence[Column]) -> Column:
 
 
 def _runs(nodes: DataFrame, stride: int, carry: Sequence[str]) -> DataFrame:
-    """Runs of ``2 ** stride`` neighbours with every level above them, as far as the run's tree goes on.
+    """Runs of ``2 ** stride`` neighbours with the node above them.
 
     ``nodes``: tree ``t``, position ``p``, ``hash``, ``n_leaves`` below, ``size`` (nodes of this tree), and ``carry``.
     """
@@ -74,13 +74,15 @@ def _runs(nodes: DataFrame, stride: int, carry: Sequence[str]) -> DataFrame:
     alone = F.expr("if(size(entries) > 1, length(bin(size(entries) - 1)), 0)")
     runs = runs.withColumn("more", more).withColumn("up", F.when(more, F.lit(stride)).otherwise(alone).cast("int"))
     total = F.expr("aggregate(entries, 0L, (x, e) -> x + e.n_leaves)")
-    return runs.withColumn("levels", F.expr(_LEVELS)).withColumn("total", total)
+    return runs.withColumn("top", F.unhex(F.element_at(F.expr(_LEVELS), -1)[0])).withColumn("total", total)
 
 
 def _links(runs: DataFrame, stage: int, carry: Sequence[str]) -> DataFrame:
     """A row per entry of the runs with the siblings on its way and the place it comes to (none above the root)."""
-    rows = runs.select("t", "q", "more", "up", "levels", "total", "size", F.posexplode("entries").alias("i", "e"))
-    out = rows.withColumn("path", F.expr(_PATH))
+    # paths are taken before the run is exploded, so that its levels are not copied to every row
+    entry = F.expr(f"explode(transform(entries, (e, i) -> named_struct('e', e, 'path', {_PATH})))").alias("x")
+    rows = runs.withColumn("levels", F.expr(_LEVELS)).select("t", "q", "more", "total", entry)
+    out = rows.select("t", "q", "more", "total", "x.e", "x.path")
     more, leave = F.col("more"), F.col("t") > 0
     place = lambda inner, outer: F.when(more, inner).when(leave, outer).cast("bigint")
     return out.select(
@@ -97,7 +99,7 @@ def _tree(nodes: DataFrame, largest: int, stride: int, carry: Sequence[str] = ()
     while True:
         runs = freeze(_runs(nodes, stride, carry if not stage else ()), "runs")
         links.append(_links(runs, stage, carry if not stage else ()))
-        top = runs.select("t", "more", F.col("q").alias("p"), F.expr("element_at(levels, -1)[0]").alias("hash"), F.col("total").alias("n_leaves"), F.ceil(F.col("size") / (1 << stride)).cast("bigint").alias("size"))
+        top = runs.select("t", "more", F.col("q").alias("p"), F.col("top").alias("hash"), F.col("total").alias("n_leaves"), F.ceil(F.col("size") / (1 << stride)).cast("bigint").alias("size"))
         roots.append(top.where("NOT more").select("t", "hash", "n_leaves"))
         if largest <= 1 << stride:
             break
@@ -109,9 +111,9 @@ def _tree(nodes: DataFrame, largest: int, stride: int, carry: Sequence[str] = ()
 
 
 def build(rows: DataFrame, stride: int = STRIDE) -> tuple[DataFrame, DataFrame, str] | None:
-    """The manifest of ``rows`` (``grp``, ``key``, ``leaf`` hex, ``start``: the digest to climb from): leaves with their first
-    link, all node rows above them, and the root; None if there are no rows."""
-    numbered = number_rows(rows, [F.col("grp").asc_nulls_first(), F.col("key").asc_nulls_first(), F.col("leaf"), F.col("start")], "n")
+    """The manifest of ``rows`` (``grp``, ``key``, ``leaf``, ``start``: the digest to climb from, null if it is the leaf's): leaves
+    with their first link, all node rows above them, and the root; None if there are no rows."""
+    numbered = number_rows(rows, [F.col("grp").asc_nulls_first(), F.col("key").asc_nulls_first(), F.col("leaf"), F.coalesce("start", "leaf")], "n")
     groups = freeze(numbered.groupBy("grp").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("size")), "groups")
     trees = freeze(number_rows(groups, [F.col("grp").asc_nulls_first()], "t", start=1).withColumnRenamed("grp", "g_grp"), "trees")
     bounds = trees.agg(F.max("size").alias("largest"), F.count(F.lit(1)).alias("trees")).first()
@@ -126,12 +128,13 @@ def build(rows: DataFrame, stride: int = STRIDE) -> tuple[DataFrame, DataFrame,
     for part in [*lower[1:], *upper]:
         nodes = part if nodes is None else nodes.unionByName(part)
     copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n_leaves") / LEAVES_PER_COPY).cast("bigint") - 1))
-    first = lower[0].select("n", "key", F.unhex("hash").alias("leaf"), "start", "path", "up_t", "up_g", "up_p", "up_copies")
-    return first, freeze(nodes.withColumn("copy", copies), "nodes"), root.first()["hash"]
+    first = lower[0].select("n", "key", F.col("hash").alias("leaf"), "start", "path", "up_t", "up_g", "up_p", "up_copies")
+    return first, freeze(nodes.withColumn("copy", copies), "nodes"), bytes(root.first()["hash"]).hex()
 
 
 def climb(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``key``, ``leaf``, ``subroot``, ``proof`` (siblings' digests up to the root) and ``folded`` of every leaf: one recursive query.
+    """``key``, ``leaf``, ``subroot``, ``proof`` (siblings' digests up to the root) and ``folded`` of every leaf, as bytes: one
+    recursive query.
 
     The session's limit on rows of recursive queries is lifted while it runs: the rows are a fixed number per leaf.
     """
@@ -151,12 +154,13 @@ def prove(docs: DataFrame, tampered: Mapping[str, Column], columns: Sequence[str
     own = {c: col(c) for c in columns}
     rows = docs.select(
         col(group).cast("string").alias("grp"), col(key).alias("key"),
-        row_hash(list(own.values())).alias("leaf"), row_hash(list((own | dict(tampered)).values())).alias("start"),
+        F.unhex(row_hash(list(own.values()))).alias("leaf"), F.unhex(row_hash(list((own | dict(tampered)).values()))).alias("start"),
     )
-    rows = freeze(rows, "leaves")
+    rows = freeze(rows.withColumn("start", F.nullif("start", "leaf")), "leaves")
     built = build(rows, stride)
     if built is None:
         empty = F.lit(None).cast("string")
-        return rows.select("key", "leaf", *[empty.alias(c) for c in ("subroot", "root", "proof", "folded")])
+        return rows.select("key", *[empty.alias(c) for c in ("leaf", "subroot", "root", "proof", "folded")])
     leaves, nodes, root = built
-    return climb(leaves, nodes).select("key", "leaf", "subroot", F.lit(root).alias("root"), "proof", "folded")
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return climb(leaves, nodes).select("key", text("leaf"), text("subroot"), F.lit(root).alias("root"), text("proof"), text("folded"))
