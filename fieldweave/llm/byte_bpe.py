@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from fieldweave.llm.common import scan_texts
 from fieldweave.llm.segments import cut, peel
 
-CACHE = 180_000
+CACHE = 360_000
 CHECKED_PAIRS = 600_000
 CACHED_CHARS = 48
 _NEVER = 1 << 62
@@ -57,6 +57,16 @@ class Vocabulary:
         # every start of a token: its rank, or -1 where it is none or no merge makes it
         self.starts = {b[:i]: -1 for b in ranks for i in range(1, len(b))}
         self.starts |= {b: r if self.made(b) else -1 for b, r in ranks.items()}
+        # the same as a tree: a node and a byte lead to the next node; the token that ends at each node, or -1
+        self.steps: dict[int, int] = {}
+        self.ends = [-1]
+        for b, r in self.starts.items():
+            node = 0
+            for byte in b:
+                node = self.steps.setdefault(node << 8 | byte, len(self.ends))
+                if node == len(self.ends):
+                    self.ends.append(-1)
+            self.ends[node] = r
 
     def merge(self, piece: bytes, below: int = _NEVER) -> list[bytes]:
         """Plain rank-ordered merging, for single tokens only: always the lowest rank under ``below``, leftmost first."""
@@ -192,28 +202,46 @@ class Encoder:
         return self._forward(piece)
 
     def _forward(self, piece: bytes) -> list[int]:
-        """The prefix table filled from the front: a reached prefix offers the tokens that start at its end."""
+        """The prefix table filled as far as needed: from a reached prefix the longest token that may follow its last token
+        goes first; a prefix from which none leads on is not reached again."""
         v = self.vocabulary
-        get, fits, checked, n = v.starts.get, v.fits, v.checked, len(piece)
-        last = [-1] * (n + 1)
-        for at in range(n):
-            before = last[at]
-            known = checked[before] if at else None
-            for end in range(at + 1, n + 1):
-                rank = get(piece[at:end])
-                if rank is None:
+        step, ends, fits, checked, n = v.steps.get, v.ends, v.fits, v.checked, len(piece)
+        out: list[int] = []
+        ways: list[tuple[int, list[tuple[int, int]]]] = []
+        closed: set[int] = set()
+        at = 0
+        while at < n:
+            node, end, way = 0, at, []
+            while end < n:
+                node = step(node << 8 | piece[end])
+                if node is None:
                     break
-                if rank >= 0 and last[end] < 0:
-                    if known is not None:
-                        good = known.get(rank)
-                        if not (fits(before, rank) if good is None else good):
-                            continue
-                    last[end] = rank
-        out, end = [], n
-        while end:
-            out.append(last[end])
-            end -= len(v.bytes[last[end]])
-        return out[::-1]
+                end += 1
+                if ends[node] >= 0:
+                    way.append((end, ends[node]))
+            while True:
+                known = checked[out[-1]] if out else None
+                while way:
+                    end, rank = way.pop()
+                    if end not in closed:
+                        good = known is None or known.get(rank)
+                        if good is None:
+                            good = fits(out[-1], rank)
+                        if good:
+                            break
+                else:
+                    # no token leads on from here
+                    closed.add(at)
+                    if not ways:
+                        raise ValueError(f"byte {piece[at]} has no token")
+                    at, way = ways.pop()
+                    out.pop()
+                    continue
+                break
+            ways.append((at, way))
+            out.append(rank)
+            at = end
+        return out
 
     def _encode(self, segment: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(self.encode_piece(p.encode()) for p in self.pieces.findall(segment)))
@@ -225,24 +253,22 @@ class Encoder:
             self.seen[segment] = ids
         return ids
 
+    def _look(self, segment: str) -> tuple[int, ...]:
+        """The ids of a segment that the newer table does not hold."""
+        ids = self.before.get(segment)
+        return self._keep(segment, self._encode(segment) if ids is None else ids)
+
     def encode(self, text: str) -> list[int]:
-        seen, out = self.seen, []
+        out: list[int] = []
+        peels = self.peels
         for segment in self.cut(text):
-            ids = seen.get(segment)
-            if ids is None:
-                ids = self.before.get(segment)
-                if ids is not None:
-                    self._keep(segment, ids)
-                    seen = self.seen
+            ids = self.seen.get(segment)
             if ids is None:
-                base, tail = peel(segment) if self.peels else (segment, "")
-                ids = seen.get(base) if tail else None
-                if ids is None:
-                    ids = self._keep(base, self._encode(base))
+                base, tail = peel(segment) if peels else (segment, "")
+                ids = (self.seen.get(base) or self._look(base)) if tail else self._look(base)
                 if tail:
-                    more = seen.get(tail)
-                    ids = self._keep(segment, ids + (self._keep(tail, self._encode(tail)) if more is None else more))
-                seen = self.seen
+                    # a word and the marks after it are kept apart, so that the table holds each word once
+                    ids += self.seen.get(tail) or self._look(tail)
             out += ids
         return out
 
