@@ -8,11 +8,13 @@ two linked rows can differ in (plus spare ones): so linked rows agree in all ent
 empty. Rows that agree in a group form a block. Spare groups make up for empty ones; a row with more empty groups
 than that is posted in those too. This loses no pair, whatever passages many documents share.
 
-Product. Overlaps are counted over stretches of columns. Pairs are dropped from the start if their sizes cannot reach
-the threshold, and after each stretch if the columns left cannot. First each row of a block is multiplied with the
-block's pivot (the row of smallest hash, mostly the same for all blocks of near copies). Where several parts are left
-in a block, the entries outside its largest part are multiplied with all others. Only products of different parts are
-taken, and only links that join two parts leave a task, so that a large group of near copies never yields its pairs.
+Product. Pairs are dropped from the start if their sizes cannot reach the threshold, or if fewer column groups agree than
+must at these sizes (a product of short outlines, which spares most whole rows the way). Overlaps of the rest are counted
+over stretches of columns; after each stretch those that the columns left cannot bring to the threshold are dropped. A block's pivot is its row of smallest hash, mostly
+the same for all blocks of near copies. Each row is first multiplied with its pivots. Where several parts are left in a
+block, pairs of different parts are multiplied (each pair once for all blocks of at most ``SMALL`` rows), in larger blocks
+the rows outside the largest part with all others. Only links that join two parts leave a task, so that a large group of
+near copies never yields its pairs.
 
 Posts travel in packed batches per hash range, each class once per chunk. Texts without words are linked with nothing;
 repeated and null ids pass through, the smallest id that is not null names a component. Extra columns are ignored.
@@ -21,17 +23,18 @@ repeated and null ids pass through, the smallest id that is not null names a com
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldweave.llm.common import col, scan_texts, slices
+from fieldweave.llm.common import col, scan_texts, slices, spaced_words
 from fieldweave.llm.components import components
-from fieldweave.llm.near_copies import shingle_set
 from fieldweave.llm.simhash import _iter_arrow
 from fieldweave.session import freeze
 
@@ -40,6 +43,8 @@ NUM, DEN = 85, 100
 GROWTH = 1.5
 POSTS_PER_RANGE = 1 << 20
 BLOCK_ROWS = 256
+SMALL = 32
+KEPT_WORDS = 1 << 19
 STRETCHES = 4
 _U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9], _U)
@@ -50,6 +55,46 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> _U(27)
 
 
+class _Words(dict):
+    """The hash of each word, kept for the words met last."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        out = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return out
+
+
+_words = _Words()
+
+
+def gram_set(text: bytes | None, n: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of the word n-grams, in order; of all words together where they are fewer."""
+    words = spaced_words(text)
+    if not words:
+        return np.zeros(0, _U)
+    hashed = np.fromiter(map(_words.__getitem__, words), _U, len(words))
+    n = min(n, len(words))
+    sums = np.full(len(words) - n + 1, n, _U)
+    for i in range(n):
+        sums = _mix(sums * _ODD[0] + hashed[i : len(words) - n + 1 + i])
+    return np.unique(sums)
+
+
+@contextmanager
+def runtime_filters(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark put Bloom filters (of bounded size) before the larger side of a join, however large its files are."""
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def differing(total: int, num: int = NUM, den: int = DEN) -> int:
     """How many entries two linked rows of ``total`` entries together can differ in."""
     return total * (den - num) // (den + num)
@@ -63,31 +108,59 @@ def slots(num: int, den: int) -> tuple[list[int], list[int], list[int]]:
         starts.append(size)
         size = max(size + 1, int(size * GROWTH))
     differ = [differing(2 * (b - 1), num, den) for b in starts[1:]]
-    spare = [0 if d == 0 else 2 + d // 32 for d in differ]
+    spare = [0 if d == 0 else 2 + d // 4 for d in differ]
     return starts, [d + 1 + s for d, s in zip(differ, spare)], spare
 
 
+def row_slots(size: int, num: int = NUM, den: int = DEN) -> list[int]:
+    """The slot of a size, and the next one where a larger row can be linked from there."""
+    starts = slots(num, den)[0]
+    slot = int(np.searchsorted(starts, size, "right")) - 1
+    return [slot, slot + 1] if size * den // num >= starts[slot + 1] else [slot]
+
+
+def group_sums(hashes: np.ndarray, groups: int) -> np.ndarray:
+    """One hash per column group of a row (its sorted hashes): 0 where it has no entry."""
+    out = np.zeros(groups, _U)
+    place = ((hashes >> _U(32)) * _U(groups) >> _U(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    out[place[first]] = _mix(np.add.reduceat(_mix(hashes * _ODD[0]), first)) | _U(1)
+    return out
+
+
 def group_keys(hashes: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """The keys of the blocks in which a row (its sorted hashes) stands; none where only copies can be linked."""
-    starts, groups, spare = slots(num, den)
-    n = len(hashes)
-    if not n:
+    """The keys of the blocks in which a row stands; none where only copies can be linked."""
+    if not len(hashes):
         return np.zeros(0, _U)
-    slot = int(np.searchsorted(starts, n, "right")) - 1
-    out = []
-    for at in (slot, slot + 1) if n * den // num >= starts[slot + 1] else (slot,):
-        m = groups[at]
-        if m <= 1:
-            continue
-        place = ((hashes >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
-        first = np.flatnonzero(np.diff(place, prepend=-1))
-        names = place[first]
-        sums = np.add.reduceat(_mix(hashes * _ODD[0]), first)
-        if m - len(first) > spare[at]:
-            empty = np.setdiff1d(np.arange(m), names)
-            names, sums = np.concatenate([names, empty]), np.concatenate([sums, np.zeros(len(empty), _U)])
-        out.append(_mix(_mix(sums + names.astype(_U) * _ODD[1]) + _ODD[:1] * _U(at + 1)))
-    return np.concatenate(out) if out else np.zeros(0, _U)
+    _, groups, spare = slots(num, den)
+    out = [np.zeros(0, _U)]
+    for at in row_slots(len(hashes), num, den):
+        if groups[at] > 1:
+            sums = group_sums(hashes, groups[at])
+            names = np.flatnonzero(sums)
+            if groups[at] - len(names) > spare[at]:
+                names = np.arange(groups[at])
+            out.append(_mix(_mix(sums[names] + names.astype(_U) * _ODD[1]) + _ODD[:1] * _U(at + 1)))
+    return np.concatenate(out)
+
+
+def outline(hashes: np.ndarray, num: int = NUM, den: int = DEN) -> bytes:
+    """32 bits of every group of a row's slots, one slot after the other."""
+    groups = slots(num, den)[1]
+    return b"".join(group_sums(hashes, groups[at]).astype(np.uint32).tobytes() for at in row_slots(len(hashes), num, den)) if len(hashes) else b""
+
+
+def may_be_linked(size: int, mine: bytes, other: int, theirs: bytes, num: int = NUM, den: int = DEN) -> bool:
+    """Whether as many groups agree as must in linked rows of these sizes."""
+    if den * min(size, other) < num * max(size, other):
+        return False
+    slot = row_slots(max(size, other), num, den)[0]
+    m = slots(num, den)[1][slot]
+    both = []
+    for n, bits in ((size, mine), (other, theirs)):
+        skip = 0 if row_slots(n, num, den)[0] == slot else slots(num, den)[1][slot - 1]
+        both.append(np.frombuffer(bits, np.uint32, m, 4 * skip))
+    return int((both[0] == both[1]).sum()) >= m - differing(size + other, num, den)
 
 
 def _class(hashes: np.ndarray) -> int:
@@ -172,7 +245,7 @@ def _posts(docs: DataFrame, text: str, shingle: int, ranges: int, num: int, den:
         met, keys, classes, held = set(), [], [], 0
         for _, texts in slices(batches):
             for t in texts:
-                hashes = shingle_set(t, shingle)
+                hashes = gram_set(t, shingle)
                 cls = _class(hashes)
                 if cls in met:
                     continue
@@ -226,74 +299,117 @@ def _lists(posts: DataFrame) -> DataFrame:
     return posts.groupBy("range").applyInArrow(_iter_arrow(run), schema)
 
 
-def _multiply(units: DataFrame, sets: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
-    """Links within units: ``units`` has the columns ``by``, ``cls``, ``part`` and ``is_left``."""
+def _grouped(units: DataFrame, rows: DataFrame, fields: list[str], link) -> DataFrame:
+    """Pairs that ``link(parts, left, *fields)`` finds in each unit: ``units`` has ``uid``, ``cls``, ``part`` and ``is_left``."""
+    wanted = ["cls", "part", "is_left", *fields]
 
     def run(key, batches):
-        ids, parts, left, every = [], [], [], []
+        every = [[] for _ in wanted]
         for batch in batches:
-            ids.append(batch.column("cls").to_numpy(zero_copy_only=False))
-            parts.append(batch.column("part").to_numpy(zero_copy_only=False))
-            left.append(batch.column("is_left").to_numpy(zero_copy_only=False))
-            every += [np.frombuffer(s, _U) for s in batch.column("hashes").to_pylist()]
-        if len(every) > 1:
-            ids = np.concatenate(ids)
-            got = np.array(product(every, np.concatenate(parts), np.concatenate(left).astype(bool), num, den), np.int64).reshape(-1, 2)
+            for values, name in zip(every, wanted):
+                values += batch.column(name).to_pylist()
+        if len(every[0]) > 1:
+            ids = np.array(every[0], np.int64)
+            got = np.array(link(np.array(every[1], np.int64), np.array(every[2], bool), *every[3:]), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ids[got[:, 0]]), pa.array(ids[got[:, 1]])], names=["a", "b"])
 
-    spread = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    whole = units.join(sets, "cls").select("cls", "part", "is_left", "hashes", *by)
-    return whole.repartition(spread, *by).groupBy(*by).applyInArrow(_iter_arrow(run), _PAIR)
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the filter on the units always holds; Spark builds runtime filters from filtered tables only
+    whole = units.where(F.length("uid") > 0).join(rows.select("cls", *fields), "cls").select(*wanted, "uid")
+    return whole.repartition(spread, "uid").groupBy("uid").applyInArrow(_iter_arrow(run), _PAIR)
 
 
-def _crossing(lists: DataFrame, roots: DataFrame, rows: int) -> DataFrame:
-    """Units for blocks that still hold several parts: entries outside the largest part against all entries."""
-    entries = lists.join(roots, "cls", "left").select("list", "cls", F.coalesce("root", "cls").alias("part"))
-    parts = entries.groupBy("list", "part").agg(F.count(F.lit(1)).alias("n"))
-    best = F.max(F.struct("n", "part"))
-    tops = parts.groupBy("list").agg(best["part"].alias("top"), best["n"].alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+def _multiply(units: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links within units, by the product of their rows."""
+    units = freeze(units, "units")
+
+    def link(parts, left, hashes):
+        return product([np.frombuffer(h, _U) for h in hashes], parts, left, num, den)
+
+    return freeze(_grouped(units, rows, ["hashes"], link), "links")
+
+
+def _star_units(pairs: DataFrame, rows: int) -> DataFrame:
+    """Units of ``pairs`` (``a``, ``b``): row ``a`` with its rows ``b`` in chunks."""
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / rows).cast("bigint").alias("chunks"))
+    right = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), F.col("b").alias("cls"), F.lit(False).alias("is_left"))
+    left = counts.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("cls"), F.lit(True).alias("is_left"))
+    return left.unionByName(right).select(F.concat_ws(":", "a", "chunk").alias("uid"), "cls", F.col("cls").alias("part"), "is_left")
+
+
+def _outlined(pairs: DataFrame, sets: DataFrame, rows: int, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` whose groups agree as often as those of linked rows do."""
+
+    def link(parts, left, size, bits):
+        x = int(np.flatnonzero(left)[0])
+        return [(x, y) for y in range(len(size)) if y != x and may_be_linked(size[x], bits[x], size[y], bits[y], num, den)]
+
+    return freeze(_grouped(freeze(_star_units(pairs, rows), "units"), sets, ["size", "outline"], link), "pairs")
+
+
+def _of_size(a: str, b: str, num: int, den: int):
+    return F.least(a, b) * den >= F.greatest(a, b) * num
+
+
+def _parts(found: DataFrame, live: DataFrame) -> DataFrame:
+    """``cls``, ``size`` and ``part`` of the rows in question."""
+    roots = components(found).select(F.col("node").alias("cls"), "root")
+    return freeze(live.join(roots, "cls", "left").select("cls", "size", F.coalesce("root", "cls").alias("part")), "parts")
+
+
+def _small_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of different parts in blocks of at most ``SMALL`` entries (``list``, ``pivot``, ``cls``, ``size``, ``part``), the pivot's aside."""
+    entries = F.array_sort(F.collect_list(F.struct("cls", "size", "part")))
+    rows = lists.groupBy("list").agg(entries.alias("x")).select(F.posexplode("x").alias("i", "u"), "x")
+    rows = rows.select("u", F.explode(F.expr("slice(x, i + 2, size(x))")).alias("v")).where("u.part <> v.part").where(_of_size("u.size", "v.size", num, den))
+    return rows.select(F.col("u.cls").alias("a"), F.col("v.cls").alias("b")).distinct()
+
+
+def _crossing(lists: DataFrame, tops: DataFrame, rows: int) -> DataFrame:
+    """Units for larger blocks: entries outside a block's largest part against all its entries."""
     few, many = [F.ceil(c / rows).cast("int") for c in (F.col("all") - F.col("most"), F.col("most"))]
-    placed = entries.join(tops.select("list", "top", few.alias("few"), many.alias("many")), "list").withColumn("minor", F.col("part") != F.col("top"))
+    placed = lists.join(tops.select("list", "top", few.alias("few"), many.alias("many")), "list").withColumn("minor", F.col("part") != F.col("top"))
     here = F.pmod(F.xxhash64("cls", "list"), F.when(F.col("minor"), F.col("few")).otherwise(F.col("many")).cast("bigint")).cast("int")
-    # blocks 0 .. few - 1 hold the minor entries, those after them the rest
+    # units 0 .. few - 1 hold the minor entries, those after them the rest
     placed = placed.withColumn("block", here + F.when(F.col("minor"), 0).otherwise(F.col("few")))
     partner = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("few") + F.col("many") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") - 1))
     units = placed.withColumn("other", F.explode(partner))
-    i, j = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    return units.select("list", i, j, "cls", "part", (F.col("block") == F.least("block", "other")).alias("is_left"))
+    first, second = F.least("block", "other"), F.greatest("block", "other")
+    return units.select(F.concat_ws(":", "list", first, second).alias("uid"), "cls", "part", (F.col("block") == first).alias("is_left"))
 
 
 def links(docs: DataFrame, classes: DataFrame, text: str, shingle: int, num: int = NUM, den: int = DEN, rows: int = BLOCK_ROWS) -> DataFrame:
     """Pairs ``a``, ``b`` of linked classes: enough to connect what all linked pairs connect. ``classes``: ``cls``, ``size``, ``body``."""
     total = classes.agg(F.sum("size")).first()[0] or 0
-    share = 2 * (den - num) / (den + num) * 2
+    share = 5 * (den - num) / (den + num)
     ranges = max(8, int(total * share / POSTS_PER_RANGE) + 1)
     lists = freeze(_lists(_posts(docs, text, shingle, ranges, num, den)), "lists")
-    pairs = freeze(lists.select("pivot", "cls").distinct(), "pairs")
-    live = pairs.select("cls").unionByName(pairs.select(F.col("pivot").alias("cls"))).distinct()
-    # one text of each class in question
-    asked = classes.join(live, "cls", "left_semi").select("body")
-    texts = docs.select(col(text).cast("string").alias("text")).withColumn("body", F.xxhash64("text")).join(asked, "body", "left_semi")
+    stars = freeze(lists.select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
+    named = stars.select(F.col("b").alias("cls")).unionByName(stars.select(F.col("a").alias("cls"))).distinct()
+    live = freeze(classes.join(named, "cls", "left_semi").select("cls", "size", "body"), "live")
+    texts = docs.select(col(text).cast("string").alias("text")).withColumn("body", F.xxhash64("text")).join(live.where("size > 0").select("body"), "body", "left_semi")
 
     def whole():
         def run(texts, _):
-            every = [shingle_set(t, shingle) for t in texts]
-            return {"cls": [_class(s) for s in every], "hashes": [s.tobytes() for s in every]}
+            every = [gram_set(t, shingle) for t in texts]
+            return {"cls": [_class(s) for s in every], "size": [len(s) for s in every], "hashes": [s.tobytes() for s in every], "outline": [outline(s, num, den) for s in every]}
 
         return run
 
-    sets = scan_texts(texts.dropDuplicates(["body"]), "text", [], whole, [("cls", T.LongType()), ("hashes", T.BinaryType())])
-    sets = freeze(sets, "sets")
-    # each row with its pivots, a pivot's rows in chunks
-    counts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / rows).cast("bigint").alias("chunks"))
-    right = pairs.join(counts, "pivot").select("pivot", F.pmod(F.xxhash64("cls"), "chunks").alias("chunk"), "cls", F.lit(False).alias("is_left"))
-    left = counts.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.col("pivot").alias("cls"), F.lit(True).alias("is_left"))
-    stars = left.unionByName(right).withColumn("part", F.col("cls"))
-    found = freeze(_multiply(stars, sets, ["pivot", "chunk"], num, den), "links")
-    roots = components(found).select(F.col("node").alias("cls"), "root")
-    entries = lists.where("list IS NOT NULL").select("list", "cls").distinct()
-    more = _multiply(freeze(_crossing(entries, roots, rows), "units"), sets, ["list", "i", "j"], num, den)
-    return found.unionByName(freeze(more, "links"))
+    fields = [("cls", T.LongType()), ("size", T.LongType()), ("hashes", T.BinaryType()), ("outline", T.BinaryType())]
+    sets = freeze(scan_texts(texts.dropDuplicates(["body"]), "text", [], whole, fields), "sets")
+    # each row with its pivots
+    found = _multiply(_star_units(_outlined(stars, sets, rows, num, den), rows), sets, num, den)
+    # what is left in blocks of several parts; pivots have met all others
+    entries = freeze(lists.where("list IS NOT NULL").select("list", "cls").distinct().join(_parts(found, live), "cls"), "entries")
+    best = F.max(F.struct("n", "part"))
+    counted = entries.groupBy("list", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("list")
+    tops = counted.agg(best["part"].alias("top"), best["n"].alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    tops = freeze(tops, "tops")
+    small = _small_pairs(entries.join(tops.where(F.col("all") <= SMALL), "list", "left_semi"), num, den)
+    small = _outlined(freeze(small.join(stars, ["a", "b"], "left_anti"), "pairs"), sets, rows, num, den)
+    units = _star_units(small, rows).unionByName(_crossing(entries, tops.where(F.col("all") > SMALL), rows))
+    return found.unionByName(_multiply(units, sets, num, den))
 
 
 def linked_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -302,7 +418,7 @@ def linked_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def sketch():
         def run(texts, _):
-            every = [shingle_set(t, shingle) for t in texts]
+            every = [gram_set(t, shingle) for t in texts]
             return {"cls": [_class(s) for s in every], "size": [len(s) for s in every]}
 
         return run
@@ -311,7 +427,9 @@ def linked_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     marked = source.withColumn("body", F.xxhash64("text"))
     sketches = freeze(scan_texts(marked, "text", ["doc_id", "body"], sketch, [("cls", T.LongType()), ("size", T.LongType())]), "sketches")
     classes = freeze(sketches.where("size > 0").groupBy("cls").agg(F.min("size").alias("size"), F.min("body").alias("body"), F.min("doc_id").alias("first")), "classes")
-    roots = components(links(source, classes, "text", shingle, num, den, rows)).withColumnRenamed("node", "cls")
+    with runtime_filters(docs.sparkSession):
+        found = links(source, classes, "text", shingle, num, den, rows)
+    roots = components(found).withColumnRenamed("node", "cls")
     named = freeze(classes.join(roots, "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(least, "root").select("cls", "component_id")
