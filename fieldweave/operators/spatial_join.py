@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.functions import shapes as S
 from fieldweave.operators.skew import ROWS_PER_SPLIT, salted_join
+from fieldweave.session import freeze
 
 
 def _bucket(value: Column, size: float) -> Column:
@@ -32,6 +34,81 @@ def _in_box(x: Column, y: Column, box: Column, grow: float) -> Column:
     return (x >= box["xmin"] - g) & (x <= box["xmax"] + g) & (y >= box["ymin"] - g) & (y <= box["ymax"] + g)
 
 
+# The adaptive grid: cells of BASE_DEG / 2 ** level degrees, and how many of them a shape may measure in width or height.
+BASE_DEG = 64.0
+MAX_LEVEL = 24
+SPAN = 8
+_MARGIN = 1e-9
+
+
+def _level_of(extent: Column) -> Column:
+    """The finest level at which a shape of this extent measures no more than ``SPAN`` cells."""
+    fits = F.floor(F.log2(F.lit(BASE_DEG * SPAN) / extent))
+    return F.when(extent > 0, F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), fits))).otherwise(F.lit(MAX_LEVEL)).cast("int")
+
+
+def _cell(value: Column, level: Column) -> Column:
+    # a power of two: the product is exact
+    return F.floor(value * F.pow(F.lit(2.0), level) / F.lit(BASE_DEG)).cast("bigint")
+
+
+def shape_cells(df: DataFrame, shape: str, distance: float = 0.0) -> DataFrame:
+    """``df`` with one row per grid cell that holds points of the shape or nearer to it than ``distance``.
+
+    A shape is posted at the level of its own size (``_lv``, ``_bx``, ``_by``), so a small one among large ones has small
+    cells. ``_full`` marks cells that lie wholly inside: their points need no further test. Cells that lie wholly
+    outside are left out.
+    """
+    b = F.col("_box")
+    grown = df.where(F.col(shape).isNotNull()).withColumn("_box", S.bounds(F.col(shape)))
+    grown = grown.withColumn("_lv", _level_of(F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]) + 2 * distance))
+    spread = lambda low, high: F.explode(F.sequence(_cell(low - distance, F.col("_lv")), _cell(high + distance, F.col("_lv"))))
+    cells = grown.withColumn("_bx", spread(b["xmin"], b["xmax"])).withColumn("_by", spread(b["ymin"], b["ymax"]))
+    size = F.lit(BASE_DEG) / F.pow(F.lit(2.0), F.col("_lv"))
+    x, y = (F.col("_bx") + 0.5) * size, (F.col("_by") + 0.5) * size
+    cells = cells.withColumn("_far", S.edge_distance(x, y, F.col(shape)) - size * math.sqrt(0.5) - _MARGIN).withColumn("_in", S.point_in_shape(x, y, F.col(shape)))
+    # no edge passes a cell whose middle is farther from all edges than its corners are: all of it is in, or out
+    cells = cells.where(F.col("_in") | F.coalesce(F.col("_far") < distance, F.lit(True)))
+    return cells.withColumn("_full", F.col("_in") & F.coalesce(F.col("_far") > 0, F.lit(False))).drop("_far", "_in")
+
+
+def point_shape_pairs(
+    points: DataFrame,
+    fields: DataFrame,
+    point_id: str | Sequence[str],
+    x: str = "lon",
+    y: str = "lat",
+    shape: str = "shape",
+    distance: float = 0.0,
+    rows_per_split: int = ROWS_PER_SPLIT,
+    point_bound: int | None = None,
+) -> DataFrame:
+    """Points with the shapes that strictly contain them or are nearer than ``distance``, and whether they contain them
+    (``interior``).
+
+    A point looks up one cell per level in use, at most ``MAX_LEVEL + 1``; a pair is met once. Crowded cells are split on
+    both sides. The cells are stored once; their levels and number are known before the join.
+    """
+    ids = [point_id] if isinstance(point_id, str) else list(point_id)
+    cells = freeze(shape_cells(fields, shape, distance), "cells")
+    levels = {r["_lv"]: r["n"] for r in cells.groupBy("_lv").agg(F.count(F.lit(1)).alias("n")).collect()}
+    px, py, s = F.col(x), F.col(y), F.col(shape)
+    probes = F.array(*[F.lit(v) for v in sorted(levels)]).cast("array<int>")
+    left = points.withColumn("_lv", F.explode(probes)).withColumn("_bx", _cell(px, F.col("_lv"))).withColumn("_by", _cell(py, F.col("_lv")))
+    hashable = [c for c, t in fields.dtypes if not t.startswith("map")]
+    boxed = F.col("_full") | _in_box(px, py, F.col("_box"), distance)
+    met = salted_join(
+        left, cells, ["_lv", "_bx", "_by"], ids, hashable, "inner", boxed, rows_per_split, heavy=True,
+        left_bound=None if point_bound is None else point_bound, right_bound=sum(levels.values()),
+    )
+    met = met.withColumn("interior", F.col("_full") | S.point_in_shape(px, py, s))
+    if distance:
+        met = met.where(F.col("interior") | F.coalesce(F.when(~F.col("interior"), S.edge_distance(px, py, s) < F.lit(distance)), F.lit(False)))
+    else:
+        met = met.where("interior")
+    return met.drop("_lv", "_bx", "_by", "_box", "_full")
+
+
 def point_shape_join(
     points: DataFrame,
     fields: DataFrame,
@@ -41,25 +118,26 @@ def point_shape_join(
     y: str = "lat",
     shape: str = "shape",
     distance: float = 0.0,
-    bucket_deg: float = 1.0,
     rows_per_split: int = ROWS_PER_SPLIT,
     point_bound: int | None = None,
 ) -> DataFrame:
-    """Points with the shapes strictly containing them (``distance`` > 0: containing, or nearer than that).
+    """Points with the shapes strictly containing them (``distance`` > 0: containing, or nearer than that), over the
+    adaptive grid of :func:`point_shape_pairs`.
 
-    A point lies in exactly one bucket, a shape in every bucket its box touches, so each containing pair is
-    met once and a left join needs no second pass. Crowded buckets are split by point; ``point_bound``, the
-    number of points where it is known, saves looking for them. Columns of ``fields`` must not repeat names
+    A left join brings the pairs back to the points by ``point_id``, which must be unique then; ``point_bound``, the
+    number of points where it is known, saves looking for crowded cells. Columns of ``fields`` must not repeat names
     of ``points``.
     """
     ids = [point_id] if isinstance(point_id, str) else list(point_id)
-    left = points.withColumn("_bx", _bucket(F.col(x), bucket_deg)).withColumn("_by", _bucket(F.col(y), bucket_deg))
-    right = _shape_buckets(fields, shape, bucket_deg, distance)
-    px, py, s = F.col(x), F.col(y), F.col(shape)
-    exact = S.point_in_shape(px, py, s) if distance == 0 else S.point_in_buffered_shape(px, py, s, distance)
-    hit = _in_box(px, py, F.col("_box"), distance) & exact
-    joined = salted_join(left, right, ["_bx", "_by"], ids, None, how, hit, rows_per_split, left_bound=point_bound, heavy=True)
-    return joined.drop("_bx", "_by", "_box")
+    if how == "inner":
+        return point_shape_pairs(points, fields, ids, x, y, shape, distance, rows_per_split, point_bound).drop("interior")
+    if how != "left":
+        raise ValueError(f"how must be 'inner' or 'left', not {how!r}")
+    narrow = points.select(*dict.fromkeys([*ids, x, y]))
+    pairs = point_shape_pairs(narrow, fields, ids, x, y, shape, distance, rows_per_split, point_bound)
+    pairs = pairs.select(*[F.col(c).alias(f"_p_{c}") for c in ids], *fields.columns)
+    on = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in ids]
+    return points.join(pairs, on, "left").drop(*[f"_p_{c}" for c in ids])
 
 
 def shape_shape_join(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldweave.functions.quantities import SCF_PER_BCM
 from fieldweave.functions.text import month_number
 from fieldweave.operators.skew import salted_join, with_group_totals
-from fieldweave.operators.spatial_join import point_shape_join
+from fieldweave.operators.spatial_join import point_shape_pairs
 from fieldweave.session import freeze
 
 DAYS = 365
@@ -46,24 +46,20 @@ def renormalize(rows: DataFrame, keys: list[str], row_ids: list[str], weight: st
     return rows.withColumn(weight, F.try_divide(F.col(weight), F.col("_total"))).drop("_total")
 
 
-def located(flares: DataFrame, fields: DataFrame, buffer_deg: float, bucket_deg: float) -> DataFrame:
+def located(flares: DataFrame, fields: DataFrame, buffer_deg: float) -> DataFrame:
     """``id, field_id, oil_prod, interior``: fields around each flare, the buffer only for flares inside none.
 
-    Shapes are tested once per distinct position, however many flares share it, and the two spatial joins
-    leave a narrow table in the shared folder; everything after reads that. ``flares`` should be stored, it is
-    read more than once.
+    Shapes are tested once per distinct position, however many flares share it; one join finds the fields that hold a
+    position and those near it. ``flares`` should be stored, it is read more than once.
     """
     places = freeze(flares.select("lon", "lat").where("lon is not null and lat is not null").distinct(), "places")
-    n_places = places.count()
-    targets = freeze(fields.select("field_id", "oil_prod", "shape").where("shape is not null"), "targets")
-    keep = ["lon", "lat", "field_id", "oil_prod"]
-    inside = point_shape_join(places, targets, ["lon", "lat"], bucket_deg=bucket_deg, point_bound=n_places)
-    inside = freeze(inside.select(*keep, F.lit(True).alias("interior")), "inside")
-    rest = places.join(inside.select("lon", "lat"), ["lon", "lat"], "left_anti")
-    near = point_shape_join(rest, targets, ["lon", "lat"], distance=buffer_deg, bucket_deg=bucket_deg, point_bound=n_places)
-    near = near.select(*keep, F.lit(False).alias("interior"))
-    around = freeze(inside.unionByName(near), "around")
-    pairs = salted_join(flares.select("id", "lon", "lat"), around, ["lon", "lat"], ["id"], None, "inner", left_bound=flares.count())
+    targets = fields.select("field_id", "oil_prod", "shape").where("shape is not null")
+    keep = ["lon", "lat", "field_id", "oil_prod", "interior"]
+    around = point_shape_pairs(places, targets, ["lon", "lat"], distance=buffer_deg, point_bound=places.count()).select(*keep)
+    around = freeze(around, "around")
+    inside = around.where("interior")
+    near = around.where("NOT interior").join(inside.select("lon", "lat").distinct(), ["lon", "lat"], "left_anti")
+    pairs = salted_join(flares.select("id", "lon", "lat"), inside.unionByName(near), ["lon", "lat"], ["id"], None, "inner", left_bound=flares.count())
     return freeze(pairs.select("id", "field_id", "oil_prod", "interior"), "located")
 
 
@@ -72,7 +68,7 @@ def production_or_one(oil: Column) -> Column:
 
 
 def attribute_flares(
-    flares: DataFrame, fields: DataFrame, buffer_deg: float = 0.05, bucket_deg: float = 1.0
+    flares: DataFrame, fields: DataFrame, buffer_deg: float = 0.05
 ) -> tuple[DataFrame, DataFrame]:
     """Flaring-to-oil ratio per field, and the match rates.
 
@@ -80,7 +76,7 @@ def attribute_flares(
     optionally ``for_value``, which fields without flares keep. Overlaps are shared by production.
     """
     flares = freeze(flares.select("id", "lon", "lat", "bcm"), "flares")
-    pairs = located(flares, fields, buffer_deg, bucket_deg)
+    pairs = located(flares, fields, buffer_deg)
     weighted = share_of_group(pairs, ["id"], "oil_prod", ["field_id"]).join(flares.select("id", "bcm"), "id")
     volumes = weighted.groupBy("field_id").agg(F.coalesce(F.sum(F.col("bcm") * F.col("weight")), F.lit(0.0)).alias("flare_bcm"))
     old = F.col("for_value") if "for_value" in fields.columns else F.lit(None).cast("double")
@@ -104,7 +100,7 @@ def months_of(fields: DataFrame) -> DataFrame:
     return fields.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
 
 
-def monthly_weights(flares: DataFrame, fields: DataFrame, buffer_deg: float = 0.05, bucket_deg: float = 1.0) -> DataFrame:
+def monthly_weights(flares: DataFrame, fields: DataFrame, buffer_deg: float = 0.05) -> DataFrame:
     """``id, month, field_id, bcm, weight`` with weights adding up to one per flare and month.
 
     A flare counts where it was in the month; each distinct position is joined to shapes once. A flare that was inside
@@ -113,7 +109,7 @@ def monthly_weights(flares: DataFrame, fields: DataFrame, buffer_deg: float = 0.
     at = ["id", "month", "lon", "lat"]
     monthly = flares.groupBy("id", month_number(F.col("month")).alias("month"), "lon", "lat").agg(F.sum("bcm").alias("bcm"))
     monthly = freeze(monthly, "flares")
-    pairs = located(monthly.select(F.struct(*at).alias("id"), "lon", "lat"), fields, buffer_deg, bucket_deg)
+    pairs = located(monthly.select(F.struct(*at).alias("id"), "lon", "lat"), fields, buffer_deg)
     pairs = pairs.select("id.*", "field_id", "oil_prod", "interior")
     inside = pairs.where("interior")
     pairs = inside.unionByName(pairs.where("not interior").join(inside.select("id").distinct(), "id", "left_anti"))
@@ -121,9 +117,9 @@ def monthly_weights(flares: DataFrame, fields: DataFrame, buffer_deg: float = 0.
     return renormalize(rows, at, ["field_id"])
 
 
-def attribute_flares_monthly(flares: DataFrame, fields: DataFrame, buffer_deg: float = 0.05, bucket_deg: float = 1.0) -> DataFrame:
+def attribute_flares_monthly(flares: DataFrame, fields: DataFrame, buffer_deg: float = 0.05) -> DataFrame:
     """Flare volume per field and month, zero where there is none."""
-    rows = monthly_weights(flares, fields, buffer_deg, bucket_deg)
+    rows = monthly_weights(flares, fields, buffer_deg)
     volumes = rows.groupBy("field_id", "month").agg(F.sum(F.col("bcm") * F.col("weight")).alias("_volume"))
     grid = months_of(fields.select("field_id", "name"))
     return grid.join(volumes, ["field_id", "month"], "left").select(

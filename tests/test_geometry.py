@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldweave.functions import cells as C
 from fieldweave.functions import shapes as S
 from fieldweave.operators import cover as V
-from fieldweave.operators.spatial_join import point_shape_join, shape_shape_join, shape_union_join
+from fieldweave.operators.spatial_join import point_shape_join, point_shape_pairs, shape_cells, shape_shape_join, shape_union_join
 from fieldweave.sources.files import scan_geojson
 
 SHAPE = f"id bigint, shape {S.SHAPE_TYPE}"
@@ -78,6 +78,52 @@ def test_point_join_equals_brute_force(spark, split, distance):
     assert {tuple(r) for r in rows} == want and len(rows) == len(want)
 
 
+def sized_shapes(n, seed):
+    """Shapes from a hundredth of a degree to twenty degrees, some of them with holes."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        size, x, y = 10 ** rng.uniform(-2, 1.3), rng.uniform(-30, 30), rng.uniform(-30, 30)
+        shell = box(x, y, x + size, y + size * rng.uniform(0.2, 1))
+        out.append((i, [[shell] if i % 3 else [shell, box(x + size * 0.1, y + size * 0.05, x + size * 0.3, y + size * 0.1)]]))
+    return out
+
+
+@pytest.mark.parametrize("distance,split", [(0.0, 200000), (0.05, 200000), (0.05, 40)])
+def test_adaptive_grid_equals_brute_force(spark, distance, split):
+    rng = random.Random(3)
+    shapes = sized_shapes(150, 4)
+    corners = [(v["x"] + rng.uniform(-0.06, 0.06), v["y"] + rng.uniform(-0.06, 0.06)) for _, s in shapes for v in s[0][0][:2]]
+    points = list(enumerate([(rng.uniform(-35, 45), rng.uniform(-35, 45)) for _ in range(500)] + corners))
+    p = spark.createDataFrame([(i, *at) for i, at in points], "pid bigint, lon double, lat double")
+    f = spark.createDataFrame(shapes, SHAPE)
+    got = {tuple(r) for r in point_shape_pairs(p, f, "pid", distance=distance, rows_per_split=split).select("pid", "id", "interior").collect()}
+    want = set()
+    for i, (x, y) in points:
+        for k, s in shapes:
+            if inside(x, y, s):
+                want.add((i, k, True))
+            elif distance and edge_distance(x, y, s) < distance:
+                want.add((i, k, False))
+    assert got == want
+
+
+def test_adaptive_grid_tests_few_pairs(spark):
+    """Points share a cell with little more than the shapes that hold them, and mostly need no walk along the edges."""
+    rng = random.Random(6)
+    shapes = [s for s in sized_shapes(400, 7) if len(s[1][0]) == 1]
+    points = [(i, rng.uniform(-30, 40), rng.uniform(-30, 40)) for i in range(3000)]
+    hits = sum(inside(x, y, s) for _, x, y in points for _, s in shapes)
+    cells = shape_cells(spark.createDataFrame(shapes, SHAPE), "shape").drop("shape")
+    p = spark.createDataFrame(points, "pid bigint, lon double, lat double")
+    size = F.lit(64.0) / F.pow(F.lit(2.0), "_lv")
+    met = p.join(F.broadcast(cells), (F.floor(F.col("lon") / size) == F.col("_bx")) & (F.floor(F.col("lat") / size) == F.col("_by")))
+    b = F.col("_box")
+    boxed = F.col("lon").between(b["xmin"], b["xmax"]) & F.col("lat").between(b["ymin"], b["ymax"])
+    row = met.agg(F.count(F.lit(1)).alias("met"), F.count(F.when(F.col("_full") | boxed, 1)).alias("kept"), F.count(F.when(~F.col("_full") & boxed, 1)).alias("walked")).first()
+    assert row["kept"] <= 1.5 * hits and row["met"] <= 2 * hits and row["walked"] < 0.6 * hits
+
+
 def test_boundary_points_are_outside(spark):
     f = spark.createDataFrame([(0, [[box(0, 0, 2, 2)]])], SHAPE)
     p = spark.createDataFrame([(0, 0.0, 1.0), (1, 1.0, 2.0), (2, 2.0, 2.0), (3, 1.0, 1.0)], "pid bigint, lon double, lat double")
