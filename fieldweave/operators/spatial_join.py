@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.functions import shapes as S
-from fieldweave.operators.skew import ROWS_PER_SPLIT, salted_join
+from fieldweave.operators.skew import ROWS_PER_SPLIT, salted_join, shuffle_partitions
 from fieldweave.session import freeze
 
 
@@ -56,11 +56,13 @@ def shape_cells(df: DataFrame, shape: str, distance: float = 0.0) -> DataFrame:
     """``df`` with one row per grid cell that holds points of the shape or nearer to it than ``distance``.
 
     A shape is posted at the level of its own size (``_lv``, ``_bx``, ``_by``), so a small one among large ones has small
-    cells. ``_full`` marks cells that lie wholly inside: their points need no further test. Cells that lie wholly
-    outside are left out.
+    cells. ``_full`` marks cells that lie wholly inside: their points need no further test, so only the other cells
+    carry the shape to be walked (``_walk``). Cells that lie wholly outside are left out.
     """
     b = F.col("_box")
-    grown = df.where(F.col(shape).isNotNull()).withColumn("_box", S.bounds(F.col(shape)))
+    # few shapes make many cells: they are spread before their cells are made
+    spread_out = df.where(F.col(shape).isNotNull()).repartition(shuffle_partitions(df))
+    grown = spread_out.withColumn("_box", S.bounds(F.col(shape)))
     grown = grown.withColumn("_lv", _level_of(F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]) + 2 * distance))
     spread = lambda low, high: F.explode(F.sequence(_cell(low - distance, F.col("_lv")), _cell(high + distance, F.col("_lv"))))
     cells = grown.withColumn("_bx", spread(b["xmin"], b["xmax"])).withColumn("_by", spread(b["ymin"], b["ymax"]))
@@ -69,7 +71,8 @@ def shape_cells(df: DataFrame, shape: str, distance: float = 0.0) -> DataFrame:
     cells = cells.withColumn("_far", S.edge_distance(x, y, F.col(shape)) - size * math.sqrt(0.5) - _MARGIN).withColumn("_in", S.point_in_shape(x, y, F.col(shape)))
     # no edge passes a cell whose middle is farther from all edges than its corners are: all of it is in, or out
     cells = cells.where(F.col("_in") | F.coalesce(F.col("_far") < distance, F.lit(True)))
-    return cells.withColumn("_full", F.col("_in") & F.coalesce(F.col("_far") > 0, F.lit(False))).drop("_far", "_in")
+    cells = cells.withColumn("_full", F.col("_in") & F.coalesce(F.col("_far") > 0, F.lit(False)))
+    return cells.withColumn("_walk", F.when(~F.col("_full"), F.col(shape))).drop("_far", "_in")
 
 
 def point_shape_pairs(
@@ -92,21 +95,21 @@ def point_shape_pairs(
     ids = [point_id] if isinstance(point_id, str) else list(point_id)
     cells = freeze(shape_cells(fields, shape, distance), "cells")
     levels = {r["_lv"]: r["n"] for r in cells.groupBy("_lv").agg(F.count(F.lit(1)).alias("n")).collect()}
-    px, py, s = F.col(x), F.col(y), F.col(shape)
+    px, py, s = F.col(x), F.col(y), F.col("_walk")
     probes = F.array(*[F.lit(v) for v in sorted(levels)]).cast("array<int>")
     left = points.withColumn("_lv", F.explode(probes)).withColumn("_bx", _cell(px, F.col("_lv"))).withColumn("_by", _cell(py, F.col("_lv")))
     hashable = [c for c, t in fields.dtypes if not t.startswith("map")]
     boxed = F.col("_full") | _in_box(px, py, F.col("_box"), distance)
     met = salted_join(
         left, cells, ["_lv", "_bx", "_by"], ids, hashable, "inner", boxed, rows_per_split, heavy=True,
-        left_bound=None if point_bound is None else point_bound, right_bound=sum(levels.values()),
+        left_bound=point_bound, right_bound=sum(levels.values()),
     )
     met = met.withColumn("interior", F.col("_full") | S.point_in_shape(px, py, s))
     if distance:
         met = met.where(F.col("interior") | F.coalesce(F.when(~F.col("interior"), S.edge_distance(px, py, s) < F.lit(distance)), F.lit(False)))
     else:
         met = met.where("interior")
-    return met.drop("_lv", "_bx", "_by", "_box", "_full")
+    return met.drop("_lv", "_bx", "_by", "_box", "_full", "_walk")
 
 
 def point_shape_join(
@@ -124,8 +127,8 @@ def point_shape_join(
     """Points with the shapes strictly containing them (``distance`` > 0: containing, or nearer than that), over the
     adaptive grid of :func:`point_shape_pairs`.
 
-    A left join brings the pairs back to the points by ``point_id``, which must be unique then; ``point_bound``, the
-    number of points where it is known, saves looking for crowded cells. Columns of ``fields`` must not repeat names
+    A left join stores the points and brings the pairs back to them by ``point_id``, which must be unique then;
+    ``point_bound``, the number of points where it is known, saves an inner join looking for crowded cells. Columns of ``fields`` must not repeat names
     of ``points``.
     """
     ids = [point_id] if isinstance(point_id, str) else list(point_id)
@@ -133,8 +136,9 @@ def point_shape_join(
         return point_shape_pairs(points, fields, ids, x, y, shape, distance, rows_per_split, point_bound).drop("interior")
     if how != "left":
         raise ValueError(f"how must be 'inner' or 'left', not {how!r}")
+    points = freeze(points, "points")
     narrow = points.select(*dict.fromkeys([*ids, x, y]))
-    pairs = point_shape_pairs(narrow, fields, ids, x, y, shape, distance, rows_per_split, point_bound)
+    pairs = point_shape_pairs(narrow, fields, ids, x, y, shape, distance, rows_per_split, points.count())
     pairs = pairs.select(*[F.col(c).alias(f"_p_{c}") for c in ids], *fields.columns)
     on = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in ids]
     return points.join(pairs, on, "left").drop(*[f"_p_{c}" for c in ids])
