@@ -185,6 +185,41 @@ def _(fx):
     )
 
 
+_VERSIONS = f"""{SQL_LOOKUP}, ranks AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{s}')" for i, s in enumerate(SOURCE_ORDER, 1))}) t(rank, source_id)),
+    labels AS (SELECT rank AS version FROM ranks),
+    vm AS (SELECT l.version, m.* FROM matches m JOIN ranks r USING (source_id) JOIN labels l ON l.version >= r.rank),
+    vl AS (SELECT l.version, m.* FROM looked m JOIN ranks r USING (source_id) JOIN labels l ON l.version >= r.rank),
+    best AS (SELECT version, entity_id, name FROM (SELECT *, row_number() OVER (PARTITION BY version, entity_id ORDER BY score DESC, seq) AS rn FROM vm) WHERE rn = 1),
+    used AS (SELECT version, entity_id, string_agg(DISTINCT source_id, ', ' ORDER BY source_id) AS sources_used FROM vm GROUP BY version, entity_id),
+    modes AS (SELECT version, entity_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY version, entity_id ORDER BY n DESC, kind) AS rn
+      FROM (SELECT version, entity_id, kind, count(*) AS n FROM vl WHERE kind IS NOT NULL GROUP BY version, entity_id, kind)) WHERE rn = 1),
+    vals AS (SELECT version, entity_id, avg(oil_prod) AS oil_prod, median(oil_mid) AS oil_mid, CAST(trunc(median(wells)) AS INTEGER) AS wells,
+      CAST(trunc({AS_OF} - avg(age)) AS INTEGER) AS age FROM vl GROUP BY version, entity_id),
+    golden AS (SELECT b.version, b.entity_id, b.name, sources_used, round(oil_prod, 4) AS oil_prod, round(oil_mid, 4) AS oil_mid, wells, kind, age
+      FROM best b JOIN used USING (version, entity_id) LEFT JOIN vals USING (version, entity_id) LEFT JOIN modes USING (version, entity_id))"""
+
+
+def _versions(fx):
+    rules = {c: RULES[c] for c in ("oil_prod", "oil_mid", "wells", "kind", "age")}
+    rows = fx.source_cell.withColumns({"oil_mid": F.col("oil_prod"), "age": F.col("wells") + 1950})
+    return golden.merge_versions(golden.cumulative_versions(fx.matches, SOURCE_ORDER), rows, rules, AS_OF)
+
+
+@query("PIP8_merge_versions", f"{_VERSIONS} SELECT * FROM golden")
+def _(fx):
+    return _versions(fx).select(
+        "version", "entity_id", "name", "sources_used", rounded("oil_prod", 4).alias("oil_prod"), rounded("oil_mid", 4).alias("oil_mid"), "wells", "kind", "age"
+    )
+
+
+@query(
+    "AGG14_richness_by_version",
+    f"{_VERSIONS} SELECT version, count(name) + count(oil_prod) + count(wells) + count(kind) + count(age) AS n_cells FROM golden GROUP BY version",
+)
+def _(fx):
+    return K.richness_by_version(_versions(fx), ["name", "oil_prod", "wells", "kind", "age"])
+
+
 @query(
     "PIP9_attribute_flares",
     f"WITH {SQL_FLARES} SELECT field_id, name, round(flare_bcm, 9) AS flare_bcm, round(for_value, 4) AS for_value FROM ratios",

@@ -49,3 +49,9 @@ def richness_by_source(sources: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Non-null cells over ``columns`` per source, in one pass."""
     total = sum((F.count(F.col(c)) for c in columns[1:]), F.count(F.col(columns[0])))
     return sources.groupBy("source_id").agg(total.alias("n_cells"))
+
+
+def richness_by_version(versions: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Non-null cells over ``columns`` of the golden records of each version."""
+    total = sum((F.count(F.col(c)) for c in columns[1:]), F.count(F.col(columns[0])))
+    return versions.groupBy("version").agg(total.alias("n_cells"))

@@ -117,6 +117,27 @@ def test_registry_weights_days(spark):
     assert row[0]["oil"] == pytest.approx((31 * 31 + 3 * 28) / 59)
 
 
+def test_versions_equal_separate_merges(spark):
+    """Every version in one pass is what merging its own match table gives, hot entity and missing rows included."""
+    order = ["s1", "s2", "s3"]
+    rows = [(f"e{i % 5 if i < 40 else i}", f"n{i % 7}", order[i % 3], i, float(i % 4), i) for i in range(60)]
+    rows += [("e1", "other", "s9", 99, 5.0, 100), ("e2", None, "s2", 100, 9.0, 101)]
+    matches = spark.createDataFrame(rows, "entity_id string, name string, source_id string, field_id bigint, score double, seq bigint")
+    values = [(order[i % 3], i, i, None if i % 5 == 0 else float(i * 7 % 11), i % 6, None if i % 8 == 0 else "abc"[i % 3]) for i in range(59)]
+    sources = spark.createDataFrame([(*v, v[0]) for v in values], "source_id string, field_id bigint, seq bigint, oil double, wells int, kind string, source_name string")
+    rules = {"oil": "average", "wells": "median int", "kind": "most frequent"}
+    labelled = golden.cumulative_versions(matches, order)
+    got = golden.merge_versions(labelled, sources, rules, 2024)
+    columns = ["entity_id", "name", "sources_used", *rules]
+    for k in (1, 2, 3):
+        alone = golden.merge_entities(matches.where(F.col("source_id").isin(order[:k])), sources, rules, 2024)
+        want = sorted(map(tuple, alone.select(columns).collect()), key=repr)
+        assert sorted(map(tuple, got.where(F.col("version") == k).select(columns).collect()), key=repr) == want
+    cells = {r["version"]: r["n_cells"] for r in coverage.richness_by_version(got, ["oil", "kind"]).collect()}
+    assert cells == {k: sum(x is not None for r in got.where(F.col("version") == k).select("oil", "kind").collect() for x in r) for k in (1, 2, 3)}
+    assert golden.merge_versions(golden.cumulative_versions(matches.limit(0), order), sources, rules, 2024).collect() == []
+
+
 def test_golden_records_with_shapes(spark):
     matches = spark.createDataFrame([(0, "a", None, "s1", "s", 1, 100.0, 1), (0, "a2", None, "t1", "t", 1, 80.0, 2), (1, "b", None, "s1", "s", 2, 100.0, 3), (1, "b", None, "s1", "s", 77, 70.0, 4)],
         "entity_id bigint, name string, cell struct<q:bigint,r:bigint>, source_id string, source_name string, field_id bigint, score double, seq bigint")
