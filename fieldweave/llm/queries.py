@@ -67,7 +67,7 @@ def op4_language_mixture(spark, folder):
 
 @_query
 def op5_decontaminate(spark, folder):
-    found = decontaminate.find_hits(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    found = decontaminate.find_hits(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), unnamed=True)
     items = F.col("items")
     return found.select(
         "doc_id", "n_words", "n_hit", F.size(items).cast("bigint").alias("n_items"),
@@ -80,7 +80,7 @@ WITH d AS (SELECT doc_id, row_number() OVER () AS uid,
     regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item,
     regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
-    FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+    FROM benchmark WHERE text IS NOT NULL),
 bw AS (SELECT DISTINCT item, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS win
     FROM (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
 ks AS (SELECT DISTINCT k FROM bw),
@@ -88,7 +88,7 @@ dw AS (SELECT uid, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS wi
     FROM (SELECT uid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
 h AS (SELECT dw.uid, dw.i, dw.k, bw.item FROM dw JOIN bw ON dw.win = bw.win AND dw.k = bw.k),
 p AS (SELECT uid, count(DISTINCT j) AS n FROM (SELECT uid, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT uid, i, k FROM h)) GROUP BY uid),
-t AS (SELECT uid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT uid, item FROM h) GROUP BY uid)
+t AS (SELECT uid, count(item) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT uid, item FROM h) GROUP BY uid)
 SELECT d.doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
     sha256(coalesce(t.s, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN p ON d.uid = p.uid LEFT JOIN t ON d.uid = t.uid

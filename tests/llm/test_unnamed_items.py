@@ -17,5 +17,5 @@ def test_passages_of_items_without_id_are_removed(spark, limit):
     assert {r["doc_id"]: r["text"] for r in cut.collect()} == {1: "before after", 2: "x ", 3: "clean text", 4: None}
     hits = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.find_hits(docs, bench, max_bytes=limit, unnamed=True).collect()}
     assert hits == {1: (12, []), 2: (24, ["7"]), 3: (0, []), 4: (0, [])}
-    # as in the SQL of op5, find_hits leaves them out unless asked
+    # find_hits leaves them out unless asked
     assert {r["doc_id"] for r in decontaminate.find_hits(docs, bench, max_bytes=limit).where("n_hit > 0").collect()} == {2}
