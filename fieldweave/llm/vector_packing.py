@@ -80,12 +80,15 @@ def assign_shards(
     rows = freeze(rows, "rows")
     measure = [F.sum("size").alias("bytes"), F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")]
     groups = rows.groupBy("key").agg(*measure)
-    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("g")).first()
+    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("g"), F.coalesce(F.max("rows"), F.lit(0)).alias("most")).first()
     limit = max(1, int(total["b"]) // (shards * SPLIT))
     large = groups.where((F.col("bytes") > limit) & (F.col("rows") > 1)).select(F.col("key").alias("_large"), F.least(F.ceil(F.col("bytes") / limit), F.col("rows")).alias("_splits"))
     split = rows.join(F.broadcast(large), F.col("key") == F.col("_large"), "left")
-    # the row number is stored, so a recomputed task deals its rows the same way
-    split = split.withColumn("part", F.coalesce(F.pmod(F.xxhash64("_row"), F.col("_splits")), F.lit(0)).cast("int")).drop("_large", "_splits")
+    # rows of a large group are numbered and dealt to its parts in turn: parts differ by one row at most
+    dealt_rows = _numbered(split.where(F.col("_splits").isNotNull()), ["key"], max(1, -(-int(total["most"]) // ROWS_PER_SLOT_BLOCK)))
+    dealt_rows = dealt_rows.withColumn("part", F.pmod(F.col("number"), F.col("_splits")).cast("int")).drop("number")
+    split = split.where(F.col("_splits").isNull()).withColumn("part", F.lit(0)).unionByName(dealt_rows).drop("_large", "_splits")
+    split = freeze(split, "split")
     pieces = split.groupBy("key", "part").agg(*measure)
     chunks = max(1, -(-(int(total["g"]) + shards * SPLIT) // chunk_groups))
     dealt = _sums(pieces, "key", "part").withColumn("chunk", F.pmod(F.xxhash64("key", "part"), F.lit(chunks)))
@@ -105,15 +108,21 @@ def assign_shards(
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _numbered(rows: DataFrame, keys: Sequence[str], blocks: int) -> DataFrame:
+    """``number`` from 0 without gaps among the rows of equal ``keys``: counted in ``blocks`` blocks by a hash of the stored
+    row number (a recomputed task numbers its rows the same way) and added up."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("_row"), F.lit(blocks)))
+    sizes = rows.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(*keys, "block").orderBy("_row")
+    numbered = rows.withColumn("_n", F.row_number().over(inside)).join(offsets, [*keys, "block"])
+    return numbered.withColumn("number", F.col("offset") + F.col("_n") - 1).drop("block", "offset", "_n")
+
+
 def _slots(rows: DataFrame, shards: int) -> DataFrame:
-    """Gapless numbers within each shard, counted in blocks of bounded size and added up."""
     blocks = max(1, -(-rows.count() // (shards * ROWS_PER_SLOT_BLOCK)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("_row"), F.lit(blocks)))
-    sizes = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("shard", "block").orderBy("_row")
-    return rows.withColumn("_n", F.row_number().over(inside)).join(offsets, ["shard", "block"]).withColumn("slot", F.col("offset") + F.col("_n") - 1)
+    return _numbered(rows, ["shard"], blocks).withColumnRenamed("number", "slot")
 
 
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str, doc_id: str = "doc_id") -> None:
