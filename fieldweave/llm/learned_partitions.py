@@ -12,6 +12,7 @@ covers all rows. A part is searched in blocks of ``BLOCK`` vectors and ``QUERY_B
 in any number stay bounded; equal vectors in a block are compared once.
 
 Vectors that are null, empty, zero, hold a null or non-finite number, or have another length than most take no part.
+Components of any finite size serve; vectors are scaled by a power of two before squares are taken.
 Rows with equal id and vector count once; a query's own row is every row with its id. Ties of the score go to the
 smaller id. Tables of at most ``k`` candidates give all of them.
 """
@@ -42,6 +43,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def in_range(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component below 1: squares can no longer leave the range of
+    doubles, and as no digit changes the cosine is that of the original vectors."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def neighbour_graph(x: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
     """The ``k`` nearest other rows of every unit row."""
     out = []
@@ -178,11 +185,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
     good = good.where(F.col("d") == d).drop("d")
     drawn = good.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()["v"] if n else pa.chunked_array([pa.array([], pa.list_(pa.float64()))])
     fitted = np.array(drawn.to_pylist(), float).reshape(-1, d)
+    fitted = in_range(fitted) if len(fitted) else fitted
     router, visits = learn(fitted, min(MAX_PARTS, n // ROWS_PER_PART), k) if n else (Router(d, 1), 1)
 
     def route(batches):
         for batch in batches:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            flat = in_range(flat) if len(flat) else flat
             p = router.probabilities(flat / np.linalg.norm(flat, axis=1, keepdims=True))
             order = np.argsort(-p, axis=1, kind="stable").astype(np.int32)
             asks = batch.column(2).to_pylist()
@@ -217,7 +226,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
             return target.empty_table()
         matrix = lambda c: np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in c.chunks]).reshape(-1, d)
         ids, rows = right["id"].to_numpy(), matrix(right["v"])
-        found = best_in_block(matrix(left["qv"]), left["query_id"].to_numpy(), rows, ids, k)
+        found = best_in_block(in_range(matrix(left["qv"])), left["query_id"].to_numpy(), in_range(rows), ids, k)
         at = pa.array([f[0] for f in found], pa.int64())
         columns = [left["query_id"].take(at), left["qv"].take(at), pa.chunked_array([pa.array([f[1] for f in found], pa.int64())]), pa.chunked_array([pa.array([f[2] for f in found], pa.float64())])]
         return pa.table([c.combine_chunks().cast(f.type) for c, f in zip(columns, target)], schema=target)

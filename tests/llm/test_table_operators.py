@@ -1,6 +1,7 @@
 """Operators over whole tables, against brute force on small fixtures."""
 
 import collections
+import hashlib
 import math
 import random
 
@@ -174,8 +175,8 @@ def test_interpolation_of_odd_tables(spark):
     assert len(three) == 40 and all(r["score"] > r["base_score"] for r in three)
 
 
-def vectors(spark, rows):
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
+def vectors(spark, rows, number="float"):
+    return spark.createDataFrame(rows, f"vec_id long, embedding array<{number}>, score string")
 
 
 def test_search_small_tables(spark):
@@ -190,6 +191,20 @@ def test_search_small_tables(spark):
     assert [r["vec_id"] for r in got] == [0, 1, 2, 3, 4]
 
 
+def test_search_tiny_and_huge_components(spark):
+    """Squares of these leave the range of doubles; results are those of the same vectors at ordinary size."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4))
+    scale = [2.0**-700, 2.0**700, 1.0, 2.0**-1000]
+    plain = vectors(spark, [(i, v.tolist(), "x") for i, v in enumerate(x)], "double")
+    wild = vectors(spark, [(i, (v * scale[i % 4]).tolist(), "x") for i, v in enumerate(x)], "double")
+    ask = lambda df: learned_partitions.search(df, F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect()
+    got, want = ask(wild), ask(plain)
+    assert len(got) == 30
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(r["query_id"], r["rank"], r["vec_id"]) for r in want]
+    assert [r["score"] for r in got] == pytest.approx([r["score"] for r in want], abs=1e-12)
+
+
 def test_search_recall(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(30, 16))
@@ -246,6 +261,31 @@ def test_packing(spark):
     assert vector_packing.assign_shards(docs(spark, [])).count() == 0
 
 
+def test_packing_few_huge_texts(spark):
+    """Two, three and nine equal texts that outweigh all others: no shard gets two while another has none."""
+    for copies in (2, 3, 9):
+        texts = ["x" * 300_000] * copies + [f"text {i}" for i in range(200)]
+        for chunk_groups in (4096, 40):
+            got = vector_packing.assign_shards(docs(spark, texts), shards=8, chunk_groups=chunk_groups, fan_in=3).collect()
+            assert len(got) == len(texts)
+            held = collections.Counter(r["shard"] for r in got if r["doc_id"] < copies)
+            assert max(held.values()) == -(-copies // 8)
+
+
+def test_packing_one_chunk_is_plain_packing(spark):
+    """With one chunk the shards are those of packing all groups at once; with many, totals and rows are the same."""
+    random.seed(11)
+    texts = [f"{i} " + " ".join("w" * random.randint(1, 9) for _ in range(random.randint(1, 60))) for i in range(300)]
+    sizes = np.array([[len(t) + 16, len(t.split()), 1.0] for t in texts])
+    digest = [hashlib.md5(t.encode()).hexdigest() for t in texts]
+    order = sorted(range(300), key=lambda i: digest[i])
+    want = dict(zip(order, vector_packing.pack(sizes[order], 4)))
+    got = vector_packing.assign_shards(docs(spark, texts), shards=4).collect()
+    assert {r["doc_id"]: r["shard"] for r in got} == want
+    many = vector_packing.assign_shards(docs(spark, texts), shards=4, chunk_groups=64, fan_in=2).collect()
+    assert sum(r["size"] for r in many) == int(sizes[:, 0].sum()) and sorted(r["doc_id"] for r in many) == list(range(300))
+
+
 def test_written_shards(spark, tmp_path):
     df = docs(spark, [f"text {i}" for i in range(30)])
     vector_packing.write_shards(df, vector_packing.assign_shards(df, shards=3), str(tmp_path / "out"))
