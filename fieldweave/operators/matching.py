@@ -29,6 +29,14 @@ NEAR_STEPS = 20
 CROWDED = 200
 # From this name score on, the pieces of a name are long enough to serve as join keys.
 PIECE_RATIO = 75
+# The metric index of names: pivots, the names they are chosen from and their longest length, pivots with rings, groups
+# letters are counted in, and the number of pairs from which it is built.
+PIVOTS = 10
+PIVOT_SAMPLE = 128
+PIVOT_LENGTH = 40
+RINGED = 3
+LETTER_GROUPS = 16
+INDEX_FROM = 1_000_000
 # An exact pair cannot tie with a merely similar one up to this length (rounding to integers).
 EXACT_LENGTH = {"edit": 198, "blocks": 98}
 
@@ -178,12 +186,99 @@ def blocks_bound(a: Column, b: Column) -> Column:
     return F.coalesce(F.floor(share + F.lit(0.5)), F.lit(0))
 
 
-def _best_by_name(names: DataFrame, known: DataFrame, ratio: int, similarity: str, rows_per_split: int) -> DataFrame:
+def _edit_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for ch in a:
+        diagonal, row[0] = row[0], row[0] + 1
+        for j, other in enumerate(b, start=1):
+            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (ch != other))
+    return row[-1]
+
+
+def choose_pivots(known: DataFrame, n: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> list[str]:
+    """Names far from each other, from the ``sample`` short names with the smallest hashes.
+
+    Pivots decide how much the index leaves out, never what is found, so a bounded sample is enough.
+    """
+    short = known.where(F.length("_name").between(1, PIVOT_LENGTH)).select("_name")
+    names = [r["_name"] for r in short.orderBy(F.xxhash64("_name"), "_name").limit(sample).collect()]
+    if not names:
+        return []
+    pivots, nearest = [names[0]], [_edit_distance(x, names[0]) for x in names]
+    while len(pivots) < n and max(nearest) > 0:
+        pivots.append(names[nearest.index(max(nearest))])
+        nearest = [min(d, _edit_distance(x, pivots[-1])) for d, x in zip(nearest, names)]
+    return pivots
+
+
+def _most_edits(n: Column, m: Column, ratio: int) -> Column:
+    return _edits(F.greatest(n, m), ratio)
+
+
+def _outlined(df: DataFrame, name: str, side: str, pivots: list[str], ratio: int) -> DataFrame:
+    """``df`` with the distances of a name to the pivots, its counts per letter group, and the ring cell it is in.
+
+    A cell is a length and a ring around each of the first pivots; rings are half as wide as the edits allowed.
+    """
+    out = df.withColumn(f"{side}len", F.length(name))
+    distances = {f"{side}d{i}": F.levenshtein(F.col(name), F.lit(p)) for i, p in enumerate(pivots)}
+    letters = F.split(F.col(name), "")
+    group = lambda g: F.size(F.filter(letters, lambda ch: (ch != "") & (F.pmod(F.ascii(ch), F.lit(LETTER_GROUPS)) == g)))
+    out = out.withColumns(distances | {f"{side}c{g}": group(g) for g in range(LETTER_GROUPS)})
+    width = F.greatest(F.lit(1), F.floor(_edits(F.col(f"{side}len"), ratio) / 2).cast("int"))
+    rings = [F.floor(F.col(f"{side}d{i}") / width).cast("int") for i in range(min(RINGED, len(pivots)))]
+    return out.withColumn(f"{side}ring", F.array(*rings) if rings else F.array().cast("array<int>"))
+
+
+def _cells(outlined: DataFrame, side: str, n_pivots: int) -> DataFrame:
+    """One row per ring cell in use with the least and greatest distance of its names to each pivot."""
+    bounds = [f(f"{side}d{i}").alias(f"{side}{label}{i}") for i in range(n_pivots) for f, label in ((F.min, "lo"), (F.max, "hi"))]
+    return outlined.groupBy(f"{side}len", f"{side}ring").agg(F.count(F.lit(1)).alias(f"{side}n"), *bounds)
+
+
+def metric_candidates(
+    names: DataFrame, known: DataFrame, ratio: int, rows_per_split: int = ROWS_PER_SPLIT, pivots: list[str] | None = None, **bounds: int
+) -> DataFrame:
+    """Pairs of ``name`` and ``_name`` that a metric index cannot tell apart by more edits than ``ratio`` allows.
+
+    By the triangle inequality two names differ by at least the difference of their distances to any pivot, and by at
+    least the letters one has and the other lacks. Names are kept in cells of a length and rings around pivots. Pairs of
+    cells meet on admissible lengths, and those whose distances to some pivot lie too far apart are left out; only the
+    names of the cell pairs that are left meet, and are tested the same way one by one. No pair of names whose score
+    reaches ``ratio`` is lost.
+    """
+    pivots = choose_pivots(known) if pivots is None else pivots
+    left = freeze(_outlined(names, "name", "_l", pivots, ratio), "outlined")
+    right = freeze(_outlined(known, "_name", "_r", pivots, ratio), "outlined")
+    n, share = F.col("_llen"), F.lit((ratio - 0.5) / 100.0)
+    lengths = F.sequence(F.ceil(n * share - F.lit(1e-9)).cast("int"), F.floor(n / share + F.lit(1e-9)).cast("int"))
+    apart = [F.greatest(F.col(f"_llo{i}") - F.col(f"_rhi{i}"), F.col(f"_rlo{i}") - F.col(f"_lhi{i}")) for i in range(len(pivots))]
+    close = [F.col("_to") == F.col("_rlen"), *[gap <= _most_edits(n, F.col("_rlen"), ratio) for gap in apart]]
+    cells = _cells(left, "_l", len(pivots)).withColumn("_to", F.explode(lengths))
+    cells = cells.join(_cells(right, "_r", len(pivots)), close).select("_llen", "_lring", F.col("_rlen").alias("_len"), F.col("_rring").alias("_ring"))
+    # cells are few, names are many: a cell's names may be any share of all
+    left = salted_join(left, cells, ["_llen", "_lring"], ["name"], None, "inner", None, rows_per_split, left_bound=bounds.get("left_bound"))
+    right = right.withColumnsRenamed({"_rlen": "_len", "_rring": "_ring"})
+    most = _most_edits(F.length("name"), F.length("_name"), ratio)
+    near = F.lit(True)
+    for i in range(len(pivots)):
+        near &= F.abs(F.col(f"_ld{i}") - F.col(f"_rd{i}")) <= most
+    for a, b in (("_l", "_r"), ("_r", "_l")):
+        lacking = [F.greatest(F.col(f"{a}c{g}") - F.col(f"{b}c{g}"), F.lit(0)) for g in range(LETTER_GROUPS)]
+        near &= sum(lacking[1:], lacking[0]) <= most
+    pairs = salted_join(left, right, ["_len", "_ring"], ["name"], ["_name"], "inner", near, rows_per_split, heavy=True, **bounds)
+    return pairs.select(*names.columns, *known.columns)
+
+
+def _best_by_name(
+    names: DataFrame, known: DataFrame, ratio: int, similarity: str, rows_per_split: int, index_from: int = INDEX_FROM
+) -> DataFrame:
     """Best known row per distinct name with ``name_score >= ratio``: ``name, name_score, _row, _seq``.
 
     ``known`` has one row per ``_name``. A name already known is settled by an equi-join. The others are
-    compared through common name pieces where the ratio is high enough for pieces to be telling, otherwise
-    with the names of every length that can still reach the ratio, crowded lengths cut into blocks.
+    compared through common name pieces where the ratio is high enough for pieces to be telling. Otherwise, from
+    ``index_from`` pairs on, a metric index leaves few pairs to score; smaller tables meet the names of every length
+    that can still reach the ratio, which needs no index.
     """
     same = F.col("name") == F.col("_name")
     limit = EXACT_LENGTH[similarity]
@@ -207,7 +302,11 @@ def _best_by_name(names: DataFrame, known: DataFrame, ratio: int, similarity: st
         longest = F.floor(n / F.lit(bound) + F.lit(1e-9)).cast("int")
         left = open_.withColumn("_len", F.explode(F.sequence(shortest, longest)))
         right = known.withColumn("_len", F.length("_name"))
-        if similarity == "edit":
+        if similarity == "edit" and bounds["left_bound"] * bounds["right_bound"] >= index_from:
+            most = f"cast(floor(greatest(length(name), length(_name)) * {(100.5 - ratio) / 100.0!r}D + 1e-9D) as int)"
+            pairs = metric_candidates(open_, known, ratio, rows_per_split, **bounds).where(F.expr(f"levenshtein(name, _name, {most}) >= 0"))
+            pairs = pairs.withColumn("name_score", score).where(F.col("name_score") >= ratio)
+        elif similarity == "edit":
             pairs = salted_join(left, right, ["_len"], ["name"], ["_name"], "inner", score >= ratio, rows_per_split, heavy=True, **bounds)
             pairs = pairs.withColumn("name_score", score)
         else:
@@ -330,6 +429,7 @@ def best_matches_by_name(
     weight: float = 1.0,
     similarity: str = "edit",
     rows_per_split: int = ROWS_PER_SPLIT,
+    index_from: int = INDEX_FROM,
 ) -> DataFrame:
     """Best entity by name alone for each distinct name; output ``name, matched_entity_id, matched_cell, score``.
 
@@ -338,7 +438,7 @@ def best_matches_by_name(
     """
     ratio = max(1, math.ceil(threshold / weight - 1e-9))
     names = new.where(F.col("name").isNotNull()).select("name").distinct()
-    best = _best_by_name(names, _known_names(entities, ["entity_id", "cell"]), ratio, similarity, rows_per_split)
+    best = _best_by_name(names, _known_names(entities, ["entity_id", "cell"]), ratio, similarity, rows_per_split, index_from)
     return best.select(
         "name",
         F.col("_row.entity_id").alias("matched_entity_id"),

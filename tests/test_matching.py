@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from fieldweave.operators.matching import best_matches, best_matches_by_name, name_needed
+from fieldweave.operators.matching import best_matches, best_matches_by_name, choose_pivots, metric_candidates, name_needed
 from fieldweave.plans.matching import filter_authoritative, match_all_sources, match_by_name, match_version, seed_matches
 
 WORDS = ["norte", "sul", "leste", "campo", "marlim", "tupi", "buzios", "lula", "albacora", "roncador", "x"]
@@ -113,10 +113,13 @@ def test_weights_that_break_the_blocking_are_refused(spark):
 
 
 @pytest.mark.parametrize("threshold,similarity,split", [(60, "edit", 200000), (60, "edit", 9), (85, "edit", 200000), (78, "edit", 9), (60, "blocks", 200000), (75, "blocks", 11)])
-def test_by_name_equals_brute_force(spark, threshold, similarity, split):
+@pytest.mark.parametrize("index_from", [0, 10**9])
+def test_by_name_equals_brute_force(spark, threshold, similarity, split, index_from):
+    if index_from == 0 and (similarity, threshold) != ("edit", 60):
+        pytest.skip("the metric index serves edit similarity below the ratio of name pieces")
     known, new = records(3, 120, 0.1), records(4, 150, 0.1)
     k, n = frames(spark, known, new)
-    rows = best_matches_by_name(k, n, threshold, similarity=similarity, rows_per_split=split).collect()
+    rows = best_matches_by_name(k, n, threshold, similarity=similarity, rows_per_split=split, index_from=index_from).collect()
     got = {r["name"]: (r["matched_entity_id"], r["score"]) for r in rows}
     rate = ratio if similarity == "edit" else blocks
     want = {}
@@ -131,6 +134,25 @@ def test_by_name_equals_brute_force(spark, threshold, similarity, split):
     assert want and got == want
 
 
+def test_metric_index_loses_no_pair(spark):
+    """Every pair at 60 or more is a candidate, with any pivots, and few others are."""
+    random.seed(12)
+    word = lambda: "".join(random.choice("abcdefghijklmnoprstuvz") for _ in range(random.randint(3, 9)))
+    words = [word() for _ in range(150)]
+    left = {" ".join(random.sample(words, random.randint(1, 3))) for _ in range(250)} | {"a", "é", "x" * 90}
+    right = {n[:-1] + random.choice("xyz") if random.random() < 0.4 else " ".join(random.sample(words, random.randint(1, 3))) for n in sorted(left)} | {"", "x" * 80}
+    names = spark.createDataFrame([(n,) for n in sorted(left)], "name string")
+    known = spark.createDataFrame([(n,) for n in sorted(right)], "_name string")
+    want = {(a, b) for a in left for b in right if b and ratio(a, b) >= 60}
+    for pivots in (None, [], ["zzz"]):
+        got = [tuple(r) for r in metric_candidates(names, known, 60, pivots=pivots).collect()]
+        assert len(got) == len(set(got)) and want <= set(got)
+        if pivots is None:
+            assert len(got) <= 0.1 * len(left) * len(right)
+    assert metric_candidates(names, known.limit(0), 60).count() == 0
+    assert len(choose_pivots(known)) > 1 and choose_pivots(known.limit(0)) == []
+
+
 def source(spark, rows):
     schema = "source_id string, source_name string, field_id bigint, seq bigint, name string, cell struct<q:bigint,r:bigint>"
     return spark.createDataFrame(rows, schema)
