@@ -30,13 +30,14 @@ CROWDED = 200
 # From this name score on, the pieces of a name are long enough to serve as join keys.
 PIECE_RATIO = 75
 # The metric index of names: pivots, the names they are chosen from and their longest length, pivots with rings, groups
-# letters are counted in, and the number of pairs from which it is built.
+# letters are counted in. The index scores few pairs (5 % of 21 million at ratio 60), but finding them costs more than scoring
+# all pairs of admissible lengths with a cut-off, so it is built only where ``index_from`` asks for it.
 PIVOTS = 10
 PIVOT_SAMPLE = 128
 PIVOT_LENGTH = 40
-RINGED = 3
+RINGED = 2
 LETTER_GROUPS = 16
-INDEX_FROM = 1_000_000
+INDEX_FROM = None
 # An exact pair cannot tie with a merely similar one up to this length (rounding to integers).
 EXACT_LENGTH = {"edit": 198, "blocks": 98}
 
@@ -211,21 +212,17 @@ def choose_pivots(known: DataFrame, n: int = PIVOTS, sample: int = PIVOT_SAMPLE)
     return pivots
 
 
-def _most_edits(n: Column, m: Column, ratio: int) -> Column:
-    return _edits(F.greatest(n, m), ratio)
-
-
 def _outlined(df: DataFrame, name: str, side: str, pivots: list[str], ratio: int) -> DataFrame:
     """``df`` with the distances of a name to the pivots, its counts per letter group, and the ring cell it is in.
 
-    A cell is a length and a ring around each of the first pivots; rings are half as wide as the edits allowed.
+    A cell is a length and a ring around each of the first pivots; rings are as wide as the edits allowed.
     """
-    out = df.withColumn(f"{side}len", F.length(name))
+    out = df.withColumn(f"{side}len", F.length(name)).withColumn(f"{side}most", _edits(F.col(f"{side}len"), ratio))
     distances = {f"{side}d{i}": F.levenshtein(F.col(name), F.lit(p)) for i, p in enumerate(pivots)}
     letters = F.split(F.col(name), "")
     group = lambda g: F.size(F.filter(letters, lambda ch: (ch != "") & (F.pmod(F.ascii(ch), F.lit(LETTER_GROUPS)) == g)))
     out = out.withColumns(distances | {f"{side}c{g}": group(g) for g in range(LETTER_GROUPS)})
-    width = F.greatest(F.lit(1), F.floor(_edits(F.col(f"{side}len"), ratio) / 2).cast("int"))
+    width = F.greatest(F.lit(1), F.col(f"{side}most"))
     rings = [F.floor(F.col(f"{side}d{i}") / width).cast("int") for i in range(min(RINGED, len(pivots)))]
     return out.withColumn(f"{side}ring", F.array(*rings) if rings else F.array().cast("array<int>"))
 
@@ -233,7 +230,7 @@ def _outlined(df: DataFrame, name: str, side: str, pivots: list[str], ratio: int
 def _cells(outlined: DataFrame, side: str, n_pivots: int) -> DataFrame:
     """One row per ring cell in use with the least and greatest distance of its names to each pivot."""
     bounds = [f(f"{side}d{i}").alias(f"{side}{label}{i}") for i in range(n_pivots) for f, label in ((F.min, "lo"), (F.max, "hi"))]
-    return outlined.groupBy(f"{side}len", f"{side}ring").agg(F.count(F.lit(1)).alias(f"{side}n"), *bounds)
+    return outlined.groupBy(f"{side}len", f"{side}ring").agg(F.max(f"{side}most").alias(f"{side}most"), *bounds)
 
 
 def metric_candidates(
@@ -252,14 +249,14 @@ def metric_candidates(
     right = freeze(_outlined(known, "_name", "_r", pivots, ratio), "outlined")
     n, share = F.col("_llen"), F.lit((ratio - 0.5) / 100.0)
     lengths = F.sequence(F.ceil(n * share - F.lit(1e-9)).cast("int"), F.floor(n / share + F.lit(1e-9)).cast("int"))
+    most = F.greatest("_lmost", "_rmost")  # a pair's edits go by its longer name
     apart = [F.greatest(F.col(f"_llo{i}") - F.col(f"_rhi{i}"), F.col(f"_rlo{i}") - F.col(f"_lhi{i}")) for i in range(len(pivots))]
-    close = [F.col("_to") == F.col("_rlen"), *[gap <= _most_edits(n, F.col("_rlen"), ratio) for gap in apart]]
+    close = [F.col("_to") == F.col("_rlen"), *[gap <= most for gap in apart]]
     cells = _cells(left, "_l", len(pivots)).withColumn("_to", F.explode(lengths))
     cells = cells.join(_cells(right, "_r", len(pivots)), close).select("_llen", "_lring", F.col("_rlen").alias("_len"), F.col("_rring").alias("_ring"))
     # cells are few, names are many: a cell's names may be any share of all
     left = salted_join(left, cells, ["_llen", "_lring"], ["name"], None, "inner", None, rows_per_split, left_bound=bounds.get("left_bound"))
     right = right.withColumnsRenamed({"_rlen": "_len", "_rring": "_ring"})
-    most = _most_edits(F.length("name"), F.length("_name"), ratio)
     near = F.lit(True)
     for i in range(len(pivots)):
         near &= F.abs(F.col(f"_ld{i}") - F.col(f"_rd{i}")) <= most
@@ -271,14 +268,14 @@ def metric_candidates(
 
 
 def _best_by_name(
-    names: DataFrame, known: DataFrame, ratio: int, similarity: str, rows_per_split: int, index_from: int = INDEX_FROM
+    names: DataFrame, known: DataFrame, ratio: int, similarity: str, rows_per_split: int, index_from: int | None = INDEX_FROM
 ) -> DataFrame:
     """Best known row per distinct name with ``name_score >= ratio``: ``name, name_score, _row, _seq``.
 
     ``known`` has one row per ``_name``. A name already known is settled by an equi-join. The others are
-    compared through common name pieces where the ratio is high enough for pieces to be telling. Otherwise, from
-    ``index_from`` pairs on, a metric index leaves few pairs to score; smaller tables meet the names of every length
-    that can still reach the ratio, which needs no index.
+    compared through common name pieces where the ratio is high enough for pieces to be telling, otherwise
+    with the names of every length that can still reach the ratio, crowded lengths cut into blocks; from
+    ``index_from`` pairs on with the candidates of the metric index instead.
     """
     same = F.col("name") == F.col("_name")
     limit = EXACT_LENGTH[similarity]
@@ -302,12 +299,14 @@ def _best_by_name(
         longest = F.floor(n / F.lit(bound) + F.lit(1e-9)).cast("int")
         left = open_.withColumn("_len", F.explode(F.sequence(shortest, longest)))
         right = known.withColumn("_len", F.length("_name"))
-        if similarity == "edit" and bounds["left_bound"] * bounds["right_bound"] >= index_from:
-            most = f"cast(floor(greatest(length(name), length(_name)) * {(100.5 - ratio) / 100.0!r}D + 1e-9D) as int)"
-            pairs = metric_candidates(open_, known, ratio, rows_per_split, **bounds).where(F.expr(f"levenshtein(name, _name, {most}) >= 0"))
-            pairs = pairs.withColumn("name_score", score).where(F.col("name_score") >= ratio)
+        # distances beyond the most edits allowed are not computed to the end
+        most = f"cast(floor(greatest(length(name), length(_name)) * {(100.5 - ratio) / 100.0!r}D + 1e-9D) as int)"
+        close = F.expr(f"levenshtein(name, _name, {most}) >= 0") & (score >= ratio)
+        if similarity == "edit" and index_from is not None and bounds["left_bound"] * bounds["right_bound"] >= index_from:
+            pairs = metric_candidates(open_, known, ratio, rows_per_split, **bounds).where(close)
+            pairs = pairs.withColumn("name_score", score)
         elif similarity == "edit":
-            pairs = salted_join(left, right, ["_len"], ["name"], ["_name"], "inner", score >= ratio, rows_per_split, heavy=True, **bounds)
+            pairs = salted_join(left, right, ["_len"], ["name"], ["_name"], "inner", close, rows_per_split, heavy=True, **bounds)
             pairs = pairs.withColumn("name_score", score)
         else:
             hopeful = blocks_bound(F.col("name"), F.col("_name")) >= ratio
@@ -429,7 +428,7 @@ def best_matches_by_name(
     weight: float = 1.0,
     similarity: str = "edit",
     rows_per_split: int = ROWS_PER_SPLIT,
-    index_from: int = INDEX_FROM,
+    index_from: int | None = INDEX_FROM,
 ) -> DataFrame:
     """Best entity by name alone for each distinct name; output ``name, matched_entity_id, matched_cell, score``.
 
