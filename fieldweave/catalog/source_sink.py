@@ -78,6 +78,24 @@ def _(fx):
     return IO.scan_transposed(sheet, "attribute", ["name", "region", "n_customers"])
 
 
+@query(
+    "SRC5_scan_result_rows",
+    """SELECT CAST(n_nationkey + 1 AS INTEGER) AS position, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region,
+      CAST((SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS VARCHAR) AS n_suppliers FROM nation""",
+)
+def _(fx):
+    """A result sheet with a column per nation whose rows are known by their numbers only."""
+    counts = fx.table("supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).cast("string").alias("193"))
+    nations = fx.table("nation").join(counts, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    wide = nations.select(
+        F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("col"), F.col("n_name").alias("21"),
+        F.col("n_regionkey").cast("string").alias("24"), F.coalesce("193", F.lit("0")).alias("193"),
+    )
+    long = wide.unpivot(["col"], ["21", "24", "193"], "row", "v").withColumn("row", F.col("row").cast("int"))
+    sheet = long.groupBy("row").pivot("col", [f"f{i}" for i in range(25)]).agg(F.max("v"))
+    return IO.scan_result_rows(sheet, {21: "name", 24: "region", 193: "n_suppliers"}, out_id="position")
+
+
 @query("SNK1_write_csv", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def _(fx):
     path = scratch_path(fx.spark, "flat")

@@ -83,6 +83,41 @@ UNITS: dict[str, tuple[str, float, float]] = {
     "days": ("time", 1.0 / 365.25, 0.0),
 }
 
+# long unit names and second symbols - fixed values.
+LONG_NAMES = {
+    "barrel_oil": "bbl",
+    "standard_cubic_foot": "scf",
+    "million_standard_cubic_feet": "MMscf",
+    "billion_standard_cubic_feet": "Bscf",
+    "trillion_standard_cubic_feet": "Tscf",
+    "thousand_standard_cubic_meters": "ksm3",
+    "million_standard_cubic_meters": "MSm3",
+    "barrels_per_day": "bpd",
+    "thousand_barrels_per_day": "kbpd",
+    "million_cubic_feet_per_day": "MMcfd",
+    "standard_cubic_feet_per_day": "scfd",
+    "pounds_per_square_inch": "psi",
+    "pascal": "Pa",
+    "kilopascal": "kPa",
+    "megapascal": "MPa",
+    "tonnes_CO2_equivalent": "t_CO2e",
+    "kilotonnes_CO2_equivalent": "kt_CO2e",
+    "megatonnes_CO2_equivalent": "Mt_CO2e",
+    "gigatonnes_CO2_equivalent": "Gt_CO2e",
+    "pounds_CO2_equivalent": "lb_CO2e",
+    "british_thermal_unit": "BTU",
+    "Btu": "BTU",
+    "million_british_thermal_units": "MMBTU",
+    "thousand_british_thermal_units": "kBTU",
+    "barrels_oil_equivalent": "boe",
+    "thousand_barrels_oil_equivalent": "kboe",
+    "million_barrels_oil_equivalent": "MMboe",
+    "tonnes_oil_equivalent": "toe",
+    "thousand_tonnes_oil_equivalent": "ktoe",
+    "million_tonnes_oil_equivalent": "Mtoe",
+}
+UNITS |= {name: UNITS[unit] for name, unit in LONG_NAMES.items()}
+
 # Spark type of each configured attribute type; a geometry travels as it came.
 SPARK_TYPES = {
     "string": "string",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,6 +157,24 @@ def scan_transposed(sheet: DataFrame, name_col: str, attributes: Sequence[str],
     return long.groupBy(out_id).agg(*picks)
 
 
+def scan_result_rows(
+    sheet: DataFrame, attributes: Mapping[int, str], row_col: str = "row", first_column: int = 1, out_id: str = "column"
+) -> DataFrame:
+    """One row per column of a result sheet whose rows are known by position only.
+
+    ``sheet`` has the row number in ``row_col`` and the cells in its other columns, counted from 1 in their order; columns
+    before ``first_column`` hold labels. ``attributes`` names the rows wanted. Output: the column's number as ``out_id``
+    and one text column per attribute, null where a cell or a row is missing; columns without a value in any are left out.
+    """
+    cells = [c for c in sheet.columns if c != row_col]
+    numbered = sheet.where(F.col(row_col).isin(*attributes)).select(
+        F.col(row_col).alias("_row"), *[F.col(f"`{c}`").cast("string").alias(str(i)) for i, c in enumerate(cells, start=1) if i >= first_column]
+    )
+    long = numbered.unpivot(["_row"], numbered.columns[1:], out_id, "_value").where(F.col("_value").isNotNull())
+    picks = [F.max(F.when(F.col("_row") == row, F.col("_value"))).alias(name) for row, name in attributes.items()]
+    return long.groupBy(F.col(out_id).cast("int").alias(out_id)).agg(*picks)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True, escape='"')
 

@@ -16,6 +16,7 @@ from fieldweave.operators import merging as M
 from fieldweave.operators import projection as P
 from fieldweave.operators.numbering import allocate_ids, dense_renumber, number_rows, running_sum
 from fieldweave.operators.skew import salted_join, with_group_totals
+from fieldweave.sources import files as IO
 
 
 def test_numbers_follow_the_order(spark):
@@ -134,6 +135,21 @@ def test_guarded_quantities(spark):
     assert [r[0] for r in labels] == ["red", "orange", "darkgreen", "0"]
 
 
+def test_long_unit_names(spark):
+    for name, unit in U.LONG_NAMES.items():
+        assert U.unit_step(name, unit) == (1.0, 0.0)
+    assert U.unit_step("barrel_oil", "m^3")[0] == pytest.approx(0.158987294928)
+    assert U.unit_step("barrels_oil_equivalent", "joule")[0] == pytest.approx(5.8e6 * 1055.06)
+
+
+def test_result_rows_by_position(spark):
+    rows = [(20, "label", "x", "no", None), (21, "Field", "unit", "marlim", "tupi"), (24, "Oil", "bbl", "100.5", None), (193, "CI", "g/MJ", "7", "8")]
+    sheet = spark.createDataFrame(rows, "row int, a string, `b.c` string, d string, e string")
+    got = IO.scan_result_rows(sheet, {21: "name", 24: "oil", 193: "ci", 500: "none"}, first_column=3).orderBy("column").collect()
+    assert [tuple(r) for r in got] == [(3, "marlim", "100.5", "7", None), (4, "tupi", None, "8", None)]
+    assert IO.scan_result_rows(sheet.limit(0), {21: "name"}).count() == 0
+
+
 def test_units(spark):
     one = spark.range(1)
     value = lambda v, a, b: one.select(U.convert(F.lit(v), a, b)).collect()[0][0]
