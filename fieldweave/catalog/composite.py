@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldweave.catalog.aggregate import AS_OF, RULES, SQL_FLARES, SQL_LOOKUP, _MODE, fields_with_old_ratio, flares_2000
-from fieldweave.catalog.base import SQL_MATCHES, num, query, rounded, sql_cells, sql_ratio
+from fieldweave.catalog.base import SQL_MATCHES, _sql_match_step, num, query, rounded, sql_cells, sql_ratio
 from fieldweave.catalog.cell import EDGE, _BANDS
 from fieldweave.fixtures import SOURCE_ORDER
 from fieldweave.functions import quantities as Q
@@ -166,6 +166,22 @@ def _(fx):
     return _match_out(matching.leave_one_out(fx.source_cell, SOURCE_ORDER, "c2021", "a2024"))
 
 
+_EACH = {"c2021": ("m2", ["b2022"]), "b2022": ("wb", ["c2021"]), "a2024": ("wa", ["b2022", "c2021"])}
+
+
+@query(
+    "PIP7_leave_each_out",
+    f"""{SQL_MATCHES}, {_sql_match_step("wbc", "c2021", "m1", 2)}, wb AS (SELECT * FROM m1 UNION ALL SELECT * FROM wbc),
+    w1 AS (SELECT row_number() OVER (ORDER BY field_id) - 1 AS entity_id, name, q, r, source_id, source_name, field_id,
+      100e0 AS score, field_id AS seq FROM src WHERE source_id = 'b2022'),
+    {_sql_match_step("wac", "c2021", "w1", 2)}, wa AS (SELECT * FROM w1 UNION ALL SELECT * FROM wac)
+    {" UNION ALL ".join(f"SELECT '{w}' AS version, t.* FROM (WITH {_sql_authoritative(m, 'a2024', o)}) t" for w, (m, o) in _EACH.items())}""",
+)
+def _(fx):
+    rows = matching.leave_each_out(fx.source_cell, SOURCE_ORDER, "a2024")
+    return rows.select("version", "entity_id", "name", "cell.q", "cell.r", "source_id", "field_id", rounded("score").alias("score"))
+
+
 @query(
     "PIP8_merge_entities",
     f"""{SQL_LOOKUP}, {_MODE},

@@ -115,3 +115,28 @@ def leave_one_out(sources: DataFrame, order: Sequence[str], without: str, author
     kept = [s for s in order if s != without]
     matches = match_all_sources(sources.where(F.col("source_id") != without), kept)
     return filter_authoritative(matches, authority_id, [s for s in kept if s != authority_id])
+
+
+def leave_each_out(sources: DataFrame, order: Sequence[str], authority_id: str) -> DataFrame:
+    """The authoritative tables of :func:`leave_one_out` for every source in turn, told apart by ``version``, the source left out.
+
+    Sources before the one left out are matched as in the full run, so their table is shared and matching runs again only
+    from the next source on. The rows serve :func:`fieldweave.plans.golden.merge_versions` as they are.
+    """
+    rows_of = lambda s: sources.where(F.col("source_id") == s)
+    out, before = None, None
+    for k, without in enumerate(order):
+        table = before
+        for rank, source_id in enumerate(order[k + 1 :], start=k + 1):
+            rows = seed_matches(rows_of(source_id)) if table is None else table.unionByName(match_sources(table, rows_of(source_id), rank=rank))
+            table = freeze(rows, "matches")
+        if table is not None:
+            others = [s for s in order if s not in (without, authority_id)]
+            one = filter_authoritative(table, authority_id, others).withColumn("version", F.lit(without))
+            out = one if out is None else out.unionByName(one)
+        if k + 1 < len(order):
+            rows = seed_matches(rows_of(without)) if before is None else before.unionByName(match_sources(before, rows_of(without), rank=k))
+            before = freeze(rows, "matches")
+    if out is None:
+        raise ValueError("leaving a source out takes two sources or more")
+    return out

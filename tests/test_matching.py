@@ -7,7 +7,7 @@ import random
 import pytest
 
 from fieldweave.operators.matching import best_matches, best_matches_by_name, choose_pivots, metric_candidates, name_needed
-from fieldweave.plans.matching import filter_authoritative, match_all_sources, match_by_name, match_version, seed_matches
+from fieldweave.plans.matching import filter_authoritative, leave_each_out, leave_one_out, match_all_sources, match_by_name, match_version, seed_matches
 
 WORDS = ["norte", "sul", "leste", "campo", "marlim", "tupi", "buzios", "lula", "albacora", "roncador", "x"]
 
@@ -185,3 +185,16 @@ def test_name_match_adopts_the_cell(spark):
     rows = {r["field_id"]: r for r in match_by_name(seeded, new).collect()}
     assert (rows[0]["entity_id"], tuple(rows[0]["cell"]), rows[0]["score"]) == (0, (5, 6), 83.0)
     assert (rows[1]["entity_id"], rows[1]["cell"], rows[1]["score"]) == (1, None, 100.0)
+
+
+def test_each_source_left_out_equals_full_reruns(spark):
+    rows = []
+    for s, seed in (("a1", 21), ("b1", 22), ("c1", 23)):
+        rows += [(s, s[0], i, i, name, cell) for i, name, cell in records(seed, 25, 0.2)]
+    table, order = source(spark, rows), ["a1", "b1", "c1"]
+    shown = ("entity_id", "name", "source_id", "field_id", "score")
+    got = [tuple(r) for r in leave_each_out(table, order, "b1").select("version", *shown).collect()]
+    want = [(w, *r) for w in order for r in leave_one_out(table, order, w, "b1").select(*shown).collect()]
+    assert {g[0] for g in got} == set(order) and sorted(got, key=str) == sorted(want, key=str)
+    with pytest.raises(ValueError):
+        leave_each_out(table, ["a1"], "a1")
