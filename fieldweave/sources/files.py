@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import types as T
 
 from fieldweave.functions import cells as C
 from fieldweave.functions import shapes as S
+from fieldweave.sources import csv_records as R
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -20,84 +20,33 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
 def scan_csv_config(
     spark: SparkSession, path: str, columns: Sequence[str] | None = None, delimiter: str = ",", encoding: str = "utf-8", header_row: int = 0
 ) -> DataFrame:
-    """CSV as text columns by configured delimiter, encoding and header line.
+    """CSV as text columns by configured delimiter, encoding and number of the header record.
 
-    Without ``columns`` every file is read by its own header line and columns meet by name: files may order them
-    differently, and a column that a file lacks is null there. Lines above the header are dropped per file by line
-    number, which needs whole files in one read task each; files with the header on top are read in splits.
+    Without ``columns`` every file is read by its own header and columns meet by name, whatever the number of layouts:
+    files may order them differently, and a column that a file lacks is null there. Fields in quotes may hold line breaks.
+    Files are read in splits. Where all share one header on top and no quote spans lines, the built-in reader does.
     """
-
-    def reader():
-        return spark.read.option("sep", delimiter).option("encoding", charset(encoding)).option("escape", '"').option("quote", '"')
-
-    def declared(names: Sequence[str]) -> str:
-        return ", ".join("`" + c.replace("`", "``") + "` string" for c in names)
-
-    if header_row == 0:
+    lines = R.file_lines(spark, path, encoding)
+    blocks = R.line_blocks(lines, delimiter)
+    if header_row == 0 and blocks.where("_opens = 1").isEmpty():
+        reader = spark.read.option("sep", delimiter).option("encoding", R.charset(encoding)).option("escape", '"').option("quote", '"')
         if columns is not None:
-            return reader().schema(declared(columns)).csv(path, header=True)
-        headers = _top_lines(spark, path, encoding)
-        lines = _distinct_headers(headers)
-        if len(lines) < 2:
-            return reader().csv(path, header=True)
-
-        def part(line: str) -> DataFrame:
-            rows = reader().schema(declared(_names(line, delimiter))).csv(path, header=True)
-            mine = headers.where(F.col("_header") == line).select("_file")
-            return rows.withColumn("_file", F.col("_metadata.file_path")).join(mine, "_file", "left_semi").drop("_file")
-    else:
-        split = F.split("value", r"\r?\n")
-        files = _whole_texts(spark, path, encoding).select(split.alias("_lines"), F.get(split, F.lit(header_row)).alias("_header"))
-        lines = [None] if columns is not None else _distinct_headers(files)
-
-        def part(line: str | None) -> DataFrame:
-            names = columns if line is None else _names(line, delimiter)
-            mine = files if line is None else files.where(F.col("_header") == line)
-            body = F.slice("_lines", F.lit(header_row + 2), F.greatest(F.size("_lines") - (header_row + 1), F.lit(0)))
-            rows = mine.select(F.explode(body).alias("_line")).where(F.trim("_line") != "")
-            parsed = F.from_csv("_line", F.lit(declared(names)), {"sep": delimiter, "escape": '"', "quote": '"'})
-            return rows.select(parsed.alias("_r")).select("_r.*")
-
-    if not lines:
+            return reader.schema(_declared(columns)).csv(path, header=True)
+        tops = lines.where("_block = 0").groupBy("_file").agg(F.min_by("value", "_n").alias("header"))
+        if len(tops.select("header").distinct().limit(2).collect()) < 2:
+            return reader.csv(path, header=True)
+    headers, body = R.records(lines, blocks, delimiter, header_row)
+    if columns is not None:
+        parsed = F.from_csv("record", F.lit(_declared(columns)), R.csv_options(delimiter))
+        return body.select(parsed.alias("_r")).select("_r.*")
+    if headers.isEmpty():
         raise ValueError(f"no header line in {path}")
-    out = part(lines[0])
-    for line in lines[1:]:
-        out = out.unionByName(part(line), allowMissingColumns=True)
-    return out
-
-
-#: Files of one input may have this many different header lines; each costs one more pass over the files.
-MAX_HEADERS = 100
-
-
-def _distinct_headers(headers: DataFrame) -> list[str]:
-    found = [r["_header"] for r in headers.where(F.col("_header").isNotNull()).select("_header").distinct().orderBy("_header").limit(MAX_HEADERS + 1).collect()]
-    if len(found) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different header lines")
-    return found
-
-
-def _top_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """First line of every file: ``_file``, ``_header``. Lines of a file's first block are numbered in order."""
-    lines = spark.read.option("sep", "\u0001").option("quote", "").option("encoding", charset(encoding)).schema("value string").csv(path)
-    numbered = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_n"))
-    return numbered.where("_start = 0").groupBy("_file").agg(F.min_by("value", "_n").alias("_header"))
-
-
-def _names(line: str, delimiter: str) -> list[str]:
-    return [c.strip() for c in next(csv.reader([line], delimiter=delimiter))]
-
-
-# Charset names as configurations spell them and as Spark knows them (fixed values).
-CHARSETS = {"utf8": "UTF-8", "latin1": "ISO-8859-1", "latin-1": "ISO-8859-1", "iso8859-1": "ISO-8859-1", "ascii": "US-ASCII"}
-
-
-def charset(encoding: str) -> str:
-    return CHARSETS.get(encoding.lower(), encoding.upper())
+    width = R.header_width(headers, delimiter)
+    return R.columns_of(body, R.header_names(headers, width, delimiter), width, delimiter)
 
 
-def _whole_texts(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(F.decode("content", charset(encoding)).alias("value"))
+def _declared(names: Sequence[str]) -> str:
+    return ", ".join("`" + c.replace("`", "``") + "` string" for c in names)
 
 
 def scan_projected(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:

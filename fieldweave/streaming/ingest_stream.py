@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -19,7 +19,8 @@ from fieldweave.functions.text import file_kind
 from fieldweave.operators.projection import align_types
 from fieldweave.plans.ingest import EntryConfig, ingest
 from fieldweave.session import freeze
-from fieldweave.sources.files import charset, latest_rows
+from fieldweave.sources import csv_records as R
+from fieldweave.sources.files import latest_rows
 
 PENDING, PROCESSING, COMPLETED, FAILED = "PENDING", "PROCESSING", "COMPLETED", "FAILED"
 STATUS_SCHEMA = "path string, data_entry_id bigint, md5 string, status string, error_message string, n_rows bigint, n_rejected bigint, attempt bigint"
@@ -80,51 +81,42 @@ class UploadStore:
         return self._read("rejects", REJECT_SCHEMA).join(done, "data_entry_id", "left_semi")
 
 
-def _cells(line: Column, width: int, delimiter: str) -> Column:
-    """Fields of one CSV line as an array."""
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    parsed = F.from_csv(line, F.lit(schema), {"sep": delimiter, "escape": '"', "quote": '"'})
-    return F.array(*[parsed[f"c{i}"] for i in range(width)])
-
-
 def process_files(store: UploadStore, files: DataFrame, config: Mapping[str, Any], as_of: str, part: str | None = None) -> None:
     """Ingest the given files (``path, content``) together and record each one's status and number of rejected rows.
 
     All tables are written below the name ``part`` (default: a new one), so a batch that is repeated under its name
     after a failure leaves nothing twice.
-    Only the widest header's number of columns and a counter come to the driver.
+    Fields in quotes may hold line breaks. Only the widest header's number of columns and a counter come to the driver.
     """
     parsed = EntryConfig.parse(config)
     attempt = store.next_attempt()
     part = f"once-{attempt}" if part is None else part
     sources = [s for s, _ in parsed.mappings]
-    raw = F.col("content").cast("string") if charset(parsed.encoding) == "UTF-8" else F.decode("content", charset(parsed.encoding))
+    name = R.charset(parsed.encoding)
+    raw = F.col("content").cast("string") if name == "UTF-8" else F.decode("content", name)
     readable = F.is_valid_utf8(raw)
-    lines = F.split(F.when(readable, raw), r"\r?\n")
-    texts = files.select("path", F.md5("content").alias("md5"), readable.alias("readable"), lines.alias("lines"))
-    texts = texts.withColumn("line", F.get("lines", F.lit(parsed.header_row)))
-
-    n_columns = F.size(F.split(F.coalesce("line", F.lit("")), f"\\Q{parsed.delimiter}\\E"))
-    width = texts.agg(F.max(n_columns)).collect()[0][0]
-    width = max(1, width or 1)
+    texts = files.select("path", F.md5("content").alias("md5"), readable.alias("readable"))
+    lines = freeze(R.text_lines(files.where(readable), "path", raw), "upload-lines")
+    headers, body = R.records(lines, R.line_blocks(lines, parsed.delimiter), parsed.delimiter, parsed.header_row, numbered=True)
+    width = R.header_width(headers, parsed.delimiter)
+    names = R.header_names(headers, width, parsed.delimiter).withColumnsRenamed({"_file": "path", "names": "header"})
+    headed = texts.join(names, "path", "left")
     missing = F.array_except(F.array(*[F.lit(s) for s in sources]), F.col("header"))
     kind = file_kind(F.element_at(F.split("path", "/"), -1))
     error = (
         F.when(kind.isNull() | (kind != "csv"), F.concat(F.lit("Unsupported file extension: "), F.coalesce(kind, F.lit("none"))))
         .when(~F.col("readable"), F.lit(f"Processing error: not {parsed.encoding}"))
-        .when(F.col("line").isNull(), F.lit("Processing error: no header line"))
+        .when(F.col("header").isNull(), F.lit("Processing error: no header line"))
         .when(F.size(missing) > 0, F.concat(F.lit("Missing source attributes in data: "), F.array_join(missing, ", ")))
     )
-    headed = texts.withColumn("header", F.transform(F.coalesce(_cells(F.col("line"), width, parsed.delimiter), F.array()), F.trim))
     entry = F.conv(F.substring("md5", 1, 15), 16, 10).cast("bigint")
     states = freeze(headed.select("path", "md5", entry.alias("data_entry_id"), error.alias("error_message")), "states")
     started = states.select("path", "data_entry_id", "md5", F.lit(PROCESSING).alias("status"), F.lit(None).cast("string").alias("error_message"), F.lit(None).cast("bigint").alias("n_rows"), F.lit(None).cast("bigint").alias("n_rejected"), F.lit(attempt).cast("bigint").alias("attempt"))
     store.write(started, "status", f"{part}-started")
 
     good = states.where("error_message is null").select("path", "data_entry_id")
-    body = F.slice("lines", F.lit(parsed.header_row + 2), F.greatest(F.size("lines") - (parsed.header_row + 1), F.lit(0)))
-    rows = headed.join(good, "path").select("data_entry_id", "header", F.posexplode(body).alias("line_no", "text")).where(F.trim("text") != "")
-    cells = rows.withColumn("cells", _cells(F.col("text"), width, parsed.delimiter))
+    rows = body.withColumnRenamed("_file", "path").join(headed.select("path", "header").join(good, "path"), "path")
+    cells = rows.select("data_entry_id", "header", "line_no", R.cells(F.col("record"), width, parsed.delimiter).alias("cells"))
     named = cells.select(
         "data_entry_id", "line_no", *[F.get("cells", (F.array_position("header", s) - 1).cast("int")).alias(s) for s in sources]
     )

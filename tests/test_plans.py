@@ -265,6 +265,16 @@ def test_upload_stream(spark, tmp_path):
     assert status["b.csv"] == COMPLETED and status["c.txt"] == FAILED
 
 
+def test_stream_keeps_line_breaks_in_quotes(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    write(inbox / "a.csv", "made\nf;land;d\n\"Tupi\nSul\";BR;100\n\nIara;BR;x\n")
+    store = UploadStore(spark, str(tmp_path / "store"))
+    ingest_stream(spark, str(inbox), store, CONFIG, "2024-01-02", str(tmp_path / "state")).awaitTermination()
+    assert [r["name"] for r in store.fields().where("depth is not null").collect()] == ["Tupi\nSul"]
+    assert [r["line_no"] for r in store.rejects().collect()] == [3]
+
+
 def test_interrupted_batch_leaves_nothing_twice(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
