@@ -51,7 +51,7 @@ def ring_edges(ring: Column) -> Column:
     return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
-def _part_edges(part: Column) -> Column:
+def part_edges(part: Column) -> Column:
     return F.flatten(F.transform(part, ring_edges))
 
 
@@ -77,15 +77,17 @@ def _crosses(edge: Column, x: Column, y: Column) -> Column:
     return ((a["y"] > y) != (b["y"] > y)) & F.when(up, _side(edge, x, y) > 0).otherwise(_side(edge, x, y) < 0)
 
 
+def point_in_edges(x: Column, y: Column, edges: Column) -> Column:
+    """Strictly inside the rings these edges form; edges that do not reach the height of the point may be left out."""
+    odd = F.aggregate(edges, F.lit(False), lambda acc, e: acc != _crosses(e, x, y))
+    return odd & ~F.exists(edges, lambda e: _on_edge(e, x, y))
+
+
 def point_in_shape(x: Column, y: Column, shape: Column) -> Column:
     """Strictly inside: even-odd over the rings of a part, any part; boundary points are outside."""
 
-    def in_edges(edges: Column) -> Column:
-        odd = F.aggregate(edges, F.lit(False), lambda acc, e: acc != _crosses(e, x, y))
-        return odd & ~F.exists(edges, lambda e: _on_edge(e, x, y))
-
     def in_part(part: Column) -> Column:
-        return _let(_part_edges(part), in_edges)
+        return _let(part_edges(part), lambda edges: point_in_edges(x, y, edges))
 
     return F.coalesce(F.exists(shape, in_part), F.lit(False))
 
@@ -101,7 +103,7 @@ def edge_distance(x: Column, y: Column, shape: Column) -> Column:
         ex, ey = x - a["x"] - t * dx, y - a["y"] - t * dy
         return ex * ex + ey * ey
 
-    edges = F.flatten(F.transform(shape, _part_edges))
+    edges = F.flatten(F.transform(shape, part_edges))
     return F.sqrt(F.array_min(F.transform(edges, squared)))
 
 
@@ -156,8 +158,8 @@ def shape_in_shape(inner: Column, outer: Column) -> Column:
     Inner edges are cut where they meet outer ones, and every piece must be covered. Outer edges that run inside the
     inner shape must be covered on both sides: an edge that two parts share is, the rim of a hole is not.
     """
-    inner_edges = F.flatten(F.transform(inner, _part_edges))
-    outer_edges = F.flatten(F.transform(outer, _part_edges))
+    inner_edges = F.flatten(F.transform(inner, part_edges))
+    outer_edges = F.flatten(F.transform(outer, part_edges))
     corners = F.forall(vertices(inner), lambda v: _covered(v["x"], v["y"], outer))
 
     def pieces(mine: Column, theirs: Column) -> Column:

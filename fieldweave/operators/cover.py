@@ -15,7 +15,9 @@ from fieldweave.functions import shapes as S
 from fieldweave.operators.skew import salted_join, shuffle_partitions
 from fieldweave.session import freeze
 
-_ROWS_PER_CHUNK = 256  # cell rows of one shape handled together
+_ROWS_PER_BAND = 32  # cell rows of one shape handled together
+# How far from an edge, in degrees, a cell centre is tested exactly: far above rounding, far below the size of a cell.
+_UNSURE = 1e-9
 
 
 def ring(df: DataFrame, id_col: str, cell_col: str, k: int) -> DataFrame:
@@ -23,32 +25,88 @@ def ring(df: DataFrame, id_col: str, cell_col: str, k: int) -> DataFrame:
     return df.select(id_col, F.explode(C.cell_ring(F.col(cell_col), k)).alias(cell_col)).distinct()
 
 
+def _runs(xs: Column, left: Column) -> Column:
+    """Stretches between every two crossings; what lies left of an odd one (an open ring) counts from ``left`` on."""
+    even = F.when(F.size(xs) % 2 == 1, F.concat(F.array(left), xs)).otherwise(xs)
+    pairs = F.filter(F.transform(even, lambda x, i: F.struct(x.alias("lo"), F.get(even, i + 1).alias("hi"), i.alias("i"))), lambda p: p["i"] % 2 == 0)
+    return F.transform(pairs, lambda p: F.struct(p["lo"].alias("lo"), p["hi"].alias("hi")))
+
+
+def _apart(ranges: Column) -> Column:
+    """Ranges ``struct<lo,hi>`` of whole numbers cut so that none overlaps another."""
+
+    def add(acc: Column, r: Column) -> Column:
+        start = F.greatest(r["lo"], F.coalesce(F.get(acc, F.size(acc) - 1)["hi"] + 1, r["lo"]))
+        return F.when(start > r["hi"], acc).otherwise(F.concat(acc, F.array(F.struct(start.alias("lo"), r["hi"].alias("hi")))))
+
+    return F.aggregate(F.array_sort(ranges), F.array().cast("array<struct<lo:bigint,hi:bigint>>"), add)
+
+
 def cover(df: DataFrame, id_col: str, shape_col: str, edge_deg: float = C.DEFAULT_EDGE) -> DataFrame:
-    """Cells whose centre lies inside the shape.
+    """Cells whose centre lies inside the shape: a scan-line fill.
 
-    A shape is first cut into bands of cell rows and the bands are spread over tasks, so one huge shape is
-    not enumerated by one task. Within a row only the columns inside the bounding box are tried.
+    A shape is cut into bands of cell rows, each with the edges that reach it, and the bands are spread over tasks. In a
+    row the sorted crossings of the edges give runs of cells, so nothing outside is made. Only centres as near to an edge
+    as rounding could decide are tested one by one.
     """
-    row_height, col_width = edge_deg * 1.5, edge_deg * math.sqrt(3.0)
+    row_height, col_width, near = edge_deg * 1.5, edge_deg * math.sqrt(3.0), F.lit(_UNSURE)
     box = F.col("_box")
-    bands = (
+    y_of = lambda r: r * F.lit(row_height)
+
+    def reaching(edges: Column, low: Column, high: Column) -> Column:
+        a, b = (lambda e: e["a"]["y"]), (lambda e: e["b"]["y"])
+        return F.filter(edges, lambda e: (F.greatest(a(e), b(e)) >= low - near) & (F.least(a(e), b(e)) <= high + near))
+
+    shapes = (
         df.select(id_col, F.col(shape_col).alias("_shape"))
         .where(F.col("_shape").isNotNull())
-        .withColumn("_box", S.bounds(F.col("_shape")))
+        .select(id_col, S.bounds(F.col("_shape")).alias("_box"), F.transform("_shape", S.part_edges).alias("_edges"))
         .withColumn("_r0", F.ceil(box["ymin"] / F.lit(row_height)).cast("bigint"))
         .withColumn("_r1", F.floor(box["ymax"] / F.lit(row_height)).cast("bigint"))
         .where("_r1 >= _r0")
-        .withColumn("_from", F.explode(F.sequence(F.col("_r0"), F.col("_r1"), F.lit(_ROWS_PER_CHUNK))))
-        .repartition(shuffle_partitions(df), id_col, "_from")
     )
-    rows = bands.withColumn("_r", F.explode(F.sequence("_from", F.least(F.col("_r1"), F.col("_from") + _ROWS_PER_CHUNK - 1))))
-    half_row = F.col("_r") * F.lit(0.5)
-    q0 = F.ceil(box["xmin"] / F.lit(col_width) - half_row).cast("bigint")
-    q1 = F.floor(box["xmax"] / F.lit(col_width) - half_row).cast("bigint")
-    cells = rows.where(q1 >= q0).withColumn("_q", F.explode(F.sequence(q0, q1)))
+    bands = shapes.withColumn("_from", F.explode(F.sequence(F.col("_r0"), F.col("_r1"), F.lit(_ROWS_PER_BAND))))
+    to = F.least(F.col("_r1"), F.col("_from") + _ROWS_PER_BAND - 1)
+    within = F.transform("_edges", lambda edges: reaching(edges, y_of(F.col("_from")), y_of(to)))
+    bands = bands.select(id_col, "_from", to.alias("_to"), box["xmin"].alias("_left"), F.filter(within, lambda edges: F.size(edges) > 0).alias("_edges"))
+    bands = bands.repartition(shuffle_partitions(df), id_col, "_from")
+
+    rows = bands.withColumn("_r", F.explode(F.sequence("_from", "_to")))
+    y, shift = y_of(F.col("_r")), F.col("_r") * F.lit(0.5)
+    rows = rows.select(id_col, "_r", "_left", F.transform("_edges", lambda edges: reaching(edges, y, y)).alias("_edges"))
+
+    def columns(lo: Column, hi: Column) -> Column:
+        first = F.ceil(lo / F.lit(col_width) - shift).cast("bigint")
+        return F.struct(first.alias("lo"), F.floor(hi / F.lit(col_width) - shift).cast("bigint").alias("hi"))
+
+    def at(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        return a["x"] + (y - a["y"]) * F.try_divide(b["x"] - a["x"], b["y"] - a["y"])
+
+    def crossings(edges: Column) -> Column:
+        return F.array_sort(F.transform(F.filter(edges, lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y)), at))
+
+    def doubtful(e: Column) -> Column:
+        """Stretch around a crossing or an end; the whole of an edge that lies in the row."""
+        a, b = e["a"], e["b"]
+        low, high = F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])
+        wide = near * (F.lit(1.0) + F.abs(F.try_divide(b["x"] - a["x"], b["y"] - a["y"])))
+        x = F.greatest(low, F.least(high, at(e)))
+        flat = F.abs(a["y"] - b["y"]) <= near
+        return columns(F.when(flat, low - near).otherwise(x - wide), F.when(flat, high + near).otherwise(x + wide))
+
+    some = lambda ranges: F.filter(ranges, lambda r: r["lo"] <= r["hi"])
+    runs = F.flatten(F.transform("_edges", lambda edges: F.transform(_runs(crossings(edges), F.col("_left")), lambda s: columns(s["lo"], s["hi"]))))
+    unsure = F.flatten(F.transform("_edges", lambda edges: F.transform(edges, doubtful)))
+    filled = rows.select(id_col, "_r", "_edges", some(runs).alias("_runs"), some(unsure).alias("_unsure"))
+    ranges = filled.select(id_col, "_r", "_edges", "_unsure", F.explode(_apart(F.concat("_runs", "_unsure"))).alias("_s"))
+    ranges = ranges.withColumn("_edges", F.when(F.size("_unsure") > 0, F.col("_edges")))
+    cells = ranges.withColumn("_q", F.explode(F.sequence("_s.lo", "_s.hi")))
     cell = F.struct(F.col("_q").alias("q"), F.col("_r").alias("r"))
-    inside = S.point_in_shape(C.cell_center_x(cell, edge_deg), C.cell_center_y(cell, edge_deg), F.col("_shape"))
-    return cells.where(inside).select(id_col, cell.alias("cell"))
+    x = C.cell_center_x(cell, edge_deg)
+    sure = ~F.exists("_unsure", lambda r: F.col("_q").between(r["lo"], r["hi"]))
+    exact = F.exists("_edges", lambda edges: S.point_in_edges(x, C.cell_center_y(cell, edge_deg), edges))
+    return cells.where((F.size("_unsure") == 0) | sure | F.coalesce(exact, F.lit(False))).select(id_col, cell.alias("cell"))
 
 
 def points_to_cells(

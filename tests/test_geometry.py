@@ -205,6 +205,28 @@ def test_cover_equals_brute_force(spark):
     assert got == want
 
 
+def test_cover_of_awkward_shapes(spark):
+    """Edges and corners through cell centres, flat edges on a row, holes, parts that overlap or repeat, an open ring."""
+    edge = 1.0
+    h, w = 1.5, math.sqrt(3.0)
+    at = lambda q, r: {"x": (q + r * 0.5) * (edge * w), "y": r * (edge * h)}
+    ring = lambda *cells: [at(*c) for c in (*cells, cells[0])]
+    block, hole = ring((0, 0), (9, 0), (4, 10), (-5, 10)), ring((1, 2), (5, 2), (3, 6), (-1, 6))
+    shifted = [{"x": v["x"] + 0.3, "y": v["y"] + 0.4} for v in block]
+    star = ring((0, 0), (4, 3), (9, 0), (4, 5), (4, 10), (1, 5))
+    shapes = [
+        (1, [[block]]), (2, [[block, hole]]), (3, [[block], [shifted], [block]]), (4, [[shifted, hole], [hole]]), (5, [[star]]),
+        (6, [[star[:-1]]]), (7, [[ring((3, 3))]]), (8, [[ring((0, 4), (9, 4))]]), (9, []), (10, None), (11, [[block, block]]),
+    ]
+    df = spark.createDataFrame(shapes, SHAPE)
+    rows = [(r["id"], r["cell"]["q"], r["cell"]["r"]) for r in V.cover(df, "id", "shape", edge).collect()]
+    grid = spark.range(-12, 24).select(F.col("id").alias("q")).crossJoin(spark.range(-2, 14).select(F.col("id").alias("r")))
+    cell = F.struct("q", "r")
+    boxed = df.crossJoin(grid).where(C.cell_center_x(cell, edge) >= S.bounds(F.col("shape"))["xmin"])  # an open ring has no left side
+    tested = boxed.where(S.point_in_shape(C.cell_center_x(cell, edge), C.cell_center_y(cell, edge), F.col("shape")))
+    assert sorted(rows) == sorted(tuple(r) for r in tested.select("id", "q", "r").collect()) and {r[0] for r in rows} >= {1, 2, 3, 4, 5, 6}
+
+
 def test_hull(spark):
     rows = [(0, [[ring((0, 0), (2, 0), (1, 0.5), (2, 2), (0, 2), (1, 1))]]), (1, [[ring((1, 1))]]), (2, None)]
     got = {r["id"]: r["h"] for r in spark.createDataFrame(rows, SHAPE).select("id", V.convex_hull(F.col("shape")).alias("h")).collect()}
