@@ -6,7 +6,7 @@ by walking back, grows byte by byte without redoing anything, and after an edit
 old table again.
 
 Null and empty texts have no tokens. Repeated pieces are encoded once per task and looked up afterwards; the lookup
-table holds two generations of at most ``CACHE`` pieces of at most ``CACHED_CHARS`` characters, which bounds memory, and
+table holds two generations of at most ``pieces`` (default ``CACHE``) pieces of at most ``CACHED_CHARS`` characters, which bounds memory, and
 longer ones are encoded each time they occur. Extra columns of the documents pass only where named in ``keep``.
 """
 
@@ -21,7 +21,7 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from fieldweave.llm.common import scan_texts
+from fieldweave.llm.common import release_memory, scan_texts
 from fieldweave.llm.segments import cut, peel
 
 CACHE = 360_000
@@ -184,9 +184,10 @@ class PrefixTable:
 class Encoder:
     """Texts to ids and back, with a bounded table of pieces seen before."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pieces: int = CACHE):
         import regex
 
+        self.room = pieces
         self.vocabulary = Vocabulary(ranks)
         self.pieces = regex.compile(pattern)
         self.peels = pattern == _CUT_PATTERN
@@ -248,7 +249,7 @@ class Encoder:
 
     def _keep(self, segment: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(segment) <= CACHED_CHARS:
-            if len(self.seen) >= CACHE:
+            if len(self.seen) >= self.room:
                 self.before, self.seen = self.seen, {}
             self.seen[segment] = ids
         return ids
@@ -280,24 +281,26 @@ class Encoder:
 _CUT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[str, str, int], Encoder] = {}
 
 
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, pieces: int = CACHE) -> Encoder:
     """One encoder per Python worker, shared by its tasks."""
-    if (path, pattern) not in _encoders:
-        _encoders[(path, pattern)] = Encoder(read_ranks(path), pattern)
-    return _encoders[(path, pattern)]
+    key = (path, pattern, pieces)
+    if key not in _encoders:
+        release_memory()
+        _encoders[key] = Encoder(read_ranks(path), pattern, pieces)
+    return _encoders[key]
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: Sequence[str] = ("doc_id",), ids: bool = True, digests: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: Sequence[str] = ("doc_id",), ids: bool = True, digests: bool = False, pieces: int = CACHE) -> DataFrame:
     """``keep`` and, of every whole text, ``n_tokens``, the token ``ids``, and with ``digests`` the SHA-256 of the decimal
-    ids joined by spaces and of the bytes decoded from the ids."""
+    ids joined by spaces and of the bytes decoded from the ids. ``pieces`` bounds the table of pieces seen before: memory against time."""
     fields = [("n_tokens", T.LongType())]
     fields += [("ids", T.ArrayType(T.IntegerType()))] * ids + [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] * digests
 
     def make():
-        e = encoder(path, pattern)
+        e = encoder(path, pattern, pieces)
         names = {r: str(r) for r in e.vocabulary.bytes} if digests else {}
 
         def turn(texts, _):

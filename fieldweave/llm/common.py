@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator, Sequence
 
@@ -109,6 +111,15 @@ def scan_texts(
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)], *[F.col(f"_r{i}").alias(n) for i, (n, _) in enumerate(added)])
 
 
+def release_memory() -> None:
+    """Gives the memory that earlier tasks of this Python worker left unused back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def share_package(spark: SparkSession) -> None:
     """Lets Python workers find this package where it is not installed but lies at the same path as here."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
