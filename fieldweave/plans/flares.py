@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.functions.quantities import SCF_PER_BCM
 from fieldweave.functions.text import month_number
-from fieldweave.operators.skew import salted_join, with_group_totals
+from fieldweave.operators.skew import with_group_totals
 from fieldweave.operators.spatial_join import point_shape_pairs
 from fieldweave.session import freeze
 
@@ -47,20 +47,20 @@ def renormalize(rows: DataFrame, keys: list[str], row_ids: list[str], weight: st
 
 
 def located(flares: DataFrame, fields: DataFrame, buffer_deg: float) -> DataFrame:
-    """``id, field_id, oil_prod, interior``: fields around each flare, the buffer only for flares inside none.
+    """``lon, lat, field_id, oil_prod, interior``: fields around each distinct position, the buffer only for positions
+    inside none.
 
-    Shapes are tested once per distinct position, however many flares share it; one join finds the fields that hold a
-    position and those near it. ``flares`` should be stored, it is read more than once.
+    Whatever depends on the position alone is worked out here once, however many flares share it; one join finds the
+    fields that hold a position and those near it. ``flares`` should be stored, it is read more than once.
     """
     places = freeze(flares.select("lon", "lat").where("lon is not null and lat is not null").distinct(), "places")
     targets = fields.select("field_id", "oil_prod", "shape").where("shape is not null")
     keep = ["lon", "lat", "field_id", "oil_prod", "interior"]
-    around = point_shape_pairs(places, targets, ["lon", "lat"], distance=buffer_deg, point_bound=places.count()).select(*keep)
+    around = point_shape_pairs(places, targets, ["lon", "lat"], distance=buffer_deg).select(*keep)
     around = freeze(around, "around")
     inside = around.where("interior")
     near = around.where("NOT interior").join(inside.select("lon", "lat").distinct(), ["lon", "lat"], "left_anti")
-    pairs = salted_join(flares.select("id", "lon", "lat"), inside.unionByName(near), ["lon", "lat"], ["id"], None, "inner", left_bound=flares.count())
-    return freeze(pairs.select("id", "field_id", "oil_prod", "interior"), "located")
+    return inside.unionByName(near)
 
 
 def production_or_one(oil: Column) -> Column:
@@ -77,15 +77,16 @@ def attribute_flares(
     """
     flares = freeze(flares.select("id", "lon", "lat", "bcm"), "flares")
     pairs = located(flares, fields, buffer_deg)
-    weighted = share_of_group(pairs, ["id"], "oil_prod", ["field_id"]).join(flares.select("id", "bcm"), "id")
+    at_place = flares.where("id is not null").groupBy("lon", "lat").agg(F.sum("bcm").alias("bcm"))
+    weighted = share_of_group(pairs, ["lon", "lat"], "oil_prod", ["field_id"]).join(at_place, ["lon", "lat"])
     volumes = weighted.groupBy("field_id").agg(F.coalesce(F.sum(F.col("bcm") * F.col("weight")), F.lit(0.0)).alias("flare_bcm"))
     old = F.col("for_value") if "for_value" in fields.columns else F.lit(None).cast("double")
     ratio = F.col("flare_bcm") * F.lit(SCF_PER_BCM) / (production_or_one(F.col("oil_prod")) * F.lit(DAYS))
     out = fields.withColumn("for_value", old).join(volumes, "field_id", "left")
     out = out.withColumn("for_value", F.coalesce(ratio, F.col("for_value")))
 
-    ids = pairs.where("interior").select("id").distinct()
-    initial = flares.join(ids, "id", "left_semi").agg(F.sum("bcm")).scalar()
+    inside = pairs.where("interior").select("lon", "lat").distinct()
+    initial = at_place.join(inside, ["lon", "lat"], "left_semi").agg(F.sum("bcm")).scalar()
     back = F.sum(production_or_one(F.col("oil_prod")) * F.col("for_value")) * F.lit(DAYS) / F.lit(SCF_PER_BCM)
     final = out.agg(back).scalar()
     total = flares.agg(F.sum("bcm").alias("total"))
@@ -100,27 +101,45 @@ def months_of(fields: DataFrame) -> DataFrame:
     return fields.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
 
 
-def monthly_weights(flares: DataFrame, fields: DataFrame, buffer_deg: float = 0.05) -> DataFrame:
-    """``id, month, field_id, bcm, weight`` with weights adding up to one per flare and month.
+def _monthly(flares: DataFrame, fields: DataFrame, buffer_deg: float) -> tuple[DataFrame, DataFrame]:
+    """The flares of each month with their position and volume, and the weights of the fields around each position, which
+    add up to one.
 
-    A flare counts where it was in the month; each distinct position is joined to shapes once. A flare that was inside
-    a field in any month is not looked for around fields in the others.
+    A flare counts where it was in the month. A flare that was inside a field in any month is not looked for around fields
+    in the others, so such rows are left out.
     """
-    at = ["id", "month", "lon", "lat"]
     monthly = flares.groupBy("id", month_number(F.col("month")).alias("month"), "lon", "lat").agg(F.sum("bcm").alias("bcm"))
     monthly = freeze(monthly, "flares")
-    pairs = located(monthly.select(F.struct(*at).alias("id"), "lon", "lat"), fields, buffer_deg)
-    pairs = pairs.select("id.*", "field_id", "oil_prod", "interior")
-    inside = pairs.where("interior")
-    pairs = inside.unionByName(pairs.where("not interior").join(inside.select("id").distinct(), "id", "left_anti"))
-    rows = share_of_group(monthly.join(pairs, at), at, "oil_prod", ["field_id"])
-    return renormalize(rows, at, ["field_id"])
+    pairs = located(monthly, fields, buffer_deg)
+    place = ["lon", "lat"]
+    weights = renormalize(share_of_group(pairs, place, "oil_prod", ["field_id"]), place, ["field_id"])
+    # a position has interior fields or near ones, never both
+    kinds = pairs.select(*place, "interior").distinct()
+    rows = monthly.join(kinds, place)
+    ever = rows.where("interior").select("id").distinct()
+    rows = rows.where("interior").unionByName(rows.where("not interior").join(ever, "id", "left_anti"))
+    rows = rows.where("id is not null and month is not null").select("id", "month", *place, "bcm")
+    return rows, weights.select(*place, "field_id", "oil_prod", "interior", "weight")
+
+
+def monthly_weights(flares: DataFrame, fields: DataFrame, buffer_deg: float = 0.05) -> DataFrame:
+    """``id, month, field_id, bcm, weight`` with weights adding up to one per flare and month.
+
+    A flare counts where it was in the month; each distinct position is joined to shapes, and its weights worked out, once.
+    """
+    rows, weights = _monthly(flares, fields, buffer_deg)
+    return rows.join(weights, ["lon", "lat"]).select(*rows.columns, "field_id", "oil_prod", "interior", "weight")
 
 
 def attribute_flares_monthly(flares: DataFrame, fields: DataFrame, buffer_deg: float = 0.05) -> DataFrame:
-    """Flare volume per field and month, zero where there is none."""
-    rows = monthly_weights(flares, fields, buffer_deg)
-    volumes = rows.groupBy("field_id", "month").agg(F.sum(F.col("bcm") * F.col("weight")).alias("_volume"))
+    """Flare volume per field and month, zero where there is none.
+
+    Volumes are summed per position and month before they meet the fields around the position.
+    """
+    rows, weights = _monthly(flares, fields, buffer_deg)
+    at_place = rows.groupBy("lon", "lat", "month").agg(F.sum("bcm").alias("bcm"))
+    shared = at_place.join(weights, ["lon", "lat"])
+    volumes = shared.groupBy("field_id", "month").agg(F.sum(F.col("bcm") * F.col("weight")).alias("_volume"))
     grid = months_of(fields.select("field_id", "name"))
     return grid.join(volumes, ["field_id", "month"], "left").select(
         "field_id", "name", "month", F.coalesce("_volume", F.lit(0.0)).alias("flare_volume")
