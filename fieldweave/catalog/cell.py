@@ -11,6 +11,7 @@ from fieldweave.functions import cells as C
 from fieldweave.functions import shapes as S
 from fieldweave.operators import cover as V
 from fieldweave.operators.spatial_join import point_shape_join, shape_shape_join
+from fieldweave.session import freeze
 
 EDGE = 0.047  # coarse cells for the covers of the one-degree rectangles
 _W, _H = num(EDGE * math.sqrt(3.0)), num(EDGE * 1.5)
@@ -71,20 +72,23 @@ _NEAR = """SELECT f.id, greatest(abs(f.lon - g.lon) - g.half, 0) AS dx, greatest
   FROM (SELECT DISTINCT id, lon, lat FROM fx_flare) f JOIN fx_field g ON abs(f.lon - g.lon) < g.half + 1 AND abs(f.lat - g.lat) < g.half + 1"""
 
 
-def _flare_points(fx):
-    return fx.flare.select("id", "lon", "lat").distinct()
+def _shapes_around(fx, out, distance=0.0):
+    """How many fields lie around each flare, counted once per position and outline."""
+    points = freeze(fx.flare.select("id", "lon", "lat").distinct(), "points")
+    outlines = fx.field_shape.groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
+    pairs = point_shape_join(points.select("lon", "lat").distinct(), outlines, ["lon", "lat"], distance=distance)
+    counts = pairs.groupBy("lon", "lat").agg(F.sum("n").alias("n"))
+    return points.join(counts, ["lon", "lat"]).groupBy("id").agg(F.sum("n").alias(out))
 
 
 @query("GEO6_point_in_shape", f"SELECT id, count(*) AS n_inside FROM ({_NEAR}) WHERE inside GROUP BY id")
 def _(fx):
-    pairs = point_shape_join(_flare_points(fx), fx.field_shape.select("field_id", "shape"), "id")
-    return pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n_inside"))
+    return _shapes_around(fx, "n_inside")
 
 
 @query("GEO7_point_in_buffered_shape", f"SELECT id, count(*) AS n_near FROM ({_NEAR}) WHERE sqrt(dx * dx + dy * dy) < 0.05e0 GROUP BY id")
 def _(fx):
-    pairs = point_shape_join(_flare_points(fx), fx.field_shape.select("field_id", "shape"), "id", distance=0.05)
-    return pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n_near"))
+    return _shapes_around(fx, "n_near", 0.05)
 
 
 _BANDS = """SELECT r_name || side AS name, -30e0 + r_regionkey * 2e0 AS south, CASE side WHEN '_Mar' THEN -60e0 ELSE -55e0 END AS west

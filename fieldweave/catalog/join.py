@@ -85,10 +85,7 @@ def _(fx):
     WHERE NOT EXISTS (SELECT 1 FROM fx_field g WHERE {_INSIDE})""",
 )
 def _(fx):
-    flares = freeze(_flares(fx), "flares")
-    n = flares.count()
-    inside = point_shape_join(flares, _targets(fx), "id", point_bound=n).select("id")
-    rest = flares.join(inside, "id", "left_anti")
+    rest = point_shape_join(_flares(fx), _targets(fx), "id", "left_anti")
     return point_shape_join(rest, _targets(fx), "id", "left", distance=0.05).select("id", "field_id")
 
 

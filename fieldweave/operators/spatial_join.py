@@ -75,6 +75,39 @@ def shape_cells(df: DataFrame, shape: str, distance: float = 0.0) -> DataFrame:
     return cells.withColumn("_walk", F.when(~F.col("_full"), F.col(shape))).drop("_far", "_in")
 
 
+def _numbered_shapes(fields: DataFrame, shape: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct shapes, stored, with a number (``_sid``) and how many rows have them (``_n``), and ``fields`` with the
+    number of their shape."""
+    shapes = fields.where(F.col(shape).isNotNull()).groupBy(F.col(shape).alias("_shape")).agg(F.count(F.lit(1)).alias("_n"))
+    shapes = freeze(shapes.withColumn("_sid", F.monotonically_increasing_id()), "shapes")
+    return shapes, fields.join(shapes.select("_shape", "_sid"), F.col(shape) == F.col("_shape")).drop("_shape")
+
+
+def place_shape_hits(places: DataFrame, shapes: DataFrame, x: str, y: str, distance: float, rows_per_split: int, place_bound: int | None) -> DataFrame:
+    """``x, y, _sid, interior`` of distinct positions and distinct shapes: which shape strictly contains a position or is
+    nearer to it than ``distance``.
+
+    A position looks up one cell per level in use, at most ``MAX_LEVEL + 1``; a pair is met once. Crowded cells are split on
+    both sides. The cells are stored once; their levels and number are known before the join.
+    """
+    cells = freeze(shape_cells(shapes.select("_sid", "_shape"), "_shape", distance).drop("_shape"), "cells")
+    levels = {r["_lv"]: r["n"] for r in cells.groupBy("_lv").agg(F.count(F.lit(1)).alias("n")).collect()}
+    px, py, s = F.col(x), F.col(y), F.col("_walk")
+    probes = F.array(*[F.lit(v) for v in sorted(levels)]).cast("array<int>")
+    left = places.withColumn("_lv", F.explode(probes)).withColumn("_bx", _cell(px, F.col("_lv"))).withColumn("_by", _cell(py, F.col("_lv")))
+    boxed = F.col("_full") | _in_box(px, py, F.col("_box"), distance)
+    met = salted_join(
+        left, cells, ["_lv", "_bx", "_by"], [x, y], ["_sid"], "inner", boxed, rows_per_split, heavy=True,
+        left_bound=place_bound, right_bound=sum(levels.values()),
+    )
+    met = met.withColumn("interior", F.col("_full") | S.point_in_shape(px, py, s))
+    if distance:
+        met = met.where(F.col("interior") | F.coalesce(F.when(~F.col("interior"), S.edge_distance(px, py, s) < F.lit(distance)), F.lit(False)))
+    else:
+        met = met.where("interior")
+    return met.select(x, y, "_sid", "interior")
+
+
 def point_shape_pairs(
     points: DataFrame,
     fields: DataFrame,
@@ -84,32 +117,32 @@ def point_shape_pairs(
     shape: str = "shape",
     distance: float = 0.0,
     rows_per_split: int = ROWS_PER_SPLIT,
-    point_bound: int | None = None,
+    how: str = "inner",
 ) -> DataFrame:
     """Points with the shapes that strictly contain them or are nearer than ``distance``, and whether they contain them
     (``interior``).
 
-    A point looks up one cell per level in use, at most ``MAX_LEVEL + 1``; a pair is met once. Crowded cells are split on
-    both sides. The cells are stored once; their levels and number are known before the join.
+    Positions that several points share are tested once, and so are shapes that several rows share; what lies where is
+    then brought to the points by their position. ``points`` should be stored, it is read twice. ``left`` keeps points
+    near no shape, ``left_anti`` keeps only these. Positions shared by more points than a task may hold are split.
     """
     ids = [point_id] if isinstance(point_id, str) else list(point_id)
-    cells = freeze(shape_cells(fields, shape, distance), "cells")
-    levels = {r["_lv"]: r["n"] for r in cells.groupBy("_lv").agg(F.count(F.lit(1)).alias("n")).collect()}
-    px, py, s = F.col(x), F.col(y), F.col("_walk")
-    probes = F.array(*[F.lit(v) for v in sorted(levels)]).cast("array<int>")
-    left = points.withColumn("_lv", F.explode(probes)).withColumn("_bx", _cell(px, F.col("_lv"))).withColumn("_by", _cell(py, F.col("_lv")))
+    places = freeze(points.groupBy(x, y).agg(F.count(F.lit(1)).alias("_n")), "places")
+    most = places.agg(F.count(F.lit(1)).alias("places"), F.max("_n").alias("points")).first()
+    shapes, keyed = _numbered_shapes(fields, shape)
+    located = places.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    hits = place_shape_hits(located, shapes, x, y, distance, rows_per_split, most["places"])
+    if how == "left_anti":
+        around = hits.select(x, y).distinct()
+        return salted_join(points, around, [x, y], ids, None, how, None, rows_per_split, null_safe=True, left_bound=most["points"] or 0)
+    around = hits.join(keyed, "_sid").drop("_sid")
     hashable = [c for c, t in fields.dtypes if not t.startswith("map")]
-    boxed = F.col("_full") | _in_box(px, py, F.col("_box"), distance)
-    met = salted_join(
-        left, cells, ["_lv", "_bx", "_by"], ids, hashable, "inner", boxed, rows_per_split, heavy=True,
-        left_bound=point_bound, right_bound=sum(levels.values()),
+    bound = shapes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
+    # few points may make many pairs: the left side keeps all its partitions
+    return salted_join(
+        points, around, [x, y], ids, hashable, how, None, rows_per_split, null_safe=True, heavy=True,
+        left_bound=most["points"] or 0, right_bound=bound,
     )
-    met = met.withColumn("interior", F.col("_full") | S.point_in_shape(px, py, s))
-    if distance:
-        met = met.where(F.col("interior") | F.coalesce(F.when(~F.col("interior"), S.edge_distance(px, py, s) < F.lit(distance)), F.lit(False)))
-    else:
-        met = met.where("interior")
-    return met.drop("_lv", "_bx", "_by", "_box", "_full", "_walk")
 
 
 def point_shape_join(
@@ -122,26 +155,17 @@ def point_shape_join(
     shape: str = "shape",
     distance: float = 0.0,
     rows_per_split: int = ROWS_PER_SPLIT,
-    point_bound: int | None = None,
 ) -> DataFrame:
     """Points with the shapes strictly containing them (``distance`` > 0: containing, or nearer than that), over the
-    adaptive grid of :func:`point_shape_pairs`.
+    adaptive grid.
 
-    A left join stores the points and brings the pairs back to them by ``point_id``, which must be unique then;
-    ``point_bound``, the number of points where it is known, saves an inner join looking for crowded cells. Columns of ``fields`` must not repeat names
-    of ``points``.
+    The points are stored. ``left`` keeps points near no shape, ``left_anti`` returns only these, with their own columns.
+    Columns of ``fields`` must not repeat names of ``points``.
     """
-    ids = [point_id] if isinstance(point_id, str) else list(point_id)
-    if how == "inner":
-        return point_shape_pairs(points, fields, ids, x, y, shape, distance, rows_per_split, point_bound).drop("interior")
-    if how != "left":
-        raise ValueError(f"how must be 'inner' or 'left', not {how!r}")
+    if how not in ("inner", "left", "left_anti"):
+        raise ValueError(f"how must be 'inner', 'left' or 'left_anti', not {how!r}")
     points = freeze(points, "points")
-    narrow = points.select(*dict.fromkeys([*ids, x, y]))
-    pairs = point_shape_pairs(narrow, fields, ids, x, y, shape, distance, rows_per_split, points.count())
-    pairs = pairs.select(*[F.col(c).alias(f"_p_{c}") for c in ids], *fields.columns)
-    on = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in ids]
-    return points.join(pairs, on, "left").drop(*[f"_p_{c}" for c in ids])
+    return point_shape_pairs(points, fields, point_id, x, y, shape, distance, rows_per_split, how).drop("interior")
 
 
 def shape_shape_join(
