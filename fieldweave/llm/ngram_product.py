@@ -9,7 +9,8 @@ empty. Rows that agree in a group form a block. Spare groups make up for empty o
 than that is posted in those too. This loses no pair, whatever passages many documents share.
 
 Product. Pairs are dropped from the start if their sizes cannot reach the threshold, or if fewer column groups agree than
-must at these sizes (a product of short outlines, which spares most whole rows the way). Overlaps of the rest are counted
+must at these sizes (a product of short outlines, which come with the first scan: whole rows are made and sent only where an
+outline leaves a partner). Overlaps of the rest are counted
 over stretches of columns; after each stretch those that the columns left cannot bring to the threshold are dropped. A block's pivot is its row of smallest hash, mostly
 the same for all blocks of near copies. Each row is first multiplied with its pivots. Where several parts are left in a
 block, pairs of different parts are multiplied (each pair once for all blocks of at most ``SMALL`` rows), in larger blocks
@@ -43,6 +44,8 @@ NUM, DEN = 85, 100
 GROWTH = 1.5
 POSTS_PER_RANGE = 1 << 20
 BLOCK_ROWS = 256
+CROSS = 4
+BLOCK_GRAMS = 1 << 20
 SMALL = 32
 KEPT_WORDS = 1 << 19
 STRETCHES = 4
@@ -108,10 +111,11 @@ def slots(num: int, den: int) -> tuple[list[int], list[int], list[int]]:
         starts.append(size)
         size = max(size + 1, int(size * GROWTH))
     differ = [differing(2 * (b - 1), num, den) for b in starts[1:]]
-    spare = [0 if d == 0 else 2 + d // 4 for d in differ]
+    spare = [0 if d == 0 else 2 + d // 8 for d in differ]
     return starts, [d + 1 + s for d, s in zip(differ, spare)], spare
 
 
+@lru_cache(maxsize=1 << 16)
 def row_slots(size: int, num: int = NUM, den: int = DEN) -> list[int]:
     """The slot of a size, and the next one where a larger row can be linked from there."""
     starts = slots(num, den)[0]
@@ -128,15 +132,18 @@ def group_sums(hashes: np.ndarray, groups: int) -> np.ndarray:
     return out
 
 
+def slot_sums(hashes: np.ndarray, num: int = NUM, den: int = DEN) -> list[tuple[int, np.ndarray]]:
+    """The slots of a row with its group sums there; none for an empty row."""
+    groups = slots(num, den)[1]
+    return [(at, group_sums(hashes, groups[at])) for at in row_slots(len(hashes), num, den)] if len(hashes) else []
+
+
 def group_keys(hashes: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     """The keys of the blocks in which a row stands; none where only copies can be linked."""
-    if not len(hashes):
-        return np.zeros(0, _U)
     _, groups, spare = slots(num, den)
     out = [np.zeros(0, _U)]
-    for at in row_slots(len(hashes), num, den):
+    for at, sums in slot_sums(hashes, num, den):
         if groups[at] > 1:
-            sums = group_sums(hashes, groups[at])
             names = np.flatnonzero(sums)
             if groups[at] - len(names) > spare[at]:
                 names = np.arange(groups[at])
@@ -144,23 +151,42 @@ def group_keys(hashes: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray
     return np.concatenate(out)
 
 
-def outline(hashes: np.ndarray, num: int = NUM, den: int = DEN) -> bytes:
-    """32 bits of every group of a row's slots, one slot after the other."""
-    groups = slots(num, den)[1]
-    return b"".join(group_sums(hashes, groups[at]).astype(np.uint32).tobytes() for at in row_slots(len(hashes), num, den)) if len(hashes) else b""
-
-
-def may_be_linked(size: int, mine: bytes, other: int, theirs: bytes, num: int = NUM, den: int = DEN) -> bool:
-    """Whether as many groups agree as must in linked rows of these sizes."""
-    if den * min(size, other) < num * max(size, other):
-        return False
-    slot = row_slots(max(size, other), num, den)[0]
-    m = slots(num, den)[1][slot]
-    both = []
-    for n, bits in ((size, mine), (other, theirs)):
-        skip = 0 if row_slots(n, num, den)[0] == slot else slots(num, den)[1][slot - 1]
-        both.append(np.frombuffer(bits, np.uint32, m, 4 * skip))
-    return int((both[0] == both[1]).sum()) >= m - differing(size + other, num, den)
+def outline(sums_of: list[tuple[int, np.ndarray]]) -> bytes:
+    """8 bits of every group of a row's slots, one slot after the other; 0 stands for an empty group only."""
+    return b"".join(sums.astype(np.uint8).tobytes() for _, sums in sums_of)
+
+
+class Outlines:
+    """The outlines of some rows, to tell which pairs can be linked."""
+
+    def __init__(self, sizes: list[int], bits: list[bytes], num: int = NUM, den: int = DEN):
+        self.sizes, self.num, self.den = np.array(sizes, np.int64), num, den
+        self.groups = slots(num, den)[1]
+        of = [row_slots(n, num, den) for n in sizes]
+        self.first = np.array([s[0] for s in of], np.int64)
+        self.at, self.bits = np.zeros((len(of), 2), np.int64), {}
+        for slot in {s for both in of for s in both}:
+            # a row's second slot stands behind its first
+            rows = [i for i, both in enumerate(of) if slot in both]
+            skip = [0 if of[i][0] == slot else self.groups[slot - 1] for i in rows]
+            self.at[rows, [of[i].index(slot) for i in rows]] = np.arange(len(rows))
+            self.bits[slot] = np.array([np.frombuffer(bits[i], np.uint8, self.groups[slot], k) for i, k in zip(rows, skip)])
+
+    def partners(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Those of the rows ``others`` whose groups agree with those of ``x`` as often as in linked rows of these sizes."""
+        sizes, size = self.sizes[others], self.sizes[x]
+        keep = self.den * np.minimum(sizes, size) >= self.num * np.maximum(sizes, size)
+        others, sizes = others[keep], sizes[keep]
+        # a pair meets in the first slot of its larger row
+        meet = np.maximum(self.first[others], self.first[x])
+        out = []
+        for slot in np.unique(meet).tolist():
+            here = meet == slot
+            rows, m = others[here], self.groups[slot]
+            mine = self.bits[slot][self.at[x, slot - self.first[x]]]
+            agree = (self.bits[slot][self.at[rows, slot - self.first[rows]]] == mine).sum(axis=1)
+            out.append(rows[agree >= m - (sizes[here] + size) * (self.den - self.num) // (self.den + self.num)])
+        return np.concatenate(out) if out else others
 
 
 def _class(hashes: np.ndarray) -> int:
@@ -299,8 +325,12 @@ def _lists(posts: DataFrame) -> DataFrame:
     return posts.groupBy("range").applyInArrow(_iter_arrow(run), schema)
 
 
-def _grouped(units: DataFrame, rows: DataFrame, fields: list[str], link) -> DataFrame:
-    """Pairs that ``link(parts, left, *fields)`` finds in each unit: ``units`` has ``uid``, ``cls``, ``part`` and ``is_left``."""
+_MEMBER = T.StructType([T.StructField("uid", T.StringType()), T.StructField("cls", T.LongType()), T.StructField("part", T.LongType()), T.StructField("is_left", T.BooleanType())])
+
+
+def _grouped(units: DataFrame, rows: DataFrame, fields: list[str], link, schema: T.StructType) -> DataFrame:
+    """Pairs that ``link(parts, left, *fields)`` finds in each unit: ``units`` has ``uid``, ``cls``, ``part`` and ``is_left``.
+    With the schema ``_MEMBER`` ``link`` gives rows, and rows of units come out."""
     wanted = ["cls", "part", "is_left", *fields]
 
     def run(key, batches):
@@ -309,24 +339,28 @@ def _grouped(units: DataFrame, rows: DataFrame, fields: list[str], link) -> Data
             for values, name in zip(every, wanted):
                 values += batch.column(name).to_pylist()
         if len(every[0]) > 1:
-            ids = np.array(every[0], np.int64)
-            got = np.array(link(np.array(every[1], np.int64), np.array(every[2], bool), *every[3:]), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[got[:, 0]]), pa.array(ids[got[:, 1]])], names=["a", "b"])
+            ids, parts, left = np.array(every[0], np.int64), np.array(every[1], np.int64), np.array(every[2], bool)
+            got = link(parts, left, *every[3:])
+            if schema is _PAIR:
+                got = np.array(got, np.int64).reshape(-1, 2)
+                columns = [pa.array(ids[got[:, 0]]), pa.array(ids[got[:, 1]])]
+            else:
+                columns = [pa.array([key[0].as_py()] * len(got), pa.string()), pa.array(ids[got]), pa.array(parts[got]), pa.array(left[got])]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the filter on the units always holds; Spark builds runtime filters from filtered tables only
     whole = units.where(F.length("uid") > 0).join(rows.select("cls", *fields), "cls").select(*wanted, "uid")
-    return whole.repartition(spread, "uid").groupBy("uid").applyInArrow(_iter_arrow(run), _PAIR)
+    return whole.repartition(spread, "uid").groupBy("uid").applyInArrow(_iter_arrow(run), schema)
 
 
 def _multiply(units: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links within units, by the product of their rows."""
-    units = freeze(units, "units")
+    """Links within units (stored), by the product of their rows."""
 
     def link(parts, left, hashes):
         return product([np.frombuffer(h, _U) for h in hashes], parts, left, num, den)
 
-    return freeze(_grouped(units, rows, ["hashes"], link), "links")
+    return freeze(_grouped(units, rows, ["hashes"], link, _PAIR), "links")
 
 
 def _star_units(pairs: DataFrame, rows: int) -> DataFrame:
@@ -337,14 +371,45 @@ def _star_units(pairs: DataFrame, rows: int) -> DataFrame:
     return left.unionByName(right).select(F.concat_ws(":", "a", "chunk").alias("uid"), "cls", F.col("cls").alias("part"), "is_left")
 
 
-def _outlined(pairs: DataFrame, sets: DataFrame, rows: int, num: int, den: int) -> DataFrame:
+def _outlined(pairs: DataFrame, outlines: DataFrame, rows: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs`` whose groups agree as often as those of linked rows do."""
 
     def link(parts, left, size, bits):
         x = int(np.flatnonzero(left)[0])
-        return [(x, y) for y in range(len(size)) if y != x and may_be_linked(size[x], bits[x], size[y], bits[y], num, den)]
+        return [(x, y) for y in Outlines(size, bits, num, den).partners(x, np.flatnonzero(np.arange(len(size)) != x)).tolist()]
+
+    return freeze(_grouped(freeze(_star_units(pairs, rows), "units"), outlines, ["size", "outline"], link, _PAIR), "pairs")
+
+
+def _meeting(units: DataFrame, outlines: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of each unit that by the outlines can be linked with a row of another part there."""
+
+    def link(parts, left, size, bits):
+        lines, n = Outlines(size, bits, num, den), np.arange(len(size))
+        met = np.zeros(len(size), bool)
+        for x in np.flatnonzero(left).tolist():
+            found = lines.partners(x, np.flatnonzero((parts != parts[x]) & (~left | (n > x))))
+            met[found] = True
+            met[x] |= len(found) > 0
+        return np.flatnonzero(met)
+
+    return _grouped(freeze(units, "units"), outlines, ["size", "outline"], link, _MEMBER)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``cls`` and ``hashes`` of the classes whose ``body`` is wanted, from one text each."""
+
+    def whole():
+        def run(texts, _):
+            every = [gram_set(t, shingle) for t in texts]
+            return {"cls": [_class(s) for s in every], "hashes": [s.tobytes() for s in every]}
+
+        return run
 
-    return freeze(_grouped(freeze(_star_units(pairs, rows), "units"), sets, ["size", "outline"], link), "pairs")
+    # stored, so that Spark measures it: it is broadcast, or a Bloom filter (see ``_grouped``) spares the other texts their shuffle
+    wanted = freeze(wanted.select("body", "size"), "wanted").where("size > 0")
+    texts = docs.select(col(text).cast("string").alias("text")).withColumn("body", F.xxhash64("text")).join(wanted, "body", "left_semi")
+    return freeze(scan_texts(texts.dropDuplicates(["body"]), "text", [], whole, [("cls", T.LongType()), ("hashes", T.BinaryType())]), "sets")
 
 
 def _of_size(a: str, b: str, num: int, den: int):
@@ -366,8 +431,10 @@ def _small_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _crossing(lists: DataFrame, tops: DataFrame, rows: int) -> DataFrame:
-    """Units for larger blocks: entries outside a block's largest part against all its entries."""
-    few, many = [F.ceil(c / rows).cast("int") for c in (F.col("all") - F.col("most"), F.col("most"))]
+    """Units for larger blocks: entries outside a block's largest part against all its entries, ``rows`` and not much more than
+    ``BLOCK_GRAMS`` n-grams a side."""
+    per = F.greatest(F.lit(1), F.least(F.lit(rows), F.floor(F.lit(BLOCK_GRAMS) / F.col("widest"))))
+    few, many = [F.ceil(c / per).cast("int") for c in (F.col("all") - F.col("most"), F.col("most"))]
     placed = lists.join(tops.select("list", "top", few.alias("few"), many.alias("many")), "list").withColumn("minor", F.col("part") != F.col("top"))
     here = F.pmod(F.xxhash64("cls", "list"), F.when(F.col("minor"), F.col("few")).otherwise(F.col("many")).cast("bigint")).cast("int")
     # units 0 .. few - 1 hold the minor entries, those after them the rest
@@ -378,8 +445,9 @@ def _crossing(lists: DataFrame, tops: DataFrame, rows: int) -> DataFrame:
     return units.select(F.concat_ws(":", "list", first, second).alias("uid"), "cls", "part", (F.col("block") == first).alias("is_left"))
 
 
-def links(docs: DataFrame, classes: DataFrame, text: str, shingle: int, num: int = NUM, den: int = DEN, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Pairs ``a``, ``b`` of linked classes: enough to connect what all linked pairs connect. ``classes``: ``cls``, ``size``, ``body``."""
+def links(docs: DataFrame, sketches: DataFrame, classes: DataFrame, text: str, shingle: int, num: int = NUM, den: int = DEN, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs ``a``, ``b`` of linked classes: enough to connect what all linked pairs connect. ``sketches``: ``cls``, ``size``,
+    ``outline``; ``classes``: ``cls``, ``size``, ``body``."""
     total = classes.agg(F.sum("size")).first()[0] or 0
     share = 5 * (den - num) / (den + num)
     ranges = max(8, int(total * share / POSTS_PER_RANGE) + 1)
@@ -387,28 +455,28 @@ def links(docs: DataFrame, classes: DataFrame, text: str, shingle: int, num: int
     stars = freeze(lists.select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
     named = stars.select(F.col("b").alias("cls")).unionByName(stars.select(F.col("a").alias("cls"))).distinct()
     live = freeze(classes.join(named, "cls", "left_semi").select("cls", "size", "body"), "live")
-    texts = docs.select(col(text).cast("string").alias("text")).withColumn("body", F.xxhash64("text")).join(live.where("size > 0").select("body"), "body", "left_semi")
-
-    def whole():
-        def run(texts, _):
-            every = [gram_set(t, shingle) for t in texts]
-            return {"cls": [_class(s) for s in every], "size": [len(s) for s in every], "hashes": [s.tobytes() for s in every], "outline": [outline(s, num, den) for s in every]}
-
-        return run
-
-    fields = [("cls", T.LongType()), ("size", T.LongType()), ("hashes", T.BinaryType()), ("outline", T.BinaryType())]
-    sets = freeze(scan_texts(texts.dropDuplicates(["body"]), "text", [], whole, fields), "sets")
+    sizes = live.where("size > 0").select("cls", "size")
+    for end in ("a", "b"):
+        stars = stars.join(sizes.select(F.col("cls").alias(end), F.col("size").alias(f"size_{end}")), end)
+    stars = freeze(stars.where(_of_size("size_a", "size_b", num, den)).select("a", "b"), "pairs")
+    outlines = sketches.where(F.length("outline") > 0).select("cls", "size", "outline").join(sizes.select("cls"), "cls", "left_semi")
+    outlines = freeze(outlines.dropDuplicates(["cls"]), "outlines")
     # each row with its pivots
-    found = _multiply(_star_units(_outlined(stars, sets, rows, num, den), rows), sets, num, den)
+    units = freeze(_star_units(_outlined(stars, outlines, rows, num, den), rows), "units")
+    sets = _sets(docs, live.join(units.select("cls"), "cls", "left_semi"), text, shingle)
+    found = _multiply(units, sets, num, den)
     # what is left in blocks of several parts; pivots have met all others
     entries = freeze(lists.where("list IS NOT NULL").select("list", "cls").distinct().join(_parts(found, live), "cls"), "entries")
     best = F.max(F.struct("n", "part"))
-    counted = entries.groupBy("list", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("list")
-    tops = counted.agg(best["part"].alias("top"), best["n"].alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    counted = entries.groupBy("list", "part").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("widest")).groupBy("list")
+    tops = counted.agg(best["part"].alias("top"), best["n"].alias("most"), F.sum("n").alias("all"), F.max("widest").alias("widest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     tops = freeze(tops, "tops")
     small = _small_pairs(entries.join(tops.where(F.col("all") <= SMALL), "list", "left_semi"), num, den)
-    small = _outlined(freeze(small.join(stars, ["a", "b"], "left_anti"), "pairs"), sets, rows, num, den)
-    units = _star_units(small, rows).unionByName(_crossing(entries, tops.where(F.col("all") > SMALL), rows))
+    small = _outlined(freeze(small.join(stars, ["a", "b"], "left_anti"), "pairs"), outlines, rows, num, den)
+    large = _meeting(_crossing(entries, tops.where(F.col("all") > SMALL), CROSS * rows), outlines, num, den)
+    units = freeze(_star_units(small, rows).unionByName(large), "units")
+    more = live.join(units.select("cls"), "cls", "left_semi").join(sets.select("cls"), "cls", "left_anti")
+    sets = sets.unionByName(_sets(docs, more, text, shingle))
     return found.unionByName(_multiply(units, sets, num, den))
 
 
@@ -417,18 +485,31 @@ def linked_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     id where it has no n-gram)."""
 
     def sketch():
+        met = set()
+
         def run(texts, _):
-            every = [gram_set(t, shingle) for t in texts]
-            return {"cls": [_class(s) for s in every], "size": [len(s) for s in every]}
+            out = {"cls": [], "size": [], "outline": []}
+            for t in texts:
+                hashes = gram_set(t, shingle)
+                cls = _class(hashes)
+                out["cls"].append(cls)
+                out["size"].append(len(hashes))
+                # once per class and task
+                out["outline"].append(None if cls in met else outline(slot_sums(hashes, num, den)))
+                if len(met) > 1 << 20:
+                    met.clear()
+                met.add(cls)
+            return out
 
         return run
 
     source = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
     marked = source.withColumn("body", F.xxhash64("text"))
-    sketches = freeze(scan_texts(marked, "text", ["doc_id", "body"], sketch, [("cls", T.LongType()), ("size", T.LongType())]), "sketches")
+    fields = [("cls", T.LongType()), ("size", T.LongType()), ("outline", T.BinaryType())]
+    sketches = freeze(scan_texts(marked, "text", ["doc_id", "body"], sketch, fields), "sketches")
     classes = freeze(sketches.where("size > 0").groupBy("cls").agg(F.min("size").alias("size"), F.min("body").alias("body"), F.min("doc_id").alias("first")), "classes")
     with runtime_filters(docs.sparkSession):
-        found = links(source, classes, "text", shingle, num, den, rows)
+        found = links(source, sketches, classes, "text", shingle, num, den, rows)
     roots = components(found).withColumnRenamed("node", "cls")
     named = freeze(classes.join(roots, "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
